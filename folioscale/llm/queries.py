@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscale.plans.session import ship, table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.packing import pack
+
+    return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.bpe import encode_decode
 
@@ -18,6 +24,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
