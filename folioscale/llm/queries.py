@@ -16,6 +16,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.quality_rules import judge
+
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.bpe import encode_decode
 
@@ -25,7 +32,30 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-SQL: dict[str, str] = {}
+
+def quality_rules_sql() -> str:
+    from folioscale.llm.quality_rules import BASE_SQL, RULES, STOP_WORDS
+
+    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM texts),
+windows AS (SELECT doc_id, p, w[p:p + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM words)),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM repeated, (SELECT unnest(range(0, 5)) AS o) GROUP BY doc_id),
+measures AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words, len(l) AS n_lines, len(list_filter(l, lambda x: ends_with(x, '...'))) AS n_ellipsis_lines,
+    len(list_filter(l, lambda x: substr(x, 1, 2) IN ('- ', '* ', '• '))) AS n_bullet_lines
+  FROM words LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE_SQL} AS base_failed,
+  NOT {BASE_SQL} AND NOT ({" OR ".join(r.sql() for r in RULES)}) AS kept
+FROM measures"""
+
+
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules_sql()}
