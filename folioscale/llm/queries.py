@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscale.plans.session import ship, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.url_lm import UrlRule, judge_urls
+
+    rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+    out = judge_urls(table(ship(spark), sf_dir, "pages"), [UrlRule.parse(text, verdict) for text, verdict in rules])
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.packing import pack
 
@@ -31,6 +39,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op10_bpe_codec": op10_bpe_codec,
