@@ -31,6 +31,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(ship(spark), sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.bpe import encode_decode
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
@@ -67,4 +74,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BAS
 FROM measures"""
 
 
-SQL: dict[str, str] = {"op5_quality_rules": quality_rules_sql()}
+JACCARD_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+rare AS (SELECT doc_id, n, t, count(*) OVER (PARTITION BY t) AS df FROM tokens),
+prefix AS (SELECT doc_id, n, t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, t) AS r FROM rare) WHERE r <= n - CAST(ceil(0.9 * n) AS BIGINT) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM prefix a JOIN prefix b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n),
+overlap AS (SELECT x, y, a.s AS sx, b.s AS sy, len(list_intersect(a.s, b.s)) AS o FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y),
+links AS (SELECT x, y FROM overlap WHERE 100 * o >= 90 * (len(sx) + len(sy) - o)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.y FROM reach r JOIN both_ways l ON r.b = l.x),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY x)
+SELECT doc_id, len(s) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM sets JOIN least USING (doc_id) LEFT JOIN degree USING (doc_id)"""
+
+
+SQL: dict[str, str] = {
+    "op6_ngram_jaccard_join": JACCARD_SQL,
+    "op5_quality_rules": quality_rules_sql(),
+}
