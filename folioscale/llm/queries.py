@@ -37,6 +37,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(ship(spark), sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.quality_gbt import classify
+
+    ship(spark)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 0.3)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.bpe import encode_decode
 
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
