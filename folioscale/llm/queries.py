@@ -44,6 +44,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 0.3)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.toxicity import classify
+
+    ship(spark)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 0.5)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.bpe import encode_decode
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
