@@ -29,7 +29,8 @@ PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 200_000
 #: Windows that the network reads at once.
 AT_ONCE = 2_048
-EPOCHS, BATCH, RATE = 8, 128, 0.01
+#: Epochs, or more until LEAST_STEPS batches were seen.
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 8, 500, 128, 0.01, 0.03
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
@@ -244,11 +245,11 @@ def suspicion(texts: list[list[bytes]], y: np.ndarray) -> dict[bytes, float]:
 
 
 def chosen_windows(scores: list[np.ndarray], y: np.ndarray, r: np.random.Generator) -> list[tuple[int, int]]:
-    """(text, window): of a toxic text its two worst windows if the second comes near the first, of another its two worst and one at random."""
+    """(text, window): of a toxic text its two worst windows if the second comes near the first, of another its four worst and one at random."""
     out = []
     for i, s in enumerate(scores):
         worst = np.argsort(-s, kind="stable")
-        near = 2 if not y[i] or (len(worst) > 1 and s[worst[1]] >= 0.6 * s[worst[0]] > 0) else 1
+        near = 4 if not y[i] else 2 if (len(worst) > 1 and s[worst[1]] >= 0.6 * s[worst[0]] > 0) else 1
         out += [(i, int(k)) for k in worst[:near]]
         if not y[i]:
             out.append((i, int(r.integers(len(s)))))
@@ -275,8 +276,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     m = {k: np.zeros_like(v) for k, v in network.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in network.p.items()}
     step = 0
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(chosen_windows(scores, y, np.random.default_rng(seed)))))
     for epoch in range(epochs):
-        if epoch >= 3:
+        if epoch >= max(3, epochs // 3):
             logits, begins = Reader(network).window_logits(words)
             scores = np.split(logits, begins[1:])
         picks = chosen_windows(scores, y, r)
@@ -301,6 +303,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 m[k] += 0.1 * (g - m[k])
                 v2[k] += 0.001 * (g * g - v2[k])
+                network.p[k] *= 1 - DECAY * rate
                 network.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-6)
     return network
 
