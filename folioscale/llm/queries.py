@@ -18,6 +18,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.language_mixture import identify
+
+    return identify(table(ship(spark), sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.packing import pack
 
@@ -60,6 +66,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_mixture": op2_language_mixture,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
