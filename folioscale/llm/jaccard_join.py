@@ -1,9 +1,9 @@
 """Similarity join of word-shingle sets by Jaccard, with a token-group matrix.
 
-Documents with equal sets are one class. Classes that share a token of their prefixes (the few rarest tokens, of which linked sets must
-share one) are partitioned into groups by the most shared of these tokens, so similar classes meet in one group. For each group the union
-of its tokens is stored. A class looks only at groups that its prefix leads to; there, the part of its tokens inside the union bounds its
-overlap with every member, and only groups that can reach the threshold are opened. Links between members of opened groups are counted
+Documents with equal sets are one class. Classes that share enough of their prefixes (the rarest tokens, of which linked sets must share a
+certain number) with others are partitioned into groups by the most shared of these tokens, so similar classes meet in one group. For each
+group the union of its tokens is stored. A class looks only at groups whose members' prefixes hold enough of its own; there, the part of its
+tokens inside the union bounds its overlap with every member, and only groups that can reach the threshold are opened. Links between members of opened groups are counted
 exactly. What leaves a block is a forest of its links, never all pairs.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscale.llm.components import components
@@ -24,13 +24,28 @@ from folioscale.plans.session import written
 ORDERING_SAMPLE = 10_000
 #: A shingle in so many sampled documents is frequent; at most FREQUENT_KEPT of them are broadcast.
 FREQUENT_FROM, FREQUENT_KEPT = 3, 100_000
+#: Linked sets have to share a token of their prefixes for each so many tokens, and one more.
+LEVEL_TOKENS = 32
 #: A block (a group's part, or queries that visit it) has about so many tokens at most, 16 MB.
 BLOCK_TOKENS = 2_000_000
 
 
+def level(n: int) -> int:
+    return 1 + n // LEVEL_TOKENS
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Sets of n tokens that overlap by num/den of their union must share one of so many first tokens."""
-    return n - -(-num * n // den) + 1
+    """How many first tokens of a set of n are compared before others.
+
+    Linked sets x and y share num/den of the tokens of either. If their first n - ceil(num * n / den) + k tokens shared fewer than k, the shared tokens
+    after them would be too few. So they share at least k, for the smaller level k of both.
+    """
+    return min(n, n - -(-num * n // den) + level(n))
+
+
+def required(num: int, den: int) -> Column:
+    """The least level among the sets that a set of ``n`` tokens can link with."""
+    return F.expr(f"1 + ((n * {num} + {den - 1}) div {den}) div {LEVEL_TOKENS}")
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +161,9 @@ def open_group(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"cid": pa.array(nodes, pa.int64()), "root": pa.array([find_root(parent, x) for x in nodes], pa.int64()), "links": pa.array([links.get(x, 0) for x in nodes], pa.int64())})
 
 
-def group_classes(shared: DataFrame) -> DataFrame:
-    """``cid`` to ``gid``: classes by the most shared token of their prefixes; a group of too many tokens is dealt over several."""
-    key = shared.groupBy("cid").agg(F.max(F.struct("df", "token")).alias("k"), F.first("n").alias("n"), F.first("weight").alias("weight")).select("cid", "n", "weight", F.col("k.token").alias("key"))
+def group_classes(shared: DataFrame, least: Column) -> DataFrame:
+    """``cid`` to ``gid``: classes with at least ``least`` shared prefix tokens, by the most shared one; a group of too many tokens is dealt over several."""
+    key = shared.groupBy("cid").agg(F.max(F.struct("df", "token")).alias("k"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.count("*").alias("c")).where(F.col("c") >= least).select("cid", "n", "weight", F.col("k.token").alias("key"))
     parts = key.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")).where("parts > 1")
     return key.join(parts, "key", "left").select("cid", "n", "weight", F.xxhash64("key", F.coalesce(F.pmod(F.xxhash64("cid"), "parts"), F.lit(0))).alias("gid"))
 
@@ -170,11 +185,11 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     tokens = classes.select("cid", "n", "weight", F.explode("prefix").alias("token"))
     counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = written(tokens.join(counts, "token"), "shared")
-    groups = written(group_classes(shared), "groups")
+    groups = written(group_classes(shared, required(num, den)), "groups")
 
-    reached = shared.select("token", "cid").join(groups.select("cid", "gid"), "cid")
+    reached = shared.select("token", "cid", "n").join(groups.select("cid", "gid"), "cid")
     index = reached.select("token", F.col("gid").alias("to")).distinct()
-    visits = reached.join(index, "token").where(F.col("to") < F.col("gid")).select("cid", F.col("to").alias("gid")).distinct()
+    visits = reached.join(index, "token").where(F.col("to") < F.col("gid")).groupBy("cid", "to").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= required(num, den)).select("cid", F.col("to").alias("gid"))
     several = groups.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     visits = written(visits.withColumn("role", F.lit(1)).union(groups.join(several, "gid").select("cid", "gid", F.lit(2).alias("role"))), "visits")
 

@@ -30,6 +30,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.warc import round_trip
+
+    return round_trip(table(ship(spark), sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.quality_rules import judge
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_mixture": op2_language_mixture,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc_index": op4_warc_index,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
@@ -113,7 +120,16 @@ degree AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY x)
 SELECT doc_id, len(s) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM sets JOIN least USING (doc_id) LEFT JOIN degree USING (doc_id)"""
 
 
+WARC_SQL = """
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+fives AS (SELECT page_id, payload_bytes, h, list_transform(range(0, 8), lambda g: list_sum(list_transform(range(1, 6), lambda k: CAST((strpos('0123456789abcdef', substr(h, 5 * g + k, 1)) - 1) << (4 * (5 - k)) AS BIGINT)))) AS v FROM payloads),
+digests AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(v[i // 4 + 1] AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest FROM fives),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM firsts"""
+
+
 SQL: dict[str, str] = {
+    "op4_warc_index": WARC_SQL,
     "op6_ngram_jaccard_join": JACCARD_SQL,
     "op5_quality_rules": quality_rules_sql(),
 }
