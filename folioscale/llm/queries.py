@@ -56,6 +56,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 0.3)
 
 
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.bm25 import search
+
+    docs = table(ship(spark), sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k=10)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.toxicity import classify
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_bm25_search": op8_bm25_search,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
 }
@@ -128,7 +136,22 @@ firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM d
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM firsts"""
 
 
+BM25_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+lengths AS (SELECT doc_id, len(w) AS dl FROM words),
+corpus AS (SELECT count(*) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS average FROM lengths),
+tokens AS (SELECT doc_id, unnest(w) AS t FROM words),
+postings AS (SELECT doc_id, t, CAST(count(*) AS DOUBLE) AS tf FROM tokens GROUP BY doc_id, t),
+frequencies AS (SELECT t, CAST(count(*) AS DOUBLE) AS df FROM postings GROUP BY t),
+scores AS (
+  SELECT q.doc_id AS query_id, p.doc_id, CAST(sum(CAST(round(((1000000.0::DOUBLE * ln(1.0::DOUBLE + ((n - df) + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * (tf * (1.2::DOUBLE + 1))) / (tf + 1.2::DOUBLE * ((1 - 0.75::DOUBLE) + (0.75::DOUBLE * dl) / average))) AS BIGINT)) AS BIGINT) AS score
+  FROM (SELECT doc_id, t FROM postings WHERE doc_id % 100 = 0) q JOIN (SELECT doc_id, t, tf FROM postings) p ON q.t = p.t JOIN frequencies f ON f.t = p.t JOIN lengths l ON l.doc_id = p.doc_id, corpus
+  GROUP BY q.doc_id, p.doc_id)
+SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0) WHERE r <= 10"""
+
+
 SQL: dict[str, str] = {
+    "op8_bm25_search": BM25_SQL,
     "op4_warc_index": WARC_SQL,
     "op6_ngram_jaccard_join": JACCARD_SQL,
     "op5_quality_rules": quality_rules_sql(),
