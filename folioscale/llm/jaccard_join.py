@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscale.llm.components import components
@@ -21,11 +21,13 @@ from folioscale.llm.shingles import set_digest, shingle_set
 from folioscale.plans.session import written
 
 #: About so many documents, chosen by a hash, tell which shingles are frequent. That only orders the tokens; no link depends on it.
-ORDERING_SAMPLE = 10_000
+ORDERING_SAMPLE = 20_000
 #: A shingle in so many sampled documents is frequent; at most FREQUENT_KEPT of them are broadcast.
-FREQUENT_FROM, FREQUENT_KEPT = 3, 100_000
+FREQUENT_FROM, FREQUENT_KEPT = 3, 200_000
 #: Linked sets have to share a token of their prefixes for each so many tokens, and one more.
-LEVEL_TOKENS = 32
+LEVEL_TOKENS = 24
+#: A token in more prefixes than this leads nowhere, as far as a class can spare it.
+SPARED_DF = 16
 #: A block (a group's part, or queries that visit it) has about so many tokens at most, 16 MB.
 BLOCK_TOKENS = 2_000_000
 
@@ -48,6 +50,16 @@ def required(num: int, den: int) -> Column:
     return F.expr(f"1 + ((n * {num} + {den - 1}) div {den}) div {LEVEL_TOKENS}")
 
 
+def spared(num: int, den: int) -> Column:
+    """How many of its prefix tokens a set of ``n`` can leave out of the search for partners: a quarter of those that it must share."""
+    return F.expr(f"((n * {num} + {den - 1}) div {den}) div {LEVEL_TOKENS} div 4")
+
+
+def found_at_least(num: int, den: int) -> Column:
+    """What the search then still finds of a linked pair: the required number less what a set of ``n`` and any partner leave out."""
+    return required(num, den) - spared(num, den) - F.expr(f"n div {LEVEL_TOKENS} div 4")
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, ascending, and their places (from 1) in the order of rising frequency."""
     share = min(1.0, ORDERING_SAMPLE / max(1, docs.count()))
@@ -99,7 +111,7 @@ def describe(docs: DataFrame, size: int, num: int, den: int, frequent: tuple[np.
 
 
 def tokens_of(docs: DataFrame, size: int) -> DataFrame:
-    """``cid`` and all tokens as bytes, of documents whose set has the wanted ``digest``."""
+    """``cid``, ``places`` and all tokens as bytes, of documents whose set has the wanted ``digest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +121,11 @@ def tokens_of(docs: DataFrame, size: int) -> DataFrame:
                 if set_digest(tokens) == digest:
                     rows.append(i)
                     out.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], ["cid", "tokens"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(out, pa.binary()), batch.column(3).take(at)], ["cid", "tokens", "places"])
 
-    return docs.select("cid", "text", "digest").mapInArrow(run, "cid long, tokens binary")
+    d = docs.select("cid", "text", "digest", "places")
+    return d.mapInArrow(run, f"cid long, tokens binary, places {d.schema['places'].dataType.simpleString()}")
 
 
 def find_root(parent: dict[int, int], x: int) -> int:
@@ -123,7 +137,8 @@ def find_root(parent: dict[int, int], x: int) -> int:
 
 def open_group(table: pa.Table, num: int, den: int) -> pa.Table:
     """One block: members (``role`` 0) and visitors (1: from another group, 2: from this one). A row for each class: its local root and the weight of its links."""
-    d = table.to_pydict()
+    # several rows with the id and the text of a class's first give its tokens more than once
+    d = table.group_by(["cid", "role"]).aggregate([("weight", "min"), ("tokens", "min")]).rename_columns(["cid", "role", "weight", "tokens"]).to_pydict()
     role, cid, weight = np.array(d["role"]), np.array(d["cid"], dtype=np.int64), np.array(d["weight"], dtype=np.int64)
     sets = [np.frombuffer(b, dtype=np.uint64) for b in d["tokens"]]
     members, visitors = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
@@ -161,9 +176,9 @@ def open_group(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"cid": pa.array(nodes, pa.int64()), "root": pa.array([find_root(parent, x) for x in nodes], pa.int64()), "links": pa.array([links.get(x, 0) for x in nodes], pa.int64())})
 
 
-def group_classes(shared: DataFrame, least: Column) -> DataFrame:
-    """``cid`` to ``gid``: classes with at least ``least`` shared prefix tokens, by the most shared one; a group of too many tokens is dealt over several."""
-    key = shared.groupBy("cid").agg(F.max(F.struct("df", "token")).alias("k"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.count("*").alias("c")).where(F.col("c") >= least).select("cid", "n", "weight", F.col("k.token").alias("key"))
+def group_classes(shared: DataFrame) -> DataFrame:
+    """``cid`` to ``gid``: classes by the most shared of their prefix tokens; a group of too many tokens is dealt over several."""
+    key = shared.groupBy("cid").agg(F.max(F.struct("df", "token")).alias("k"), F.first("n").alias("n"), F.first("weight").alias("weight")).select("cid", "n", "weight", F.col("k.token").alias("key"))
     parts = key.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")).where("parts > 1")
     return key.join(parts, "key", "left").select("cid", "n", "weight", F.xxhash64("key", F.coalesce(F.pmod(F.xxhash64("cid"), "parts"), F.lit(0))).alias("gid"))
 
@@ -184,12 +199,15 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     tokens = classes.select("cid", "n", "weight", F.explode("prefix").alias("token"))
     counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = written(tokens.join(counts, "token"), "shared")
-    groups = written(group_classes(shared, required(num, den)), "groups")
+    own, ranked = Window.partitionBy("cid"), Window.partitionBy("cid").orderBy(F.desc("df"), "token")
+    shared = tokens.join(counts, "token").withColumn("c", F.count("*").over(own)).withColumn("place", F.row_number().over(ranked))
+    leads = (F.col("df") <= SPARED_DF) | (F.col("place") > spared(num, den))
+    shared = written(shared.where(F.col("c") >= required(num, den)).select("cid", "n", "weight", "token", "df", leads.alias("leads")), "shared")
+    groups = written(group_classes(shared), "groups")
 
-    reached = shared.select("token", "cid", "n").join(groups.select("cid", "gid"), "cid")
+    reached = shared.where("leads").select("token", "cid", "n").join(groups.select("cid", "gid"), "cid")
     index = reached.select("token", F.col("gid").alias("to")).distinct()
-    visits = reached.join(index, "token").where(F.col("to") < F.col("gid")).groupBy("cid", "to").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= required(num, den)).select("cid", F.col("to").alias("gid"))
+    visits = reached.join(index, "token").where(F.col("to") < F.col("gid")).groupBy("cid", "to").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= found_at_least(num, den)).select("cid", F.col("to").alias("gid"))
     several = groups.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     visits = written(visits.withColumn("role", F.lit(1)).union(groups.join(several, "gid").select("cid", "gid", F.lit(2).alias("role"))), "visits")
 
@@ -198,12 +216,12 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     chunks = visitors.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("chunks"))
     rows = visitors.join(chunks, "gid").select("cid", "gid", "role", "weight", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"))
     members = groups.join(chunks, "gid").select("cid", "gid", F.lit(0).alias("role"), "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    rows = written(rows.union(members), "blocks")
+    places = rows.union(members).groupBy("cid").agg(F.collect_list(F.struct("gid", "chunk", "role", "weight")).alias("places"))
+    wanted = written(places.join(classes.select("cid", "rep", "digest"), "cid"), "blocks")
 
-    wanted = rows.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid")
     texts = source.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("rep"))
-    sets = written(tokens_of(texts, size).dropDuplicates(["cid"]), "tokens")
-    opened = rows.join(sets, "cid").groupBy("gid", "chunk").applyInArrow(lambda t: open_group(t, num, den), "cid long, root long, links long")
+    sets = tokens_of(texts, size).select("cid", "tokens", F.explode("places").alias("p")).select("cid", "tokens", "p.*")
+    opened = sets.groupBy("gid", "chunk").applyInArrow(lambda t: open_group(t, num, den), "cid long, root long, links long")
     found = written(opened, "links")
 
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
