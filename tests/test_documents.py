@@ -57,7 +57,7 @@ def test_page_lines(spark):
     rows = [line("inclu-", 40, 300), line("ding", 40, 330), line("Hello", 40, 200), line("world", 145, 202), line("|||||", 40, 400), line("7", 10, 100, 10, 10, 0.5), line("side", 900, 0, 2, 200), line("far below", 40, 900)]
     d = spark.createDataFrame([(1, rows), (2, [])], f"doc_id int, lines {LINE}")
     r = lines.postprocess(d).select("doc_id", F.transform("lines", lambda x: x["text_clean"]).alias("t"), lines.paragraphs(F.col("lines"), "text_clean").alias("p")).orderBy("doc_id").collect()
-    assert r[0].t == ["Hello world", "including", "far below"] and r[0].p == "Hello world\n\nincluding\n\nfar below"
+    assert r[0].t == ["Hello world", "including", "far below"] and r[0].p == "Hello world including\n\nfar below"
     assert r[1].t == [] and r[1].p == ""
 
 
