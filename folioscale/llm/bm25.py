@@ -1,8 +1,8 @@
 """Exact top-k search by BM25 over an inverted index in shards.
 
-Each shard has the postings of some thousand documents. For a query, every block of documents of a shard has an upper bound, the sum of its
-terms' largest contributions inside the block. Blocks are opened from the highest bound down, and as in WAND the search ends when the next
-bound is below the k-th best score so far. Shards give their own best k, which are merged. Document counts and lengths are those of the whole
+Each shard has the postings of some thousand documents. A query's short lists are read in full, and the k-th best of their sums is a threshold. The
+long lists keep the largest contribution of each block of documents. As in block-max WAND, a document is scored only if its sum so far and the maxima
+of its block can reach the threshold; whole sets of documents are tested at once. Shards give their own best k, which are merged. Document counts and lengths are those of the whole
 corpus. Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from folioscale.plans.session import written
 
 K1, B, SCALE = 1.2, 0.75, 1_000_000.0
-#: Documents and terms of a shard at most; documents of a block.
-SHARD_DOCS, SHARD_TERMS, BLOCK = 8_192, 6_000_000, 16
+#: Documents and terms of a shard at most; documents of a block; the share of a shard's documents from which a list is long.
+SHARD_DOCS, SHARD_TERMS, BLOCK, FREQUENT = 8_192, 6_000_000, 16, 1 / 8
 #: (query, term) pairs that are broadcast at once, 16 MB. More queries are answered in further rounds.
 ROUND_TERMS = 1_000_000
 
@@ -127,7 +127,11 @@ def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
 
 class ShardSearch:
-    """One shard with the contributions of a round's terms, by term, then by document, and the largest of each block of documents."""
+    """One shard with the contributions of a round's terms.
+
+    Lists of terms in up to FREQUENT of the documents are kept as postings; longer ones as rows over all documents, with the largest contribution of each
+    block of documents.
+    """
 
     def __init__(self, row: dict, r: Round):
         d = unpack(row)
@@ -135,50 +139,47 @@ class ShardSearch:
         starts = np.cumsum(d["counts"], dtype=np.int64) - d["counts"]
         at = np.minimum(np.searchsorted(d["terms"], r.terms), max(0, len(d["terms"]) - 1))
         here = d["terms"][at] == r.terms if len(d["terms"]) else np.zeros(len(r.terms), dtype=bool)
-        counts = np.where(here, d["counts"][at] if len(d["terms"]) else 0, 0)
-        posts = ranges(starts[at[here]], counts[here].astype(np.int64)) if here.any() else np.zeros(0, dtype=np.int64)
+        counts = np.where(here, d["counts"][at], 0).astype(np.int64) if len(d["terms"]) else np.zeros(len(r.terms), dtype=np.int64)
+        posts = ranges(starts[at[here]], counts[here]) if here.any() else np.zeros(0, dtype=np.int64)
         self.doc = d["doc"][posts].astype(np.int64)
         tf = d["tf"][posts].astype(np.float64)
-        weight = np.repeat(r.idf, counts)
         length = d["lengths"].astype(np.float64)[self.doc]
-        self.value = np.rint(((SCALE * weight) * (tf * (K1 + 1))) / (tf + K1 * ((1 - B) + (B * length) / r.average))).astype(np.int64)
-        block = self.doc // BLOCK
-        term = np.repeat(np.arange(len(r.terms)), counts)
-        new = np.ones(len(block), dtype=bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        self.cell = np.flatnonzero(new)  # a cell: the postings of one term in one block
-        self.cell_size = np.diff(np.append(self.cell, len(block)))
-        self.cell_block = block[self.cell]
-        self.cell_most = np.maximum.reduceat(self.value, self.cell).astype(np.float64) if len(self.cell) else np.zeros(0)
-        per_term = np.bincount(term[self.cell], minlength=len(r.terms))
-        self.term_cells, self.term_first = per_term, np.cumsum(per_term) - per_term
-        self.blocks = -(-self.docs // BLOCK)
+        self.value = np.rint(((SCALE * np.repeat(r.idf, counts)) * (tf * (K1 + 1))) / (tf + K1 * ((1 - B) + (B * length) / r.average)))
+        self.counts, self.first = counts, np.cumsum(counts) - counts
+        long = np.flatnonzero(counts > self.docs * FREQUENT)
+        self.row_of = np.full(len(r.terms), -1)
+        self.row_of[long] = np.arange(len(long))
+        blocks = -(-self.docs // BLOCK)
+        self.rows = np.zeros((len(long), blocks * BLOCK), dtype=np.int32)
+        at = ranges(self.first[long], counts[long])
+        self.rows[np.repeat(np.arange(len(long)), counts[long]), self.doc[at]] = self.value[at]
+        self.most = self.rows.reshape(len(long), blocks, BLOCK).max(2).astype(np.int64)
 
     def best(self, places: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents (scores, local numbers) for a query's terms; equal scores by the lower id."""
-        cells = ranges(self.term_first[places], self.term_cells[places])
-        blocks = self.cell_block[cells]
-        bound = np.bincount(blocks, weights=self.cell_most[cells], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        scores, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        least, i, step = 0, 0, max(4, 2 * k // BLOCK)
-        while i < len(order) and bound[order[i]] > 0 and bound[order[i]] >= least:
-            opened = order[i : i + step]
-            opened = opened[bound[opened] >= max(1, least)]
-            i, step = i + step, step * 2
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[opened] = True
-            inside = cells[chosen[blocks]]
-            posts = ranges(self.cell[inside], self.cell_size[inside])
-            # sums stay far below 2 ** 53, so they are exact
-            total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=self.docs).astype(np.int64)
-            hit = np.flatnonzero(total >= max(1, least))
-            scores, found = np.concatenate([scores, total[hit]]), np.concatenate([found, hit])
-            top = np.lexsort((ids[found], -scores))[:k]
-            scores, found = scores[top], found[top]
-            if len(scores) == k:
-                least = int(scores[-1])
-        return scores, found
+        """The best k documents (scores, local numbers) for a query's terms; equal scores by the lower id.
+
+        Short lists are read first. The k-th best of their sums is a threshold: of the long lists, only blocks are read whose maxima can lift a
+        document to it, and only for those documents.
+        """
+        row = self.row_of[places]
+        short, long = places[row < 0], row[row >= 0]
+        posts = ranges(self.first[short], self.counts[short])
+        # sums of whole numbers far below 2 ** 53 are exact
+        total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=self.docs)
+        if len(long):
+            least = np.partition(total, self.docs - k)[self.docs - k] if self.docs > k else 0.0
+            bound = np.repeat(self.most[long].sum(0), BLOCK)[: self.docs]
+            open_ = np.flatnonzero((total + bound >= max(1.0, least)))
+            scores = (total[open_] + self.rows[long][:, open_].sum(0, dtype=np.int64)) if len(open_) * 4 > self.docs else total[open_] + self.rows[np.ix_(long, open_)].sum(0, dtype=np.int64)
+        else:
+            open_ = np.flatnonzero(total > 0)
+            scores = total[open_]
+        if len(open_) > k:
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            open_, scores = open_[keep], scores[keep]
+        open_, scores = open_[scores > 0], scores[scores > 0].astype(np.int64)
+        top = np.lexsort((ids[open_], -scores))[:k]
+        return scores[top], open_[top]
 
 
 def search_round(index: DataFrame, queries: list[dict], n_docs: int, total_length: int, k: int, query_type: str, id_type: str) -> DataFrame:
