@@ -5,10 +5,11 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioscale.functions import text
 from folioscale.operators import evaluation, images, layout, lines, receipt
 from folioscale.operators.invoice import invoices
 from folioscale.sources import files
-from folioscale.streaming import landing
+from folioscale.streaming import landing, progress
 
 INVOICE = """ACME Trading LLC
 12 Main Street
@@ -115,6 +116,16 @@ def test_streaming(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.json").write_text(json.dumps({"doc_id": "a", "text": INVOICE}) + "\n" + json.dumps({"doc_id": "e", "text": ""}) + "\n")
+    watch = progress.Progress()
+    spark.streams.addListener(watch)
     for _ in range(2):  # a file counts once, however often the job runs
         landing.process(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    spark.streams.removeListener(watch)
     assert [r.invoice_number for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["INV-2026-001"]
+    assert "started" in {e[1] for e in watch.events}
+
+
+def test_display(spark):
+    d = spark.createDataFrame([(0.456, 12.5, "USD"), (None, None, "USD"), (1.0, 3.0, "unknown"), (0.0, 1.0, None)], "c double, a double, k string")
+    got = [tuple(r) for r in d.select(text.percent(d.c), text.money_text(d.a, d.k)).collect()]
+    assert got == [("46%", "USD 12.50"), ("-", "-"), ("100%", "3.00"), ("0%", "1.00")]
