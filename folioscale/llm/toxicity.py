@@ -234,14 +234,24 @@ def parts_of(word: bytes) -> list[bytes]:
 
 
 def suspicion(texts: list[list[bytes]], y: np.ndarray) -> dict[bytes, float]:
-    """Log-odds of words, by the share of toxic and other documents in which they, or words with the same beginning, occur; the highest of both."""
-    seen: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+    """Log-odds, where positive, of words: by the share of toxic and other documents in which they, or words with the same beginning, occur; the highest of both."""
+    toxic: dict[bytes, int] = {}
     for words, label in zip(texts, y):
-        for part in {x for w in set(words) for x in parts_of(w)}:
-            seen[int(label)][part] = seen[int(label)].get(part, 0) + 1
+        for part in {x for w in set(words) for x in parts_of(w)} if label else ():
+            toxic[part] = toxic.get(part, 0) + 1
+    toxic = {x: k for x, k in toxic.items() if k >= 3}
+    other = dict.fromkeys(toxic, 0)
+    for words, label in zip(texts, y):
+        for part in {x for w in set(words) for x in parts_of(w) if x in other} if not label else ():
+            other[part] += 1
     n1, n0 = y.sum() + 2, len(y) - y.sum() + 2
-    odds = {x: float(np.log((k + 0.1) / n1) - np.log((seen[0].get(x, 0) + 0.5) / n0)) for x, k in seen[1].items() if k >= 3}
-    return {w: max(odds.get(x, 0.0) for x in parts_of(w)) for w in {w for words in texts for w in words}}
+    odds = {x: float(np.log((k + 0.1) / n1) - np.log((other[x] + 0.5) / n0)) for x, k in toxic.items()}
+    out: dict[bytes, float] = {}
+    for words in texts:
+        for w in set(words).difference(out):
+            if (most := max(odds.get(x, 0.0) for x in parts_of(w))) > 0:
+                out[w] = most
+    return out
 
 
 def chosen_windows(scores: list[np.ndarray], y: np.ndarray, r: np.random.Generator) -> list[tuple[int, int]]:
@@ -264,7 +274,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
         network.p["c"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else -4
         return network
     r = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
+    shared: dict[bytes, bytes] = {}  # one object for each distinct word
+    words = [[shared.setdefault(w, w) for w in words_of(t)] for t in texts]
     odds = suspicion(words, y)
     scores = []
     for t in words:
