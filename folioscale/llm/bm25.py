@@ -26,6 +26,9 @@ SHARD_DOCS, SHARD_TERMS, BLOCK, FREQUENT = 8_192, 6_000_000, 16, 1 / 8
 #: (query, term) pairs that are broadcast at once, 16 MB. More queries are answered in further rounds.
 ROUND_TERMS = 1_000_000
 
+#: Tasks of a round for each core of the cluster, at most.
+TASKS_PER_CORE = 3
+
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 _INDEX = "shard string, docs int, length long, terms binary, counts binary, doc binary, tf binary, lengths binary"
 
@@ -155,8 +158,8 @@ class ShardSearch:
         self.rows[np.repeat(np.arange(len(long)), counts[long]), self.doc[at]] = self.value[at]
         self.most = self.rows.reshape(len(long), blocks, BLOCK).max(2).astype(np.int64)
 
-    def best(self, places: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents (scores, local numbers) for a query's terms; equal scores by the lower id.
+    def best(self, places: np.ndarray, ids: np.ndarray, k: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The best k documents (scores, local numbers) of at least ``floor`` for a query's terms; equal scores by the lower id.
 
         Short lists are read first. The k-th best of their sums is a threshold: of the long lists, only blocks are read whose maxima can lift a
         document to it, and only for those documents.
@@ -169,21 +172,21 @@ class ShardSearch:
         if len(long):
             least = np.partition(total, self.docs - k)[self.docs - k] if self.docs > k else 0.0
             bound = np.repeat(self.most[long].sum(0), BLOCK)[: self.docs]
-            open_ = np.flatnonzero((total + bound >= max(1.0, least)))
+            open_ = np.flatnonzero(total + bound >= max(floor, least))
             scores = (total[open_] + self.rows[long][:, open_].sum(0, dtype=np.int64)) if len(open_) * 4 > self.docs else total[open_] + self.rows[np.ix_(long, open_)].sum(0, dtype=np.int64)
         else:
-            open_ = np.flatnonzero(total > 0)
+            open_ = np.flatnonzero(total >= floor)
             scores = total[open_]
         if len(open_) > k:
             keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
             open_, scores = open_[keep], scores[keep]
-        open_, scores = open_[scores > 0], scores[scores > 0].astype(np.int64)
+        open_, scores = open_[scores >= floor], scores[scores >= floor].astype(np.int64)
         top = np.lexsort((ids[open_], -scores))[:k]
         return scores[top], open_[top]
 
 
 def search_round(index: DataFrame, queries: list[dict], n_docs: int, total_length: int, k: int, query_type: str, id_type: str) -> DataFrame:
-    """The best k of every shard for some queries: ``query, doc, score``."""
+    """The best k of every task's shards for some queries: ``query, doc, score``. What a task has found so far is the floor for its next shard."""
     spark = index.sparkSession
     sets = [np.frombuffer(q["terms"], dtype=np.uint64) for q in queries]
     terms, places = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
@@ -193,25 +196,34 @@ def search_round(index: DataFrame, queries: list[dict], n_docs: int, total_lengt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, names = held.value
+        scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
+        docs: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
+        kind = None
         for batch in batches:
             for row in range(len(batch)):
                 one = batch.slice(row, 1)
                 shard = ShardSearch({n: one.column(n)[0].as_py() for n in ("terms", "counts", "doc", "tf", "lengths")}, r)
                 ids = one.column("ids").flatten()
-                keys = ids.to_numpy(zero_copy_only=False)
-                q, doc, score = [], [], []
-                for i, name in enumerate(names):
-                    s, found = shard.best(r.places[r.starts[i] : r.starts[i + 1]], keys, k)
-                    q += [name] * len(s)
-                    doc.append(found)
-                    score.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(q, q_type), ids.take(pa.array(np.concatenate(doc) if doc else [], pa.int64())), pa.array(np.concatenate(score) if score else [], pa.int64())], ["query", "doc", "score"])
+                kind, keys = ids.type, ids.to_numpy(zero_copy_only=False)
+                for i in range(len(names)):
+                    floor = int(scores[i][-1]) if len(scores[i]) == k else 1
+                    s, found = shard.best(r.places[r.starts[i] : r.starts[i + 1]], keys, k, floor)
+                    if len(s):
+                        s, d = np.concatenate([scores[i], s]), np.concatenate([docs[i], keys[found]]) if len(docs[i]) else keys[found]
+                        top = np.lexsort((d, -s))[:k]
+                        scores[i], docs[i] = s[top], d[top]
+        for i in range(0, len(names) if kind is not None else 0, 5_000):
+            n = [len(s) for s in scores[i : i + 5_000]]
+            some = [d for d in docs[i : i + 5_000] if len(d)]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, c in zip(names[i : i + 5_000], n) for _ in range(c)], q_type), pa.array(np.concatenate(some) if some else [], kind), pa.array(np.concatenate(scores[i : i + 5_000]), pa.int64())], ["query", "doc", "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     q_type = to_arrow_type(_parse_datatype_string(query_type))
-    return written(index.mapInArrow(run, f"query {query_type}, doc {id_type}, score long"), "found")
+    # a task keeps the best of all its shards, and there are a few tasks for each core: the rows grow with the queries, not with the shards as well
+    few = index.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return written(few.mapInArrow(run, f"query {query_type}, doc {id_type}, score long"), "found")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
