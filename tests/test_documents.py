@@ -96,7 +96,7 @@ def test_images(spark):
     sizes = {x.mode: (x.height, x.width) for x in images.prepare_pages(d, ["doc_id", "page"]).collect()}
     assert sizes["basic"] == (50 * 2 + 36, 80 * 2 + 36) and sizes["sorie"] == (200 + 48, 320 + 48)
     assert images.document_quality(images.quality_warnings(images.image_measures(d, ["doc_id", "page"]))).first().page_count == 2
-    read = images.recognise(d, ["doc_id", "page"], lambda: lambda g: [(f"{g.shape[0]} rows", 0.9, box(0, 0, 1, 1))]).collect()
+    read = images.recognise(d, ["doc_id", "page"], lambda: lambda g: [(f"{g.shape[0]} rows", 0.9, [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]])]).collect()
     assert [(x.page, x.text, x.line_id) for x in read] == [(1, "50 rows", "l0001")]
 
 
