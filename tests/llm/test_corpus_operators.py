@@ -198,3 +198,15 @@ def test_pipeline_stages(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     kept = corpus_pipeline.one_of_each_group(spark, d, "")
     assert kept.columns == d.columns and sorted(map(repr, (x.doc_id for x in kept.collect()))) == sorted(map(repr, [2, 7, 11, None]))
+
+
+def test_pipeline_tells_rows_apart(spark):
+    import corpus_pipeline
+
+    ship(spark)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a), (9, a), (9, b), (9, c), (9, c), (4, c.upper()), (None, b), (None, b), (None, "only one here with a null id"), (11, None), (11, ""), (12, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(x) for x in corpus_pipeline.one_of_each_group(spark, d, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(2, a), (9, b), (4, c.upper()), (None, b), (None, "only one here with a null id"), (11, None), (11, ""), (12, None)], key=repr)
+    assert corpus_pipeline.one_of_each_group(spark, d.limit(0), "").count() == 0
