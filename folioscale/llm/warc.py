@@ -148,6 +148,11 @@ def write_index(captures: DataFrame, folder: str, shards: int) -> list[tuple[str
     return sorted((r["name"], r["first"], r["last"]) for r in rows)
 
 
+def key_of_line(line: bytes) -> bytes:
+    """What the lines are sorted by. The whole line is in another order: keys can go on with bytes below the tab that ends them."""
+    return line.split(b"\t", 1)[0]
+
+
 class IndexReader:
     """Lookups in one folder's index files; a file's directory and its last block are kept."""
 
@@ -176,7 +181,7 @@ class IndexReader:
         k = bisect.bisect_left(self.lasts, key)
         while k < len(self.directory) and self.directory[k][0] <= key:
             lines = self.block(k)
-            at = bisect.bisect_left(lines, key + b"\t")
+            at = bisect.bisect_left(lines, key, key=key_of_line)
             while at < len(lines) and lines[at].startswith(key + b"\t"):
                 _, file, offset, length = lines[at].decode().split("\t")
                 yield file, int(offset), int(length)

@@ -150,6 +150,17 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_keys_that_go_on_below_the_tab(spark):
+    ship(spark)
+    urls = ["http://a.com/p", "http://a.com/p\x01", "http://a.com/p\x08x", "http://a.com/p\x0b", "http://a.com/p!", "http://a.com/o", "http://a.com/p\x01"]
+    d = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(x.page_id for x in warc.round_trip(d).collect()) == list(range(len(urls)))
+    archive = warc.write(d, shards=1)
+    for u in set(urls):
+        found = warc.lookup(archive, spark.createDataFrame([(u,)], "url string").select(warc.url_key(F.col("url")).alias("key")))
+        assert sorted(int(x.page_id) for x in warc.read_records(archive, found).collect()) == [i for i, x in enumerate(urls) if x == u]
+
+
 def plain_search(rows, asked, k):
     counts = [(i, Counter((t or "").encode().translate(bm25._CLEAN).split())) for i, t in rows if i is not None]
     n, average = len(counts), sum(sum(c.values()) for _, c in counts) / max(1, len(counts))
