@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,6 +216,18 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, in
     return out
 
 
+def crc32_of_ids(ids: str) -> Column:
+    """crc32 of a column of ids, each as four bytes, the lowest first."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            data = memoryview(batch.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+            ends = 4 * np.cumsum([0, *batch.value_lengths().to_pylist()])
+            yield pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64())
+
+    return F.arrow_udf(run, "long")(F.col(ids))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 

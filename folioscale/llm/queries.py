@@ -25,9 +25,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioscale.llm.packing import pack
+    from folioscale.llm.packing import crc32_of_ids, pack
 
-    return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+    out = pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("ids_crc32", crc32_of_ids("ids")).drop("ids")
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

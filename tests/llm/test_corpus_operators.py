@@ -3,13 +3,14 @@
 import base64
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscale.llm import bm25, components, jaccard_join, shingles, url_lm, warc
+from folioscale.llm import bm25, components, jaccard_join, packing, shingles, url_lm, warc
 from folioscale.plans.session import ship
 
 RULES = [url_lm.UrlRule.parse(x, v) for x, v in (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))]
@@ -221,3 +222,29 @@ def test_pipeline_tells_rows_apart(spark):
     kept = [tuple(x) for x in corpus_pipeline.one_of_each_group(spark, d, "").collect()]
     assert sorted(kept, key=repr) == sorted([(2, a), (9, b), (4, c.upper()), (None, b), (None, "only one here with a null id"), (11, None), (11, ""), (12, None)], key=repr)
     assert corpus_pipeline.one_of_each_group(spark, d.limit(0), "").count() == 0
+
+
+def test_packing_gives_its_ids(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    import public_tokenizers
+    import tokenizers
+    from folioscale.llm import queries
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "some words here", "many words " * 1500]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = sorted((i, k, *x) for i, t in enumerate(texts) for k, x in enumerate(plain_pieces(library, t)))
+    assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids) for x in corpus_pipeline.pack_sequences(spark, d, "").collect()) == expected
+    made, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: made.append(pack(*a, **b)) or made[-1])
+    got = queries.op3_best_fit_packing(spark, str(tmp_path))
+    assert "ids" in made[0].columns and got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got.collect()) == [(*x[:4], zlib.crc32(np.array(x[4], dtype="<u4").tobytes())) for x in expected]
+
+
+def plain_pieces(library, text, capacity=1024):
+    """(start, length, ids) of a text's pieces; only the first may be shorter than the capacity."""
+    ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+    cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
+    return [(a, b - a, ids[a:b]) for a, b in zip(cuts, cuts[1:])]
