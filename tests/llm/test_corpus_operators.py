@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscale.llm import bm25, components, jaccard_join, packing, shingles, url_lm, warc
+from folioscale.llm import bm25, components, jaccard_join, packing, quality_gbt, shingles, toxicity, url_lm, warc
 from folioscale.plans.session import ship
 
 RULES = [url_lm.UrlRule.parse(x, v) for x, v in (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))]
@@ -259,3 +259,76 @@ def test_sample_has_one_text_for_each_label_row(spark):
     got = [tuple(x) for x in labelled_sample(docs, labels, "toxic", 10, "doc_id", "text", "doc_id", folds=1, held_out=1, most_chars=100).collect()]
     assert sorted((k, y) for k, _, y in got) == [(7, 0), (7, 1), (8, 0), (9, 1)]
     assert {t for k, t, _ in got if k == 8} == {"a"} and {t for k, t, _ in got if k == 9} == {""} and len({t for k, t, _ in got if k == 7} & {f"text {i}" for i in range(60)}) == 1
+
+
+def plain_stages(rows, labels):
+    """The rows (id, text, further column) that the first three stages keep, stage by stage, and the pieces of the fourth."""
+    import public_tokenizers
+    import tokenizers
+
+    def examples(rows, column):
+        known = {x[0]: x[column] for x in labels if x[0] is not None and x[column] in (0, 1) and zlib.crc32(str(x[0]).encode()) % 5}
+        found = {i: t or "" for i, t, _ in rows if i in known}
+        return [found[i] for i in sorted(found)], np.array([float(known[i]) for i in sorted(found)])
+
+    reader = toxicity.Reader(toxicity.train(*examples(rows, 2)))
+    clean = [x for x in rows if not x[1] or reader.scores([x[1]])[0] < 0.5]
+    texts, y = examples(clean, 1)
+    trees = quality_gbt.train(np.stack([quality_gbt.statistics(t) for t in texts]), y)
+    good = [x for x in clean if trees.score(quality_gbt.statistics(x[1])[None])[0] >= 0.3]
+    numbered = plain_groups_of_rows(good)
+    kept = [good[k] for k in numbered]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return clean, good, kept, [(i, k, *x) for i, t, _ in kept for k, x in enumerate(plain_pieces(library, t))]
+
+
+def plain_groups_of_rows(rows):
+    """Places of the rows that stay: of each group the least id's, and one without an id."""
+    groups = {k: component for k, _, component, _ in plain_groups([(k, t) for k, (_, t, _) in enumerate(rows)], 5, 80, 100)}
+    first = {}
+    for k, (i, _, _) in enumerate(rows):
+        key = groups[k], i is None
+        if key not in first or (i is not None and i < rows[first[key]][0]):
+            first[key] = k
+    return sorted(first.values())
+
+
+def test_every_stage_of_the_pipeline(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    ship(spark)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 60)
+    r = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("plain", "usual", "kind", "quiet", "green") for b in "abcdefgh"]
+    rows = []
+    for i in range(240):
+        text = " ".join(r.choice(words, 30))
+        rows.append((i, "you awful scum and moron go away " + text if i % 4 == 0 else "### $$$ !!! %%% " * (i % 7 + 1) if i % 4 == 1 else text, f"extra {i}"))
+    good = [x for x in rows if x[0] % 4 == 2]
+    rows += [(300 + k, t, "copy") for k, (_, t, _) in enumerate(good[:5])] + [(310 + k, t.rsplit(" ", 1)[0], "near copy") for k, (_, t, _) in enumerate(good[:5])]
+    rows += [(400, good[6][1], "id twice"), (400, good[7][1] + " and more of another kind than that", "id twice"), (401, "long " + " ".join(r.choice(words, 3000)), "long")]
+    rows += [(None, good[8][1], "null id"), (None, good[8][1], "null id"), (500, None, "null"), (501, "", "empty"), (502, None, None)]
+    labels = [(i, int(i % 4 != 1), int(i % 4 == 0)) for i in range(240)] + [(5000, 1, 0), (None, 1, 1), (401, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    *kept, pieces = plain_stages(rows, labels)
+    assert len(rows) > len(kept[0]) > len(kept[1]) > len(kept[2]) and not [x for x in kept[0] if x[0] is not None and x[0] < 240 and x[0] % 4 == 0]
+    assert {500, 501, 502} <= {x[0] for x in kept[0]} and not [x for x in kept[1] if x[0] is not None and x[0] < 240 and x[0] % 4 == 1]
+
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, kept):
+        out = stage(spark, d, str(tmp_path)).collect()
+        # which of two rows with the same id and text stays is not told by their further columns
+        assert sorted((tuple(x)[:2] for x in out), key=repr) == sorted((x[:2] for x in expected), key=repr), name
+        assert {tuple(x) for x in out} <= set(rows), name
+        d = spark.createDataFrame(expected, "doc_id long, text string, extra string").repartition(2)
+    for packed in (corpus_pipeline.pack_sequences(spark, d, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        got = packed.collect()
+        assert sorted(((x.doc_id, x.piece, x.start, x.length, x.ids) for x in got), key=repr) == sorted(pieces, key=repr)
+        at = defaultdict(int)
+        for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+            assert x.offset == at[x.sequence_id]
+            at[x.sequence_id] += x.length
+        assert max(at.values()) <= 1024
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
