@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,53 +24,65 @@ from pyspark.sql import types as T
 
 from folioscale.plans.session import written
 
-#: Longer texts go through the tokenizers library, whose time does not depend on their runs of white space.
-FAST_CHARS = 300_000
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet of tokenizer files: printable bytes stand for themselves, others for code points from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Characters of chunks that a Python worker remembers; beyond it, it forgets all and starts anew.
+REMEMBERED_CHARS = 8_000_000
+# Unicode white space, on which byte-level tokenizers split a text.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Tokenizer:
-    """The ids that the tokenizers library gives. Files of byte-level BPE whose ids follow the order of merges run on tiktoken."""
+    """The ids of the tokenizers library.
+
+    A byte-level BPE works on each chunk between white space by itself, so the library is asked once for each distinct chunk, and texts of any length
+    are put together from remembered chunks. Other kinds of tokenizers are asked for every whole text.
+    """
 
     def __init__(self, path: str):
         import tokenizers
 
-        self.slow = tokenizers.Tokenizer.from_file(path)
-        self.fast = None
+        self.library = tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, split = spec["model"], spec.get("pre_tokenizer") or {}
-        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        split, added = spec.get("pre_tokenizer") or {}, spec["added_tokens"]
         level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
-        ids = [model["vocab"].get(m, -1) for m in merges]
-        if plain and level and not spec.get("normalizer") and ids == sorted(set(ids)) and all(x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in spec["added_tokens"]):
-            import public_tokenizers
-            import tiktoken
-
-            alphabet = byte_alphabet()
-            special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-            ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-            if all(ranks.get(bytes([b]), 1 << 30) < min(ids, default=0) for b in range(256)):
-                self.fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast and len(text) <= FAST_CHARS:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        self.by_chunk = spec["model"]["type"] == "BPE" and level and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        self.chunks = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+        self.added = re.compile("(" + "|".join(re.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"]))) + ")") if added else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.by_chunk:
+            return [np.frombuffer(x, dtype="<u4") for x in self.ask(texts)]
+        out = []
+        for text in texts:
+            # an added token parts a text: the white space before it is at the end of its part
+            parts = self.added.split(text) if self.added else [text]
+            chunks = self.chunks.findall(text) if len(parts) == 1 else [c for k, part in enumerate(parts) for c in ([part] if k % 2 else self.chunks.findall(part))]
+            distinct = set(chunks)
+            if self.size > REMEMBERED_CHARS:
+                self.forget()
+            new = [c for c in distinct if c not in self.known]
+            self.known.update(zip(new, self.ask(new)))
+            self.size += sum(map(len, new))
+            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<u4"))
+        return out
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
 
 
 def tokenizer(path: str) -> Tokenizer:
+    """One tokenizer for each file and Python worker. Tasks share a machine's cores, so the library starts no threads of its own."""
     if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _TOKENIZERS[path] = Tokenizer(path)
     return _TOKENIZERS[path]
 
@@ -80,11 +94,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, seen = tokenizer(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        end = np.array([end_id], dtype=np.uint32)
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
             rows, pieces, starts, lengths, crcs, nths, kept = [], [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.concatenate([t.ids(text or "").astype("<u4", copy=False), end])
+            for row, found in enumerate(t.ids([x or "" for x in batch.column(1).to_pylist()])):
+                ids = np.concatenate([found, end])
                 first = len(ids) % capacity or capacity
                 packed = ids.tobytes()
                 for k, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity))):
