@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding with numpy matrices.
 
-The distinct pre-tokens of a batch are put in matrices, one per byte length. In every round each row merges its leftmost pair
-of minimum rank; ranks come from a hashed pair table; rows with no mergeable pair leave the matrix (compaction), and all other rows
-get one column shorter.
+The distinct pre-tokens of a batch are put in padded matrices, by byte length. In every round each row merges its leftmost pair of minimum rank, and with
+it the further places of the same pair, up to the first whose merge makes a pair of lower rank, which has to come next. So a round stands for many steps of
+"merge the leftmost pair of minimum rank", in the same order. Ranks come from a hashed pair table. Rows with no mergeable pair leave the matrix, and all
+others are compacted to the columns that they still need.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 
 #: No merge; above every rank.
 NONE = np.uint32(0xFFFFFFFF)
-#: Pre-tokens of more bytes are merged with a heap, which gives the same merges in n log n steps.
-MATRIX_BYTES = 256
 #: Distinct pre-tokens that a Python worker remembers; beyond it, it forgets all and starts anew.
 REMEMBERED = 250_000
+#: Cells of a matrix, unless a single row has more.
+CELLS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,67 +91,75 @@ class Codec:
         self.decimal: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
 
-    def merge_matrix(self, rows: np.ndarray) -> list[np.ndarray]:
-        """The ids of each row of a matrix of byte ids, all rows of one length."""
-        out: list = [None] * len(rows)
-        ids, at = rows, np.arange(len(rows))
-        ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])
+    def merge_matrix(self, ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """The ids of each row of a padded matrix of byte ids, given the rows' lengths."""
+        out: list = [None] * len(ids)
+        at = np.arange(len(ids))
+        ranks = self.ranks_of(ids, lengths)
         while len(ids):
-            if ids.shape[1] == 1:
-                for i, row in zip(at.tolist(), ids):
-                    out[i] = row
-                break
-            where = ranks.argmin(1)
-            best = ranks[np.arange(len(ids)), where]
+            best = ranks.min(1) if ranks.shape[1] else np.full(len(ids), NONE)
             done = best == NONE
             if done.any():
-                for i, row in zip(at[done].tolist(), ids[done]):
-                    out[i] = row
-                ids, ranks, at, where, best = ids[~done], ranks[~done], at[~done], where[~done], best[~done]
+                for i, row, n in zip(at[done].tolist(), ids[done], lengths[done].tolist()):
+                    out[i] = row[:n]
+                ids, ranks, at, lengths, best = ids[~done], ranks[~done], at[~done], lengths[~done], best[~done]
                 if not len(ids):
                     break
-            n, k = np.arange(len(ids)), ids.shape[1] - 1
-            later = np.arange(k)[None, :] > where[:, None]
-            ids = np.where(later, ids[:, 1:], ids[:, :-1])
-            ids[n, where] = best
-            if k > 1:
-                ranks = np.where(later[:, : k - 1] | (np.arange(k - 1)[None, :] == where[:, None]), ranks[:, 1:], ranks[:, :-1])
-                for step, fits in ((-1, where > 0), (0, where < k - 1)):
-                    r, c = n[fits], where[fits] + step
-                    ranks[r, c] = self.pairs.find(ids[r, c], ids[r, c + 1])
+            r, c = self.places(ids, ranks, lengths, best)
+            # the left cell of each place becomes the merged token, its right cell goes
+            ids[r, c] = best[r]
+            stays = np.ones(ids.shape, dtype=bool)
+            stays[r, c + 1] = False
+            before = np.bincount(r, minlength=len(ids))
+            shift = np.cumsum(~stays, 1)
+            lengths = lengths - before
+            width = int(lengths.max())
+            row, col = np.nonzero(stays & (np.arange(ids.shape[1]) < (lengths + before)[:, None]))
+            to = col - shift[row, col]
+            new_ids = np.zeros((len(ids), width), dtype=np.uint32)
+            new_ids[row, to] = ids[row, col]
+            new_ranks = np.full((len(ids), max(0, width - 1)), NONE, dtype=np.uint32)
+            inner = to < width - 1
+            old = np.minimum(col[inner], ranks.shape[1] - 1)
+            new_ranks[row[inner], to[inner]] = np.where(col[inner] < ranks.shape[1], ranks[row[inner], old], NONE)
+            # pairs with a merged token are looked up anew
+            place = c - shift[r, c]
+            for rr, cc in ((r, place - 1), (r, place)):
+                fits = (cc >= 0) & (cc < lengths[rr] - 1)
+                rr, cc = rr[fits], cc[fits]
+                new_ranks[rr, cc] = self.pairs.find(new_ids[rr, cc], new_ids[rr, cc + 1])
+            # the last pair of a row was one with a cell that is gone
+            short = np.flatnonzero(lengths < width)
+            new_ranks[short, lengths[short] - 1] = NONE
+            ids, ranks = new_ids, new_ranks
         return out
 
-    def merge_heap(self, token: bytes) -> np.ndarray:
-        """The same merges for one long pre-token: a heap of (rank, position) over a linked list."""
-        ids = self.byte_ids[np.frombuffer(token, dtype=np.uint8)]
-        first = self.pairs.find(ids[:-1], ids[1:]).tolist()
-        ids, n, none = ids.tolist(), len(token), int(NONE)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i) for i, rank in enumerate(first) if rank != none]
-        heapq.heapify(heap)
-        text_of = {rank: token_ for token_, rank in self.ranks.items()} if heap else {}
-        rank_at = dict(enumerate(first))
-
-        def rank_of(i: int) -> int:
-            j = after[i]
-            return none if i < 0 or j >= n else self.ranks.get(text_of[ids[i]] + text_of[ids[j]], none)
-
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if rank_at.get(i) != rank:
-                continue
-            j = after[i]
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            rank_at.pop(j, None)
-            for x in (before[i], i):
-                if x >= 0:
-                    rank_at[x] = rank_of(x)
-                    if rank_at[x] != none:
-                        heapq.heappush(heap, (rank_at[x], x))
-        return np.array([x for x in ids if x >= 0], dtype=np.uint32)
+    def ranks_of(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        found = self.pairs.find(ids[:, :-1], ids[:, 1:])
+        found[np.arange(found.shape[1]) >= lengths[:, None] - 1] = NONE
+        return found
+
+    def places(self, ids: np.ndarray, ranks: np.ndarray, lengths: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the pairs that are merged in one round, by row and from left to right."""
+        r, c = np.nonzero(ranks == best[:, None])
+        first = np.append(True, r[1:] != r[:-1])
+        if first.all():
+            return r, c
+        # of places that overlap, every other one counts from the left
+        joined = ~first & (c == np.append(-2, c[:-1]) + 1)
+        run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(r))))
+        even = (np.arange(len(r)) - run) % 2 == 0
+        r, c = r[even], c[even]
+        first = np.append(True, r[1:] != r[:-1])
+        # a merge is the round's last one if it makes a pair of lower rank
+        after_merged = ~first & (c == np.append(-2, c[:-1]) + 2)
+        left = np.where(after_merged, best[r], ids[r, np.maximum(c - 1, 0)])
+        lower = (c > 0) & (self.pairs.find(left, best[r]) < best[r])
+        right = np.minimum(c + 2, ids.shape[1] - 1)
+        lower |= (c + 2 < lengths[r]) & (self.pairs.find(best[r], ids[r, right]) < best[r])
+        ended = np.cumsum(lower) - lower
+        keep = ended == ended[np.flatnonzero(first)][np.cumsum(first) - 1]
+        return r[keep], c[keep]
 
     def learn(self, tokens: set[str]) -> None:
         """Encode the pre-tokens that are not remembered yet, by length."""
@@ -164,14 +172,11 @@ class Codec:
             b = t.encode()
             by_length.setdefault(len(b), []).append((t, b))
         for length, rows in by_length.items():
-            if length > MATRIX_BYTES:
-                encoded = [self.merge_heap(b) for _, b in rows]
-            else:
-                encoded = []
-                step = max(1, 2_000_000 // length)
-                for i in range(0, len(rows), step):
-                    part = np.frombuffer(b"".join(b for _, b in rows[i : i + step]), dtype=np.uint8).reshape(-1, length)
-                    encoded += self.merge_matrix(self.byte_ids[part])
+            encoded = []
+            step = max(1, CELLS // length)
+            for i in range(0, len(rows), step):
+                part = np.frombuffer(b"".join(b for _, b in rows[i : i + step]), dtype=np.uint8).reshape(-1, length)
+                encoded += self.merge_matrix(self.byte_ids[part], np.full(len(part), length))
             for (t, _), ids in zip(rows, encoded):
                 self.packed[t] = ids.tobytes()
                 self.decimal[t] = ",".join(map(str, ids.tolist())).encode()
