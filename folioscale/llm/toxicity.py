@@ -1,12 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over a word input and a character input, trained in numpy.
 
 A text is read as overlapping windows of words, all of which are scored; its score is that of its worst window. The labels are of
-documents, so training picks windows by itself: first by the log-odds of their words, then by the network of the epoch before.
+documents, so training picks windows by itself: first by the log-odds of their words, then by the network of the epoch before. The log-odds
+come from whole texts and are counted on Spark; of each text of the sample, of any length, the driver gets a bounded number of windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscale.llm.labels import labelled_sample, remainder
-
-#: The training sample: label rows of each class at most, and characters of a document at most (longer ones are scored, not learned from).
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 24_000
+from folioscale.plans.session import written
+
+#: The training sample: label rows of each class at most.
+SAMPLE_PER_CLASS = 2_000
+#: Of each text of the sample: windows with the highest log-odds, further ones spread over the text, and bytes of a word, at most.
+KEPT_WORST, KEPT_SPREAD, WORD_BYTES = 24, 8, 64
+#: Word parts with log-odds above 0, at most, the highest first.
+PARTS = 200_000
 #: Words of a window, and from one window's start to the next: neighbours share WINDOW - STEP words.
 WINDOW, STEP = 32, 24
 WORD_ROWS, GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 13, 8, 8, 4
@@ -233,25 +239,30 @@ def parts_of(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"*" for k in PREFIXES if k < len(word))]
 
 
-def suspicion(texts: list[list[bytes]], y: np.ndarray) -> dict[bytes, float]:
-    """Log-odds, where positive, of words: by the share of toxic and other documents in which they, or words with the same beginning, occur; the highest of both."""
-    toxic: dict[bytes, int] = {}
-    for words, label in zip(texts, y):
-        for part in {x for w in set(words) for x in parts_of(w)} if label else ():
-            toxic[part] = toxic.get(part, 0) + 1
-    toxic = {x: k for x, k in toxic.items() if k >= 3}
-    other = dict.fromkeys(toxic, 0)
+def count_parts(texts: Iterable[list[bytes]], y: Iterable[float]) -> dict[bytes, list[int]]:
+    """In how many other and toxic texts each word, and each beginning of a word, occurs."""
+    counts: dict[bytes, list[int]] = {}
     for words, label in zip(texts, y):
-        for part in {x for w in set(words) for x in parts_of(w) if x in other} if not label else ():
-            other[part] += 1
-    n1, n0 = y.sum() + 2, len(y) - y.sum() + 2
-    odds = {x: float(np.log((k + 0.1) / n1) - np.log((other[x] + 0.5) / n0)) for x, k in toxic.items()}
-    out: dict[bytes, float] = {}
-    for words in texts:
-        for w in set(words).difference(out):
-            if (most := max(odds.get(x, 0.0) for x in parts_of(w))) > 0:
-                out[w] = most
-    return out
+        for part in {x for w in set(words) for x in parts_of(w)}:
+            counts.setdefault(part, [0, 0])[int(label)] += 1
+    return counts
+
+
+def odds_of(counts: Iterable[tuple[bytes, int, int]], n_other: int, n_toxic: int) -> dict[bytes, float]:
+    """Log-odds, where positive, of parts ``(part, other texts, toxic texts)``: by the share of texts of either label in which they occur."""
+    odds = ((x, float(np.log((k + 0.1) / (n_toxic + 2)) - np.log((other + 0.5) / (n_other + 2)))) for x, other, k in counts if k >= 3)
+    return dict(sorted(((x, o) for x, o in odds if o > 0), key=lambda z: (-z[1], z[0]))[:PARTS])
+
+
+def kept_windows(words: list[bytes], odds: dict[bytes, float]) -> tuple[list[list[bytes]], list[float]]:
+    """The windows of a text that training can learn from, in their order, and the sums of their words' log-odds."""
+    of = {w: max(odds.get(x, 0.0) for x in parts_of(w)) for w in set(words)}
+    total = np.concatenate([[0], np.cumsum([of[w] for w in words])])
+    s = window_starts(len(words))
+    scores = total[np.minimum(s + WINDOW, len(words))] - total[s]
+    spread = np.linspace(0, len(s) - 1, min(len(s), KEPT_SPREAD)).astype(int)
+    keep = np.union1d(np.argsort(-scores, kind="stable")[:KEPT_WORST], spread)
+    return [[w[:WORD_BYTES] for w in words[s[k] : s[k] + WINDOW]] for k in keep], scores[keep].tolist()
 
 
 def chosen_windows(scores: list[np.ndarray], y: np.ndarray, r: np.random.Generator) -> list[tuple[int, int]]:
@@ -267,7 +278,14 @@ def chosen_windows(scores: list[np.ndarray], y: np.ndarray, r: np.random.Generat
 
 
 def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Train on whole texts and their labels. Without examples of both classes the network answers the smoothed share of label 1."""
+    """Train on texts and their labels, all in one process: what ``fit`` does on Spark."""
+    words = [words_of(t) for t in texts]
+    odds = odds_of(((x, *n) for x, n in count_parts(words, y).items()), int(len(y) - y.sum()), int(y.sum()))
+    return train_windows([kept_windows(w, odds) for w in words], y, epochs, seed)
+
+
+def train_windows(texts: list[tuple[list[list[bytes]], list[float]]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """Train on the windows of texts with their first scores, and the texts' labels. Without examples of both classes the network answers the smoothed share of label 1."""
     network = Network.fresh(seed)
     if not 0 < y.sum() < len(y):
         network.p["o"][:] = 0
@@ -275,14 +293,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
         return network
     r = np.random.default_rng(seed)
     shared: dict[bytes, bytes] = {}  # one object for each distinct word
-    words = [[shared.setdefault(w, w) for w in words_of(t)] for t in texts]
-    odds = suspicion(words, y)
-    scores = []
-    for t in words:
-        w = np.maximum(0, np.array([odds.get(x, 0.0) for x in t] + [0.0]))
-        total = np.concatenate([[0], np.cumsum(w)])
-        s = window_starts(len(t))
-        scores.append(total[np.minimum(s + WINDOW, len(t))] - total[s])
+    windows = [[[shared.setdefault(w, w) for w in x] for x in kept] for kept, _ in texts]
+    scores = [np.array(s) for _, s in texts]
+    all_windows, ends = [x for kept in windows for x in kept], np.cumsum([len(kept) for kept in windows])
     network.p["c"][:] = -1
     m = {k: np.zeros_like(v) for k, v in network.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in network.p.items()}
@@ -290,13 +303,14 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(chosen_windows(scores, y, np.random.default_rng(seed)))))
     for epoch in range(epochs):
         if epoch >= max(3, epochs // 3):
-            logits, begins = Reader(network).window_logits(words)
-            scores = np.split(logits, begins[1:])
+            reader = Reader(network)
+            logits = np.concatenate([reader.window_logits(all_windows[i : i + 4 * AT_ONCE])[0] for i in range(0, len(all_windows), 4 * AT_ONCE)])
+            scores = np.split(logits, ends[:-1])
         picks = chosen_windows(scores, y, r)
         order = r.permutation(len(picks))
         for i in range(0, len(order), BATCH):
             batch = [picks[k] for k in order[i : i + BATCH]]
-            parts = [words[t][k * STEP : k * STEP + WINDOW] for t, k in batch] + [[]]  # and an empty window, which is not toxic
+            parts = [windows[t][k] for t, k in batch] + [[]]  # and an empty window, which is not toxic
             labels = np.array([float(y[t]) for t, _ in batch] + [0.0], dtype=np.float32)
             distinct = sorted(set().union(*parts)) or [b"-"]
             number = {w: n for n, w in enumerate(distinct)}
@@ -320,9 +334,34 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", rows_per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """A network trained on a bounded sample: the driver gets at most 2 * rows_per_class texts of at most SAMPLE_CHARS characters."""
-    got = labelled_sample(docs, labels, label, rows_per_class, id_col, text_col, label_id, most_chars=SAMPLE_CHARS).orderBy("key", "label", F.xxhash64("text")).select("text", "label").toArrow()
-    return train(got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64))
+    """A network trained on a sample of at most 2 * rows_per_class whole texts.
+
+    The sample is written once. The driver gets at most PARTS word parts and, for each text, at most KEPT_WORST + KEPT_SPREAD windows, whatever the
+    texts' lengths.
+    """
+    sample = written(labelled_sample(docs, labels, label, rows_per_class, id_col, text_col, label_id), "sample")
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = count_parts(map(words_of, batch.column(0).to_pylist()), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))], ["part", "other", "toxic"])
+
+    parts = sample.select("text", "label").mapInArrow(count, "part binary, other long, toxic long").groupBy("part").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    odd = (F.col("toxic") + 0.1) * (n.get(0, 0) + 2) / ((F.col("other") + 0.5) * (n.get(1, 0) + 2))
+    got = parts.where((F.col("toxic") >= 3) & (odd > 0.999)).orderBy(F.desc(odd), "part").limit(PARTS).collect()
+    odds = odds_of(((bytes(r["part"]), r["other"], r["toxic"]) for r in got), n.get(0, 0), n.get(1, 0))
+    held = docs.sparkSession.sparkContext.broadcast(odds)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = [kept_windows(words_of(t), held.value) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[b" ".join(x) for x in kept] for kept, _ in picked], pa.list_(pa.binary())), pa.array([s for _, s in picked], pa.list_(pa.float64())), batch.column(2)], ["key", "windows", "scores", "label"])
+
+    key = sample.schema["key"].dataType.simpleString()
+    rows = sample.select("key", "text", "label").mapInArrow(pick, f"key {key}, windows array<binary>, scores array<double>, label int").orderBy("key", "label").toArrow()
+    kept = [([w.split() for w in x], s) for x, s in zip(rows.column("windows").to_pylist(), rows.column("scores").to_pylist())]
+    return train_windows(kept, rows.column("label").to_numpy().astype(np.float64))
 
 
 def with_score(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:

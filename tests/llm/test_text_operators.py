@@ -54,11 +54,41 @@ def test_bpe_any_text(text):
     assert ids.tolist() == test_bpe_any_text.t.encode_ordinary(text) and c.decode(ids) == text.encode()
 
 
+def test_bpe_long_runs(multi):
+    r = np.random.default_rng(9)
+    c = bpe.codec(MULTI, public_tokenizers.PATTERN)
+    texts = ["".join(r.choice(list(alphabet), n)) for alphabet in ("a", "ab", "acgt", "ering", "漢字仮名", "!?.", "01") for n in (2, 255, 256, 257, 1000, 20_000)] + [" " * 5000, "aab" * 3000]
+    for text, (ids, _) in zip(texts, bpe.grouped_encode(c, texts)):
+        assert ids.tolist() == multi.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=80))
+@given(st.lists(st.sampled_from(["a", "b", "e", "er", "in", "ing", "s", "t", "th", "é", "字"]), max_size=60))
+def test_bpe_any_letters(multi, parts):
+    c, text = bpe.codec(MULTI, public_tokenizers.PATTERN), "".join(parts)
+    assert next(c.encode([text]))[0].tolist() == multi.encode_ordinary(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x0b\x1c\x85\xa0\u2003\u3000ab.1'")), max_size=80))
 def test_tokenizer_as_library(text):
     t = packing.tokenizer(PLAIN)
-    assert t.fast is not None and t.ids(text).tolist() == t.slow.encode(text, add_special_tokens=False).ids
+    assert t.by_chunk and t.ids([text])[0].tolist() == t.library.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_on_every_code_point_and_long_runs():
+    t = packing.tokenizer(PLAIN)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a {c}" for c in chars[i : i + 4096]) for i in range(0, len(chars), 4096)]
+    texts += [" " * 1_500_000, "\n " * 400_000 + "x", "a" * 300_000, " b" * 200_000, "a  <|endoftext|>  <|endoftext|>\n\n<|endoftext|> b"]
+    for text, ids in zip(texts, t.ids(texts)):
+        assert ids.tolist() == t.library.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_of_another_kind(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = packing.tokenizer(path)
+    assert not t.by_chunk and [x.tolist() for x in t.ids(["Some Words here", ""])] == [x.ids for x in t.library.encode_batch(["Some Words here", ""], add_special_tokens=False)]
 
 
 def test_packing(docs):
@@ -209,6 +239,43 @@ def test_windows_overlap_and_reach_the_end():
     assert np.allclose(reader.scores(texts, most=5), [reader.scores([t])[0] for t in texts])
 
 
+def plain_score(net, text):
+    """The score of a text by reading each window word by word."""
+    p, h, words = net.p, toxicity.HIDDEN, toxicity.words_of(text)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    worst = -np.inf
+    for at in toxicity.window_starts(len(words)):
+        window = words[at : at + toxicity.WINDOW]
+        states = np.zeros((len(window), 2 * h))
+        x = [np.concatenate([p["words"][toxicity.word_rows([w])[0]], p["grams"][toxicity.gram_rows([w])[0]].mean(0)]) for w in window]
+        for k, part, order in (("f", slice(0, h), range(len(window))), ("b", slice(h, None), reversed(range(len(window))))):
+            state = np.zeros(h)
+            for t in order:
+                g, s = x[t] @ p["w" + k] + p["b" + k], state @ p["u" + k]
+                z, r = sig(g[:h] + s[:h]), sig(g[h : 2 * h] + s[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * s[2 * h :])
+                states[t, part] = state
+        e = np.tanh(states @ p["a"]) @ p["v"]
+        weights = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(window) else e
+        worst = max(worst, float((weights @ states) @ p["o"] + p["c"][0]) if len(window) else float(p["c"][0]))
+    return sig(worst)
+
+
+def test_scores_as_reading_word_by_word():
+    net = toxicity.Network.fresh(3)
+    r = np.random.default_rng(3)
+    words = ["plain", "awful", "scum", "Words", "ü", "moron12", "a"]
+    texts = [None, "", "one", *(" ".join(r.choice(words, n)) for n in (5, 31, 32, 33, 57, 200))]
+    assert np.allclose(toxicity.Reader(net).scores(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_windows_of_long_texts():
+    words = [b"plain"] * 5000 + [b"scum"] * 3 + [b"plain"] * 5000
+    kept, scores = toxicity.kept_windows(words, {b"scum": 2.0})
+    assert len(kept) <= toxicity.KEPT_WORST + toxicity.KEPT_SPREAD and max(scores) == 6 and any(x.count(b"scum") == 3 for x in kept)
+    assert toxicity.kept_windows([], {}) == ([[]], [0.0])
+
+
 def test_gradients():
     net = toxicity.Network({k: v.astype(np.float64) for k, v in toxicity.Network.fresh(1).p.items()})
     parts = [b"you are bad".split(), b"the quick brown fox".split(), []]
