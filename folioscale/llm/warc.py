@@ -12,30 +12,33 @@ import bisect
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.llm.url_lm import after_scheme, host_of
 from folioscale.plans.session import fresh_path, written
 
-#: Lines of an index block; bytes of an archive file before the next one starts; bytes that are read at once.
-BLOCK_LINES, ARCHIVE_BYTES, READ_BYTES = 1_000, 1 << 30, 4 << 20
+#: Lines of an index block; bytes of an archive file before the next one starts; bytes that are read at once; bytes of an archive that one task reads in a row.
+BLOCK_LINES, ARCHIVE_BYTES, READ_BYTES, STRETCH_BYTES = 1_000, 1 << 30, 4 << 20, 16 << 20
+#: Digests of repeated payloads that are broadcast, about 64 MB; beyond it, they are joined by a shuffle, dealt over SALTS parts each.
+BROADCAST_DIGESTS, SALTS = 500_000, 16
 COMPRESSION = 3
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass
 class Archive:
-    """Where the files are, and the index files with their key ranges: ``(name, first key, last key)``, a row for each index partition."""
+    """Where the files are, the index files with their key ranges: ``(name, first key, last key)``, a row for each index partition, and the size of the archives."""
 
     folder: str
     shards: list[tuple[str, str, str]]
+    size: int
 
 
 def url_key(url: Column) -> Column:
@@ -189,12 +192,28 @@ class IndexReader:
             k += 1
 
 
+def tasks(spark: SparkSession, size: int, each: int) -> int:
+    """Enough tasks for work of a certain size, and for all cores."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // each))
+
+
+def shards_of(archive: Archive) -> Callable[[pa.Array], list[list[str]]]:
+    """The index files that can hold each of some keys. Files are in the order of their keys, so they are found by bisection; neighbours may share a key."""
+    names, firsts, lasts = ([x[k].encode() if k else x[0] for x in archive.shards] for k in range(3))
+    return lambda keys: [names[bisect.bisect_left(lasts, k.encode()) : bisect.bisect_right(firsts, k.encode())] for k in keys.to_pylist()]
+
+
 def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
     """Captures (``key, file, offset, length``) of the distinct values of a ``key`` column. Null keys find nothing."""
-    spark = keys.sparkSession
-    shards = spark.createDataFrame(archive.shards or [("", "1", "0")], "name string, first string, last string")
-    where = keys.where(F.col("key").isNotNull()).distinct().join(F.broadcast(shards), (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("name", "key")
-    folder = archive.folder
+    folder, find = archive.folder, shards_of(archive)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = find(batch.column(0))
+            at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([n for x in found for n in x], pa.string()), batch.column(0).take(at)], ["name", "key"])
+
+    where = keys.select("key").where(F.col("key").isNotNull()).distinct().mapInArrow(place, "name string, key string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(folder)
@@ -212,7 +231,8 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
         columns = list(zip(*rows)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["key", "file", "offset", "length"])
 
-    ordered = where.repartition("name", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("name", "key")
+    n = tasks(keys.sparkSession, len(archive.shards), 1)
+    ordered = where.repartition(n, "name", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("name", "key")
     return ordered.mapInArrow(run, "key string, file string, offset long, length long")
 
 
@@ -242,7 +262,10 @@ def read_records(archive: Archive, captures: DataFrame) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64() if k == "payload_bytes" else pa.string()) for k in names], list(names))
 
-    in_order = captures.select("file", "offset", "length").distinct().repartition("file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
+    # the number of tasks follows from the bytes that they read; the few bytes of their offsets say nothing about it
+    stretch = min(STRETCH_BYTES, max(READ_BYTES // 8, archive.size // tasks(captures.sparkSession, archive.size, STRETCH_BYTES)))
+    n = tasks(captures.sparkSession, archive.size, STRETCH_BYTES)
+    in_order = captures.select("file", "offset", "length").distinct().repartition(n, "file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
     return in_order.mapInArrow(run, "page_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, url string")
 
 
@@ -254,19 +277,26 @@ def with_keys(pages: DataFrame, id_col: str, url_col: str, payload_col: str) ->
 def write(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", captured: str = "1970-01-01T00:00:00Z", shards: int | None = None) -> Archive:
     """Write all pages and their index; see ``round_trip`` for which become revisits.
 
-    Payloads stay where they are unless very many of them are duplicated: only digests that occur twice or more are joined back, and Spark broadcasts them
-    if they turn out small.
+    Ids and digests are grouped without the payloads. Digests that occur twice or more are then broadcast to the pages, so payloads stay where they are; if
+    there are more than BROADCAST_DIGESTS, pages are shuffled to them, those of one digest over SALTS parts.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     d = with_keys(pages, id_col, url_col, payload_col)
-    first = d.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("number").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha1", "first")
+    repeated = d.where(F.octet_length("payload") >= least_bytes).select(F.unhex("sha1").alias("digest"), "number").groupBy("digest").agg(F.min("number").alias("first"), F.count("*").alias("c"))
+    first = written(repeated.where("c > 1").select(F.lower(F.hex("digest")).alias("sha1"), "first"), "digests")
+    if first.count() <= BROADCAST_DIGESTS:
+        joined = d.join(F.broadcast(first), "sha1", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = d.withColumn("salt", F.pmod(F.xxhash64("number", "url"), F.lit(SALTS)).cast("int")).join(first.withColumn("salt", salts), ["sha1", "salt"], "left")
     refers = F.when(F.col("number").isNull() | (F.col("number") != F.col("first")), F.col("first").cast("string"))
-    rows = d.join(first, "sha1", "left").select(F.col("number").cast("string").alias("id"), "url", "key", "payload", "sha1", F.when(F.octet_length("payload") >= least_bytes, refers).alias("refers_to"))
+    rows = joined.select(F.col("number").cast("string").alias("id"), "url", "key", "payload", "sha1", F.when(F.octet_length("payload") >= least_bytes, refers).alias("refers_to"))
     captures = written(write_archives(rows, folder, captured), "captures")
-    return Archive(folder, write_index(captures, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return Archive(folder, write_index(captures, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))), int(size))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
