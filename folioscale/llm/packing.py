@@ -12,6 +12,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,8 +25,12 @@ from pyspark.sql import types as T
 
 from folioscale.plans.session import written
 
-#: Characters of chunks that a Python worker remembers; beyond it, it forgets all and starts anew.
+#: Characters of chunks that a Python worker remembers; when there are more, it forgets those that were not met since the last time.
 REMEMBERED_CHARS = 8_000_000
+#: Characters of texts whose new chunks are asked for at once.
+GROUP_CHARS = 500_000
+#: Counts (one for each task and length) that are broadcast to the pieces, about 64 MB; beyond it, the pieces are shuffled to them.
+BROADCAST_COUNTS = 1_000_000
 # Unicode white space, on which byte-level tokenizers split a text.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -45,35 +50,56 @@ class Tokenizer:
             spec = json.load(f)
         split, added = spec.get("pre_tokenizer") or {}, spec["added_tokens"]
         level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.by_chunk = spec["model"]["type"] == "BPE" and level and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
-        self.chunks = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+        line_break = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_break = line_break[0] if len(line_break) == 1 else None
+        self.by_chunk = spec["model"]["type"] == "BPE" and level and self.line_break is not None and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        # letters up to a mark or white space, else all up to white space
+        self.chunks = re.compile(rf" ?[A-Za-z]+(?=[{WHITE}.,;:!?]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.added = re.compile("(" + "|".join(re.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"]))) + ")") if added else None
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.size = 0
 
-    def ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def ask(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, as bytes. A line break is a token of its own between chunks without one, so these are asked for as the lines of one text."""
+        blank = [c.isspace() for c in chunks]
+        lines = [c for c, b in zip(chunks, blank) if not b]
+        ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.line_break), len(ids)).tolist()
+        of_lines = iter([raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)])
+        of_blanks = iter(self.library.encode_batch_fast([c for c, b in zip(chunks, blank) if b], add_special_tokens=False))
+        return [array("I", next(of_blanks).ids).tobytes() if b else next(of_lines) for b in blank]
+
+    def split(self, text: str) -> list[str]:
+        # an added token parts a text: the white space before it is at the end of its part
+        parts = self.added.split(text) if self.added else [text]
+        return self.chunks.findall(text) if len(parts) == 1 else [c for k, part in enumerate(parts) for c in ([part] if k % 2 else self.chunks.findall(part))]
+
+    def learn(self, chunks: set[str]) -> None:
+        if self.size > REMEMBERED_CHARS // 2:
+            self.before, self.known, self.size = self.known, {}, 0
+        new = [c for c in chunks if c not in self.known]
+        asked = [c for c in new if c not in self.before]
+        self.known.update((c, self.before[c]) for c in new if c in self.before)
+        if asked:
+            self.known.update(zip(asked, self.ask(asked)))
+        self.size += sum(map(len, new))
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Texts are read in groups, so that their new chunks are asked for at once."""
         if not self.by_chunk:
-            return [np.frombuffer(x, dtype="<u4") for x in self.ask(texts)]
-        out = []
-        for text in texts:
-            # an added token parts a text: the white space before it is at the end of its part
-            parts = self.added.split(text) if self.added else [text]
-            chunks = self.chunks.findall(text) if len(parts) == 1 else [c for k, part in enumerate(parts) for c in ([part] if k % 2 else self.chunks.findall(part))]
-            distinct = set(chunks)
-            if self.size > REMEMBERED_CHARS:
-                self.forget()
-            new = [c for c in distinct if c not in self.known]
-            self.known.update(zip(new, self.ask(new)))
-            self.size += sum(map(len, new))
-            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<u4"))
-        return out
+            for i in range(0, len(texts), 100):
+                yield from (np.array(x.ids, dtype="<u4") for x in self.library.encode_batch_fast(texts[i : i + 100], add_special_tokens=False))
+            return
+        waiting, size = [], 0
+        for i, text in enumerate(texts):
+            waiting.append(self.split(text))
+            size += len(text)
+            if size >= GROUP_CHARS or i == len(texts) - 1:
+                self.learn(set().union(*waiting))
+                for chunks in waiting:
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<u4")
+                waiting, size = [], 0
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -101,6 +127,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 ids = np.concatenate([found, end])
                 first = len(ids) % capacity or capacity
                 packed = ids.tobytes()
+                if keep_ids:
+                    kept.append(ids)
                 for k, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity))):
                     rows.append(row)
                     pieces.append(k)
@@ -109,10 +137,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                     crcs.append(zlib.crc32(packed[4 * a : 4 * b]))
                     nths.append(seen[b - a])
                     seen[b - a] += 1
-                    if keep_ids:
-                        kept.append(ids[a:b].astype(np.int32))
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(nths, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate([*kept, end[:0]]).astype(np.int32)))] if keep_ids else [])], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -251,15 +277,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     itself. An empty table gives no rows. Other columns are left out, whatever their names.
 
     The pieces are written once to the shared folder. The driver sees a histogram of at most ``capacity`` lengths; the plan is
-    broadcast, with at most a few rows for each length.
+    broadcast, with at most a few rows for each length. The first ranks of each task's pieces are broadcast up to BROADCAST_COUNTS rows.
     """
     spark = docs.sparkSession
     pieces = written(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids), "pieces")
-    counts = pieces.groupBy("part", "length").agg((F.max("nth") + 1).alias("n"))
+    counts = written(pieces.groupBy("part", "length").agg((F.max("nth") + 1).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.createDataFrame(intervals(plan_patterns(histogram, capacity)), "at long, lo long, hi long, base long, offset long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if counts.count() <= BROADCAST_COUNTS:
+        first = F.broadcast(first)
     rank = F.col("first") + F.col("nth")
     placed = pieces.join(first, ["part", "length"]).withColumn("rank", rank).join(F.broadcast(plan), (F.col("length") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", *(["ids"] if keep_ids else []))
