@@ -1,9 +1,13 @@
-"""Exact top-k search by BM25 over an inverted index in shards.
+"""Exact top-k search by BM25 over an inverted index in shards, with block-max WAND.
 
-Each shard has the postings of some thousand documents. A query's short lists are read in full, and the k-th best of their sums is a threshold. The
-long lists keep the largest contribution of each block of documents. As in block-max WAND, a document is scored only if its sum so far and the maxima
-of its block can reach the threshold; whole sets of documents are tested at once. Shards give their own best k, which are merged. Document counts and lengths are those of the whole
-corpus. Contributions are whole millionths, so sums do not depend on their order and ties are exact.
+Each shard has the postings of some thousand documents. A posting list is cut into blocks of neighbouring documents, and for every block of every list the
+index keeps the greatest term frequency and the least document length, which bound what any of its postings can add, whatever the corpus's statistics.
+A query's cursors stand on the blocks of its lists. The sum of their bounds tells which documents can reach the threshold (the k-th best score so
+far); the next of these are the pivots. Only blocks under pivots are opened, and a batch of pivots is scored at once; all other blocks are skipped unread, and
+the threshold rises with each batch. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
+Contributions are whole millionths, so sums do not depend on their order and ties are exact.
+
+Queries are a table like any other: they are packed into blocks of bounded size in the shared folder, and the task of a shard reads one block after the other.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -21,16 +27,18 @@ from pyspark.sql import functions as F
 from folioscale.plans.session import written
 
 K1, B, SCALE = 1.2, 0.75, 1_000_000.0
-#: Documents and terms of a shard at most; documents of a block; the share of a shard's documents from which a list is long.
-SHARD_DOCS, SHARD_TERMS, BLOCK, FREQUENT = 8_192, 6_000_000, 16, 1 / 8
-#: (query, term) pairs that are broadcast at once, 16 MB. More queries are answered in further rounds.
-ROUND_TERMS = 1_000_000
-
-#: Tasks of a round for each core of the cluster, at most.
-TASKS_PER_CORE = 3
+#: Documents and terms of a shard at most; documents that share a block of each list.
+SHARD_DOCS, SHARD_TERMS, BLOCK = 8_192, 2_000_000, 32
+#: (query, term) pairs of a block of queries, about 20 MB with all that is derived from them.
+QUERY_TERMS = 400_000
+#: Postings whose contributions are computed at once.
+AT_ONCE = 500_000
+#: Pivot blocks that are scored before all others, those with the highest bounds, and in each batch after them.
+FIRST_PIVOTS, PIVOTS = 8, 64
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
-_INDEX = "shard string, docs int, length long, terms binary, counts binary, doc binary, tf binary, lengths binary"
+_KINDS = {"terms": np.uint64, "counts": np.int32, "doc": np.uint16, "tf": np.int32, "lengths": np.int32, "most_tf": np.int32, "least_length": np.int32}
+_INDEX = "shard string, docs int, length long, " + ", ".join(f"{k} binary" for k in _KINDS)
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +48,28 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)), return_counts=True)
 
 
+def block_starts(terms: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where the blocks of all lists begin among the postings, which are by term and document."""
+    block = doc // BLOCK
+    return np.flatnonzero(np.append(len(doc) > 0, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))
+
+
+def pack_shard(terms: list[np.ndarray], tfs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """The arrays of a shard, given each document's terms and their frequencies."""
+    doc = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
+    lengths = np.array([int(t.sum()) for t in tfs], dtype=np.int32)
+    flat, tf = np.concatenate(terms), np.concatenate(tfs).astype(np.int32)
+    order = np.argsort(flat, kind="stable")
+    flat, doc, tf = flat[order], doc[order], tf[order]
+    distinct, counts = np.unique(flat, return_counts=True)
+    first = block_starts(flat, doc)
+    most = np.maximum.reduceat(tf, first) if len(first) else tf
+    least = np.minimum.reduceat(lengths[doc], first) if len(first) else lengths[doc]
+    return dict(zip(_KINDS, (distinct, counts.astype(np.int32), doc, tf, lengths, most, least)))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """A row for each shard of ``id, text``: its postings by term and document, as packed arrays. Shards never leave their input partition."""
+    """A row for each shard of ``id, text``, as packed arrays: its postings by term and document, and the bounds of their blocks. Shards never leave their input partition."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,13 +80,8 @@ def build_index(docs: DataFrame) -> DataFrame:
         size = 0
 
         def shard() -> pa.RecordBatch:
-            doc = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(t) for t in terms])
-            lengths = np.array([int(t.sum()) for t in tfs], dtype=np.int32)
-            flat, tf = np.concatenate(terms), np.concatenate(tfs).astype(np.int32)
-            order = np.argsort(flat, kind="stable")
-            distinct, counts = np.unique(flat, return_counts=True)
-            packed = [distinct, counts.astype(np.int32), doc[order], tf[order], lengths]
-            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in packed), pa.array([ids], pa.list_(id_type))], names)
+            d = pack_shard(terms, tfs)
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([len(ids)], pa.int32()), pa.array([int(d["lengths"].sum())], pa.int64()), *(pa.array([d[x].tobytes()], pa.binary()) for x in _KINDS), pa.array([ids], pa.list_(id_type))], names)
 
         names = [x.split()[0] for x in _INDEX.split(", ")] + ["ids"]
         id_type = pa.int64()
@@ -78,28 +101,79 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
+    """``query`` and its distinct ``terms``; of rows with the same query, the one whose text has the least hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [term_counts(t)[0] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t in found], pa.binary()), pa.array([len(t) for t in found], pa.int64())], ["query", "terms", "n"])
+            found = [term_counts(t)[0].view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["query", "terms", "hash"])
+
+    terms = queries.withColumn("hash", F.xxhash64("text")).mapInArrow(run, f"query {queries.schema['query'].dataType.simpleString()}, terms array<long>, hash long")
+    return terms.groupBy("query").agg(F.min_by("terms", "hash").alias("terms"))
+
+
+def document_frequencies(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """``term, df``: in how many documents of all shards each term of the queries occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, dtype=np.int64)), pa.array(np.frombuffer(c, dtype=np.int32))], ["term", "n"])
 
-    return queries.mapInArrow(run, f"query {queries.schema['query'].dataType.simpleString()}, terms binary, n long")
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    return index.select("terms", "counts").mapInArrow(run, "term long, n int").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 @dataclass
-class Round:
-    """Some queries: their distinct terms, ascending; each query's terms as places among them; and the corpus's statistics."""
+class Queries:
+    """A block of queries: its distinct terms, ascending, with their documents; each query's terms as places among them; and the scores from which a document counts."""
 
+    names: pa.Array
     terms: np.ndarray
+    df: np.ndarray
     starts: np.ndarray
     places: np.ndarray
-    idf: np.ndarray
-    average: float
+    floors: np.ndarray
 
 
-def unpack(row: dict) -> dict[str, np.ndarray]:
-    kinds = {"terms": np.uint64, "counts": np.int32, "doc": np.uint16, "tf": np.int32, "lengths": np.int32}
-    return {k: np.frombuffer(row[k], dtype=t) for k, t in kinds.items()}
+def pack_queries(queries: DataFrame, parts: int) -> DataFrame:
+    """Rows of ``query, terms, df, floor`` as rows of about QUERY_TERMS terms."""
+    kind = queries.schema["query"].dataType.simpleString()
+    names = ("names", "terms", "df", "starts", "places", "floors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        name_type, size = None, 0
+
+        def packed() -> pa.RecordBatch:
+            flat, df = np.concatenate([r[1] for r in rows]).astype(np.int64).view(np.uint64), np.concatenate([r[2] for r in rows]).astype(np.int64)
+            terms, first, places = np.unique(flat, return_index=True, return_inverse=True)
+            arrays = terms, df[first], np.cumsum([0, *(len(r[1]) for r in rows)]), places.astype(np.int32), np.array([r[3] for r in rows], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([[r[0] for r in rows]], pa.list_(name_type)), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], list(names))
+
+        for batch in batches:
+            name_type = batch.schema.field(0).type
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                rows.append(row)
+                size += len(row[1])
+                if size >= QUERY_TERMS:
+                    yield packed()
+                    rows, size = [], 0
+        if rows:
+            yield packed()
+
+    dealt = queries.select("query", "terms", "df", "floor").repartition(parts, "query")
+    return written(dealt.mapInArrow(run, f"names array<{kind}>, " + ", ".join(f"{x} binary" for x in names[1:])), "query-blocks")
+
+
+def read_queries(files: list[str]) -> Iterator[Queries]:
+    """The blocks of queries in the files that Spark wrote, one at a time."""
+    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int64)
+    for uri in files:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+                yield Queries(batch.column(0).flatten(), *(np.frombuffer(batch.column(k + 1)[0].as_py(), dtype=t) for k, t in enumerate(kinds)))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -108,122 +182,110 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """In how many documents of all shards each of the terms occurs."""
-    held = index.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(held.value), dtype=np.int64)
-        for batch in batches:
-            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own, counts = np.frombuffer(t, dtype=np.uint64), np.frombuffer(c, dtype=np.int32)
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, held.value), len(own) - 1)
-                    total += np.where(own[at] == held.value, counts[at], 0)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["place", "n"])
+def contribution(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    """BM25 of a term in a document, in whole millionths. It rises with ``tf`` and falls with ``length``, rounded as well."""
+    return np.rint(((SCALE * idf) * (tf * (K1 + 1))) / (tf + K1 * ((1 - B) + (B * length) / average)))
 
-    out = np.zeros(len(terms), dtype=np.int64)
-    got = index.select("terms", "counts").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("place").to_numpy()] = got.column("n").to_numpy()
-    return out
 
+class Shard:
+    """A shard's arrays: lists of postings, each cut into blocks."""
 
-class ShardSearch:
-    """One shard with the contributions of a round's terms.
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.terms, self.tf, self.lengths = arrays["terms"], arrays["tf"], arrays["lengths"].astype(np.float64)
+        self.doc = arrays["doc"]
+        self.counts = arrays["counts"].astype(np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.most_tf, self.least_length = arrays["most_tf"], arrays["least_length"]
+        self.block_start = block_starts(np.repeat(np.arange(len(self.terms)), self.counts), self.doc)
+        self.block_count = np.diff(np.append(self.block_start, len(self.doc)))
+        self.first_block = np.searchsorted(self.block_start, self.starts)
+        self.n_blocks = np.diff(np.append(self.first_block, len(self.block_start)))
+        self.docs = len(self.lengths)
 
-    Lists of terms in up to FREQUENT of the documents are kept as postings; longer ones as rows over all documents, with the largest contribution of each
-    block of documents.
-    """
 
-    def __init__(self, row: dict, r: Round):
-        d = unpack(row)
-        self.docs = len(d["lengths"])
-        starts = np.cumsum(d["counts"], dtype=np.int64) - d["counts"]
-        at = np.minimum(np.searchsorted(d["terms"], r.terms), max(0, len(d["terms"]) - 1))
-        here = d["terms"][at] == r.terms if len(d["terms"]) else np.zeros(len(r.terms), dtype=bool)
-        counts = np.where(here, d["counts"][at], 0).astype(np.int64) if len(d["terms"]) else np.zeros(len(r.terms), dtype=np.int64)
-        posts = ranges(starts[at[here]], counts[here]) if here.any() else np.zeros(0, dtype=np.int64)
-        self.doc = d["doc"][posts].astype(np.int64)
-        tf = d["tf"][posts].astype(np.float64)
-        length = d["lengths"].astype(np.float64)[self.doc]
-        self.value = np.rint(((SCALE * np.repeat(r.idf, counts)) * (tf * (K1 + 1))) / (tf + K1 * ((1 - B) + (B * length) / r.average)))
-        self.counts, self.first = counts, np.cumsum(counts) - counts
-        long = np.flatnonzero(counts > self.docs * FREQUENT)
-        self.row_of = np.full(len(r.terms), -1)
-        self.row_of[long] = np.arange(len(long))
-        blocks = -(-self.docs // BLOCK)
-        self.rows = np.zeros((len(long), blocks * BLOCK), dtype=np.int32)
-        at = ranges(self.first[long], counts[long])
-        self.rows[np.repeat(np.arange(len(long)), counts[long]), self.doc[at]] = self.value[at]
-        self.most = self.rows.reshape(len(long), blocks, BLOCK).max(2).astype(np.int64)
+class ShardSearch:
+    """One shard for a block of queries: the lists of their terms with the bounds of all list blocks, in the order of the block's distinct terms."""
+
+    def __init__(self, shard: Shard, q: Queries, n_docs: int, average: float):
+        at = np.minimum(np.searchsorted(shard.terms, q.terms), max(0, len(shard.terms) - 1))
+        here = shard.terms[at] == q.terms if len(shard.terms) else np.zeros(len(q.terms), dtype=bool)
+        lists = at[here]
+        idf = np.log(1.0 + ((n_docs - q.df) + 0.5) / (q.df + 0.5))[here]
+        self.docs, self.average = shard.docs, average
+        self.n_blocks = np.zeros(len(q.terms), dtype=np.int64)
+        self.n_blocks[here] = shard.n_blocks[lists]
+        self.first = np.cumsum(self.n_blocks) - self.n_blocks
+        blocks = ranges(shard.first_block[lists], shard.n_blocks[lists])
+        self.block = shard.doc[shard.block_start[blocks]].astype(np.int64) // BLOCK
+        self.bound = contribution(np.repeat(idf, shard.n_blocks[lists]), shard.most_tf[blocks].astype(np.float64), shard.least_length[blocks].astype(np.float64), average)
+        # postings of these lists, as (start, count) of each block; queries that open the same block share its contributions
+        self.count = shard.block_count[blocks]
+        self.start = np.cumsum(self.count) - self.count
+        posts = ranges(shard.starts[lists], shard.counts[lists])
+        self.doc = shard.doc[posts]
+        self.value = np.empty(len(posts), dtype=np.int32)
+        owner = np.repeat(np.arange(len(lists), dtype=np.int32), shard.counts[lists])
+        for i in range(0, len(posts), AT_ONCE):
+            part = slice(i, i + AT_ONCE)
+            self.value[part] = contribution(idf[owner[part]], shard.tf[posts[part]].astype(np.float64), shard.lengths[self.doc[part]], average)
+        self.opened = self.skipped = 0
 
     def best(self, places: np.ndarray, ids: np.ndarray, k: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents (scores, local numbers) of at least ``floor`` for a query's terms; equal scores by the lower id.
-
-        Short lists are read first. The k-th best of their sums is a threshold: of the long lists, only blocks are read whose maxima can lift a
-        document to it, and only for those documents.
-        """
-        row = self.row_of[places]
-        short, long = places[row < 0], row[row >= 0]
-        posts = ranges(self.first[short], self.counts[short])
-        # sums of whole numbers far below 2 ** 53 are exact
-        total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=self.docs)
-        if len(long):
-            least = np.partition(total, self.docs - k)[self.docs - k] if self.docs > k else 0.0
-            bound = np.repeat(self.most[long].sum(0), BLOCK)[: self.docs]
-            open_ = np.flatnonzero(total + bound >= max(floor, least))
-            scores = (total[open_] + self.rows[long][:, open_].sum(0, dtype=np.int64)) if len(open_) * 4 > self.docs else total[open_] + self.rows[np.ix_(long, open_)].sum(0, dtype=np.int64)
-        else:
-            open_ = np.flatnonzero(total >= floor)
-            scores = total[open_]
-        if len(open_) > k:
-            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            open_, scores = open_[keep], scores[keep]
-        open_, scores = open_[scores >= floor], scores[scores >= floor].astype(np.int64)
-        top = np.lexsort((ids[open_], -scores))[:k]
-        return scores[top], open_[top]
-
-
-def search_round(index: DataFrame, queries: list[dict], n_docs: int, total_length: int, k: int, query_type: str, id_type: str) -> DataFrame:
-    """The best k of every task's shards for some queries: ``query, doc, score``. What a task has found so far is the floor for its next shard."""
-    spark = index.sparkSession
-    sets = [np.frombuffer(q["terms"], dtype=np.uint64) for q in queries]
-    terms, places = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-    df = document_frequencies(index, terms)
-    r = Round(terms, np.cumsum([0, *(len(s) for s in sets)]), places, np.log(1.0 + ((n_docs - df) + 0.5) / (df + 0.5)), total_length / max(1, n_docs))
-    held = spark.sparkContext.broadcast((r, [q["query"] for q in queries]))
+        """The best k documents (scores, local numbers) of at least ``floor`` for a query's terms; equal scores by the lower id."""
+        cursor = ranges(self.first[places], self.n_blocks[places])  # the list blocks that the query's cursors pass
+        block, bound = self.block[cursor], self.bound[cursor]
+        n = -(-self.docs // BLOCK)
+        reach = np.bincount(block, weights=bound, minlength=n)  # what a document of these can have at most
+        scores, found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        waiting = reach >= max(1, floor)
+        some = int(waiting.sum())
+        first = np.argpartition(-reach, FIRST_PIVOTS)[:FIRST_PIVOTS] if some > FIRST_PIVOTS else np.flatnonzero(waiting)
+        opened = 0
+        pivots = first
+        while len(pivots):
+            under = np.zeros(n, dtype=bool)
+            under[pivots] = True
+            waiting[pivots] = False
+            open_ = cursor[under[block]]
+            opened += len(open_)
+            posts = ranges(self.start[open_], self.count[open_])
+            # sums of whole numbers far below 2 ** 53 are exact
+            total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=self.docs)
+            docs = np.flatnonzero(total >= max(1, floor))
+            new = total[docs].astype(np.int64)
+            if len(docs) > k:
+                keep = new >= np.partition(new, len(new) - k)[len(new) - k]
+                docs, new = docs[keep], new[keep]
+            scores, found = np.concatenate([scores, new]), np.concatenate([found, docs])
+            top = np.lexsort((ids[found], -scores))[:k]
+            scores, found = scores[top], found[top]
+            if len(scores) == k:
+                floor = max(floor, int(scores[-1]))
+            waiting &= reach >= floor
+            pivots = np.flatnonzero(waiting)[:PIVOTS]
+        self.opened += opened
+        self.skipped += len(cursor) - opened
+        return scores, found
+
+
+def search_shards(index: DataFrame, queries: DataFrame, n_docs: int, total_length: int, k: int, kinds: tuple[str, str]) -> DataFrame:
+    """The best k of each shard for each query, of at least its floor: ``query, doc, score``. A task holds one shard and one block of queries at a time."""
+    files, average = sorted(queries.inputFiles()), total_length / max(1, n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, names = held.value
-        scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
-        docs: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
-        kind = None
         for batch in batches:
             for row in range(len(batch)):
                 one = batch.slice(row, 1)
-                shard = ShardSearch({n: one.column(n)[0].as_py() for n in ("terms", "counts", "doc", "tf", "lengths")}, r)
-                ids = one.column("ids").flatten()
-                kind, keys = ids.type, ids.to_numpy(zero_copy_only=False)
-                for i in range(len(names)):
-                    floor = int(scores[i][-1]) if len(scores[i]) == k else 1
-                    s, found = shard.best(r.places[r.starts[i] : r.starts[i + 1]], keys, k, floor)
-                    if len(s):
-                        s, d = np.concatenate([scores[i], s]), np.concatenate([docs[i], keys[found]]) if len(docs[i]) else keys[found]
-                        top = np.lexsort((d, -s))[:k]
-                        scores[i], docs[i] = s[top], d[top]
-        for i in range(0, len(names) if kind is not None else 0, 5_000):
-            n = [len(s) for s in scores[i : i + 5_000]]
-            some = [d for d in docs[i : i + 5_000] if len(d)]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, c in zip(names[i : i + 5_000], n) for _ in range(c)], q_type), pa.array(np.concatenate(some) if some else [], kind), pa.array(np.concatenate(scores[i : i + 5_000]), pa.int64())], ["query", "doc", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    q_type = to_arrow_type(_parse_datatype_string(query_type))
-    # a task keeps the best of all its shards, and there are a few tasks for each core: the rows grow with the queries, not with the shards as well
-    few = index.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
-    return written(few.mapInArrow(run, f"query {query_type}, doc {id_type}, score long"), "found")
+                shard = Shard({x: np.frombuffer(one.column(x)[0].as_py(), dtype=t) for x, t in _KINDS.items()})
+                keys = one.column("ids").flatten()
+                ids = keys.to_numpy(zero_copy_only=False)
+                for q in read_queries(files):
+                    s = ShardSearch(shard, q, n_docs, average)
+                    found = [s.best(q.places[a:b], ids, k, floor) for a, b, floor in zip(q.starts[:-1].tolist(), q.starts[1:].tolist(), q.floors.tolist())]
+                    n = np.array([len(x) for x, _ in found])
+                    yield pa.RecordBatch.from_arrays([q.names.take(pa.array(np.repeat(np.arange(len(n)), n))), keys.take(pa.array(np.concatenate([d for _, d in found]))), pa.array(np.concatenate([x for x, _ in found]))], ["query", "doc", "score"])
+
+    return index.drop("docs", "length", "shard").mapInArrow(run, f"query {kinds[0]}, doc {kinds[1]}, score long")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
@@ -231,20 +293,28 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
 
     BM25 over the distinct terms of a query's whole text. Documents without a common term aren't returned, so a query without terms (null or empty
     text) has no rows. Equal scores rank by the lower id. Rows with a null id, in either table, are left out. Repeated rows of documents are documents of
-    their own; of queries with the same id, one is answered. Other columns are left out. Empty tables give no rows.
+    their own; of queries with the same id, the one whose text has the least hash is answered. Other columns are left out. Empty tables give no rows.
 
-    The queries are answered in rounds of about ``ROUND_TERMS`` (query, term) pairs, which the driver broadcasts; the index stays in the shared folder.
+    Some shards (about the square root of their number) are searched first. The k-th best score that they give a query is its floor in all others, which
+    then return few rows. Nothing but counts reaches the driver, and nothing is broadcast by this function.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     index = written(build_index(source), "index")
-    asked = written(query_terms(queries.select(F.col(query_id).alias("query"), F.col(query_text).alias("text")).where(F.col("query").isNotNull())).dropDuplicates(["query"]), "queries")
-    stats = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-    rounds = -(-int(asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // ROUND_TERMS)
+    asked = written(query_terms(queries.select(F.col(query_id).alias("query"), F.col(query_text).alias("text")).where(F.col("query").isNotNull())), "queries").where(F.size("terms") > 0)
+    stats = index.agg(F.count("*").alias("shards"), F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     kinds = asked.schema["query"].dataType.simpleString(), source.schema["id"].dataType.simpleString()
-    found = docs.sparkSession.createDataFrame([], f"query {kinds[0]}, doc {kinds[1]}, score long")
-    for i in range(rounds):
-        part = asked.where((F.col("n") > 0) & (F.pmod(F.xxhash64("query"), F.lit(rounds)) == i)).orderBy("query").collect()
-        if part:
-            found = found.union(search_round(index, [r.asDict() for r in part], stats["n"], stats["length"], k, *kinds))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+
+    pairs = asked.select("query", F.explode("terms").alias("term")).join(document_frequencies(index, asked), "term")
+    known = pairs.groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.df").alias("df"))
+    known = written(known, "query-terms")
+    parts = max(1, -(-int(size) // QUERY_TERMS))
+    every = max(1, round(stats["shards"] ** 0.5))
+    early = F.pmod(F.xxhash64("shard"), F.lit(every)) == 0
+    first = written(search_shards(index.where(early), pack_queries(known.withColumn("floor", F.lit(1)), parts), stats["n"], stats["length"], k, kinds), "found")
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    floors = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
+    floored = known.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
+    rest = written(search_shards(index.where(~early), pack_queries(floored, parts), stats["n"], stats["length"], k, kinds), "found")
+    ranked = first.union(rest).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query_id), "rank", F.col("doc").alias(id_col), "score")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,23 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_plans_and_the_way_beyond_the_broadcast(spark, monkeypatch):
+    ship(spark)
+    d = spark.createDataFrame([(i, f"http://s{i % 50}.org/{i // 3}", f"page {i % 40}" if i % 3 else "hot") for i in range(600)], "page_id long, url string, html string")
+    expected = sorted(map(repr, warc.round_trip(d).collect()))
+    archive = warc.write(d, shards=5)
+    names = [x[0] for x in archive.shards]
+    assert warc.shards_of(archive)(pa.array(["", "zzz", archive.shards[2][1], archive.shards[2][2]])) == [[], [], [names[2]], [names[2]]]
+    found = warc.lookup(archive, d.select(warc.url_key(F.col("url")).alias("key")))
+    plan = warc.read_records(archive, found)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and found.count() == 600
+    assert warc.read_records(archive, found).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert sorted(map(repr, warc.round_trip(d).collect())) == expected
+    same = d.withColumn("url", F.lit("http://one.org/"))  # one key over several index files
+    assert warc.lookup(warc.write(same, shards=3), same.select(warc.url_key(F.col("url")).alias("key"))).count() == 600
+
+
 def test_warc_keys_that_go_on_below_the_tab(spark):
     ship(spark)
     urls = ["http://a.com/p", "http://a.com/p\x01", "http://a.com/p\x08x", "http://a.com/p\x0b", "http://a.com/p!", "http://a.com/o", "http://a.com/p\x01"]
@@ -185,7 +203,10 @@ def plain_search(rows, asked, k):
 def test_search(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(bm25, "SHARD_DOCS", 37)
-    monkeypatch.setattr(bm25, "ROUND_TERMS", 60)
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 60)
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    monkeypatch.setattr(bm25, "FIRST_PIVOTS", 2)
+    monkeypatch.setattr(bm25, "PIVOTS", 3)
     r = np.random.default_rng(2)
     words = [f"t{i}" for i in range(300)]
     weight = 1 / np.arange(1, 301)
@@ -199,6 +220,41 @@ def test_search(spark, monkeypatch):
     assert bm25.search(d.limit(0), q).count() == 0 and bm25.search(d, q.limit(0)).count() == 0
 
 
+def test_search_answers_the_text_of_least_hash(spark):
+    ship(spark)
+    d = spark.createDataFrame([(1, "red fish"), (2, "blue bird")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "red"), (7, "blue"), (7, "blue")], "query_id long, text string")
+    least = q.orderBy(F.xxhash64("text")).first().text
+    assert [(x.query_id, x.rank, x.doc_id) for x in bm25.search(d, q).collect()] == [(7, 1, 1 if least == "red" else 2)]
+
+
+def test_search_skips_blocks_of_all_lists():
+    r = np.random.default_rng(6)
+    weight = 1 / np.arange(1, 401)
+    # neighbours share their topic, as copies and the pages of a site do
+    texts = [" ".join(f"{'' if w < 20 else i // 250}t{w}" for w in r.choice(400, 40, p=weight / weight.sum())) for i in range(4000)]
+    pairs = [bm25.term_counts(t) for t in texts]
+    shard = bm25.Shard(bm25.pack_shard([t for t, _ in pairs], [n for _, n in pairs]))
+    df = Counter(t for terms, _ in pairs for t in terms.tolist())
+    asked = [pairs[i][0] for i in range(0, 4000, 100)]
+    terms, places = np.unique(np.concatenate(asked), return_inverse=True)
+    q = bm25.Queries(None, terms, np.array([df[t] for t in terms.tolist()]), np.cumsum([0, *map(len, asked)]), places, np.ones(len(asked)))
+    average = float(shard.lengths.mean())
+    s = bm25.ShardSearch(shard, q, 4000, average)
+    ids = np.arange(4000)
+    for a, b in zip(q.starts, q.starts[1:]):
+        scores, found = s.best(places[a:b], ids, 10)
+        total = np.zeros(4000)
+        for p in places[a:b]:
+            for e in range(s.first[p], s.first[p] + s.n_blocks[p]):
+                own = slice(s.start[e], s.start[e] + s.count[e])
+                total[s.doc[own]] += s.value[own]
+                assert s.value[own].max() <= s.bound[e] and set(s.doc[own] // bm25.BLOCK) == {s.block[e]}
+        order = np.lexsort((ids, -total))[:10]
+        assert found.tolist() == order.tolist() and scores.tolist() == total[order].tolist()
+    assert s.skipped > s.opened > 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -73,7 +73,7 @@ def test_bpe_any_letters(multi, parts):
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x0b\x1c\x85\xa0\u2003\u3000ab.1'")), max_size=80))
 def test_tokenizer_as_library(text):
     t = packing.tokenizer(PLAIN)
-    assert t.by_chunk and t.ids([text])[0].tolist() == t.library.encode(text, add_special_tokens=False).ids
+    assert t.by_chunk and next(t.ids([text])).tolist() == t.library.encode(text, add_special_tokens=False).ids
 
 
 def test_tokenizer_on_every_code_point_and_long_runs():
@@ -107,6 +107,14 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), PLAIN).count() == 0
 
 
+def test_packing_beyond_the_broadcast(docs, monkeypatch):
+    expected = sorted(((x.doc_id, x.piece, x.length, x.ids) for x in packing.pack(docs, PLAIN, capacity=64).collect()), key=repr)
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    rows = packing.pack(docs, PLAIN, capacity=64).collect()
+    assert sorted(((x.doc_id, x.piece, x.length, x.ids) for x in rows), key=repr) == expected
+    check_sequences(rows, 64)
+
+
 def check_sequences(rows, capacity):
     sequences = defaultdict(list)
     for r in rows:
