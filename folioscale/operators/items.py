@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscale.functions.text import AMOUNT, C, I, amount_tokens, amounts_in, group, has, is_all, let, parse_amount, parse_price, receipt_amounts, strip
+from folioscale.functions.text import AMOUNT, WHOLE_AMOUNT, C, I, amount_tokens, amounts_in, group, has, is_all, let, parse_amount, parse_price, receipt_amounts, strip
 
 # Words of table heads, of what ends a table, and of lines that are no items.
 ITEM_WORDS, QUANTITY_WORDS = r"\b(description|code/?desc|item|service|product)\b", r"\b(qty|quantity|unit|price|amount|s/price)\b"
@@ -102,47 +102,70 @@ def closed(items: Column, pending: Column, kind: str) -> Column:
     return F.when(good, F.concat(items, F.array(pending.withField("description", description).cast(kind)))).otherwise(items)
 
 
+def table_lines(lines: Column) -> Column:
+    """The lines of a document's table: after its first head, up to a line of totals, without heads and lines that are no items."""
+
+    def after_head(text: Column) -> Column:
+        head = F.array_position(F.transform(text, is_head), True).cast("int")
+        return F.when(head > 0, let(F.slice(text, head + 1, F.size(text)), up_to_stop)).otherwise(F.array().cast("array<string>"))
+
+    def up_to_stop(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda x: has(x, STOP) & ~is_head(x)), True).cast("int")
+        return F.filter(F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest), lambda x: ~is_head(x) & ~has(x, NO_ITEM))
+
+    return let(F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != ""), after_head)
+
+
 def line_items(lines: Column) -> Column:
     """Items (at most MOST_ITEMS) of a document's lines: ``array<ITEM>``.
 
     A table begins at its head and ends at a line of totals. A line with a code begins an item; lines after it add to its description until one of prices closes it.
+    Each reading of a line is made only where the ones before it don't decide: prices matter only after a line with a code.
     """
-    state = f"struct<inside:boolean,done:boolean,pending:{ITEM},items:array<{ITEM}>>"
-    text = F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != "")
-    row = lambda x: F.struct(x.alias("text"), is_head(x).alias("head"), has(x, STOP).alias("stop"), has(x, NO_ITEM).alias("no_item"), description_and_code(x).alias("named"), code_row(x).alias("code_row"), (F.size(F.regexp_extract_all(x, F.lit(C + r"\b\d{3,}\b"), F.lit(0))) > 1).alias("several"), amount_row(x).alias("prices"), plain_row(x).alias("plain"))
+    state = f"struct<pending:{ITEM},items:array<{ITEM}>>"
     none = F.lit(None).cast(ITEM)
 
-    def made(inside: Column, done: Column, pending: Column, items: Column) -> Column:
-        return F.struct(inside.alias("inside"), done.alias("done"), pending.alias("pending"), items.alias("items")).cast(state)
+    def coded(x: Column) -> Column:
+        return F.coalesce(description_and_code(x), code_row(x))
+
+    def read(rows: Column) -> Column:
+        first = F.array_position(F.transform(rows, lambda r: r["item"].isNotNull()), True)
+
+        def row(r: Column, i: Column) -> Column:
+            several = F.size(F.regexp_extract_all(r["text"], F.lit(C + r"\b\d{3,}\b"), F.lit(0))) > 1
+            open_ = r["item"].isNull() & ~several
+            return F.struct(r["text"].alias("text"), r["item"].alias("item"), open_.alias("open"), F.when(open_ & (first > 0) & (i >= first), amount_row(r["text"])).alias("prices"), F.when(open_, plain_row(r["text"])).alias("plain"))
+
+        return F.transform(rows, row)
+
+    def made(pending: Column, items: Column) -> Column:
+        return F.struct(pending.alias("pending"), items.alias("items")).cast(state)
 
     def step(s: Column, r: Column) -> Column:
-        yes, no, items, pending = F.lit(True), F.lit(False), s["items"], s["pending"]
-        keep = s.cast(state)
+        items, pending = s["items"], s["pending"]
         priced = item(pending["item_code"], pending["description"], F.when(r["prices"]["has_unit"], r["prices"]["quantity"]).otherwise(F.coalesce(pending["quantity"], F.lit(1.0))), r["prices"]["unit_price"], r["prices"]["amount"])
         longer = F.when(pending["description"] == pending["item_code"], r["text"]).otherwise(strip(F.concat_ws(" ", pending["description"], r["text"])))
         return (
-            F.when(s["done"], keep)
-            .when(r["head"], made(yes, no, pending, items))
-            .when(r["stop"], F.when(s["inside"], made(yes, yes, none, closed(items, pending, ITEM))).otherwise(keep))
-            .when(~s["inside"] | r["no_item"], keep)
-            .when(r["named"].isNotNull(), made(yes, no, r["named"], closed(items, pending, ITEM)))
-            .when(r["code_row"].isNotNull(), made(yes, no, r["code_row"], closed(items, pending, ITEM)))
-            .when(r["several"], keep)
-            .when(pending.isNotNull() & r["prices"].isNotNull(), made(yes, no, none, closed(items, priced, ITEM)))
-            .when(pending.isNotNull(), made(yes, no, pending.withField("description", longer).cast(ITEM), items))
-            .when(r["plain"].isNotNull(), made(yes, no, pending, F.concat(items, F.array(r["plain"].cast(ITEM)))))
-            .otherwise(keep)
+            F.when(r["item"].isNotNull(), made(r["item"], closed(items, pending, ITEM)))
+            .when(~r["open"], s.cast(state))
+            .when(pending.isNotNull() & r["prices"].isNotNull(), made(none, closed(items, priced, ITEM)))
+            .when(pending.isNotNull(), made(pending.withField("description", longer).cast(ITEM), items))
+            .when(r["plain"].isNotNull(), made(pending, F.concat(items, F.array(r["plain"].cast(ITEM)))))
+            .otherwise(s.cast(state))
         )
 
-    start = made(F.lit(False), F.lit(False), none, F.array().cast(f"array<{ITEM}>"))
-    return F.slice(F.aggregate(F.transform(text, row), start, step, lambda s: closed(s["items"], s["pending"], ITEM)), 1, MOST_ITEMS)
+    rows = F.transform(table_lines(lines), lambda x: F.struct(x.alias("text"), coded(x).alias("item")))
+    start = made(none, F.array().cast(f"array<{ITEM}>"))
+    return F.slice(F.aggregate(let(rows, read), start, step, lambda s: closed(s["items"], s["pending"], ITEM)), 1, MOST_ITEMS)
 
 
-def receipt_items(lines: Column) -> Column:
+def receipt_items(lines: Column, fixed_amounts: bool = False) -> Column:
     """Items of a receipt's lines (struct with ``text``, ``line_id``, ``confidence``), with the ids of the lines that each came from: ``array<RECEIPT_ITEM>``.
 
-    A row of two amounts or more without a code is an item of its own, before the pending one, which stays open.
+    A row of two amounts or more without a code is an item of its own, before the pending one, which stays open. AMOUNT reads a run of four digits or more as
+    several amounts, so a long part number makes such a row; with ``fixed_amounts`` a run of digits is one amount.
     """
+    pattern = WHOLE_AMOUNT if fixed_amounts else AMOUNT
     full = f"struct<item:{RECEIPT_ITEM},sum:double,n:int>"
     state = f"struct<inside:boolean,done:boolean,pending:{full},items:array<{RECEIPT_ITEM}>>"
     none = F.lit(None).cast(full)
@@ -152,8 +175,8 @@ def receipt_items(lines: Column) -> Column:
         parts = F.split(x, C + r"\s+")
         numbers = F.filter(F.transform(F.slice(parts, 2, F.size(parts)), parse_amount), lambda v: v.isNotNull())
         coded = (F.size(parts) >= 4) & is_all(F.get(parts, F.lit(0)), r"\d{3,}", C)
-        rest = strip(F.regexp_replace(x, rf"{C}{AMOUNT}\s*$", ""), " -|\t")
-        return F.struct(x.alias("text"), F.nullif(line["line_id"], F.lit("")).alias("id"), F.coalesce(line["confidence"].cast("double"), F.lit(0.0)).alias("conf"), F.get(parts, F.lit(0)).alias("code"), F.when(coded, numbers).alias("numbers"), amounts_in(x).alias("amounts"), rest.alias("rest"))
+        rest = strip(F.regexp_replace(x, rf"{C}{pattern}\s*$", ""), " -|\t")
+        return F.struct(x.alias("text"), F.nullif(line["line_id"], F.lit("")).alias("id"), F.coalesce(line["confidence"].cast("double"), F.lit(0.0)).alias("conf"), F.get(parts, F.lit(0)).alias("code"), F.when(coded, numbers).alias("numbers"), amounts_in(x, pattern).alias("amounts"), rest.alias("rest"))
 
     def made(code: Column, description: Column, qty: Column, unit: Column, discount: Column, amount: Column, conf: Column, ids: Column) -> Column:
         return F.struct(code, description, qty, unit, discount, amount, conf, ids).cast(RECEIPT_ITEM)

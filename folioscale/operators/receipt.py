@@ -71,12 +71,12 @@ def document_kind(title: Column, invoice_type: Column) -> Column:
     return F.when(F.contains(low, F.lit("cash sales")), "cash_sales").when(F.contains(low, F.lit("cash bill")), "cash_bill").when(F.contains(low, F.lit("receipt")), "receipt").when(F.contains(low, F.lit("invoice")), "invoice").otherwise("unknown")
 
 
-def receipts(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines") -> DataFrame:
-    """The receipt record of documents given as lines (``text, line_id, confidence``), one row each."""
+def receipts(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines", fixed_amounts: bool = False) -> DataFrame:
+    """The receipt record of documents given as lines (``text, line_id, confidence``), one row each. ``fixed_amounts`` is as in ``receipt_items``."""
     d = docs.select(F.col(id_col), F.col(lines_col).alias("__l")).withColumn("__t", F.array_join(F.transform("__l", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"))
     d = validate(extract(d, "__t"))
     lines, c = F.col("__l"), F.col
-    own = receipt_items(lines)
+    own = receipt_items(lines, fixed_amounts)
     other = F.transform("line_items", lambda x: F.struct(x["item_code"], x["description"], x["quantity"], x["unit_price"], F.lit(None), x["amount"], F.lit(0.0), F.array().cast("array<string>")).cast(RECEIPT_ITEM))
     marked = F.filter(lines, lambda x: t.has(x["text"], HANDWRITING))
     amounts = lambda x: F.filter(F.transform(F.regexp_extract_all(x["text"], F.lit(r"\d+(?:[,.]\d{2})"), F.lit(0)), t.parse_amount), lambda v: v.isNotNull())

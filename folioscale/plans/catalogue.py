@@ -125,9 +125,17 @@ def receipt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("doc_id", F.col("x.section").alias("section")).agg(F.count("*").alias("n"))
 
 
+def items_of_receipts(spark: SparkSession, sf_dir: str, fixed_amounts: bool) -> DataFrame:
+    d = synth.receipt_pages(spark, sf_dir).select("doc_id", F.posexplode_outer(receipt.receipt_items(F.col("lines"), fixed_amounts)).alias("n", "x")).where(F.col("n").isNotNull())
+    return d.select("doc_id", F.col("n").cast("long").alias("n"), F.col("x.item_code").alias("item_code"), F.col("x.description").alias("description"), F.col("x.qty").cast("long").alias("quantity"), cents(F.col("x.unit_price")).alias("unit_cents"), cents(F.col("x.amount")).alias("cents"), cents(F.col("x.confidence")).alias("confidence"), F.size("x.source_line_ids").cast("long").alias("n_sources"))
+
+
 def receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = synth.receipt_pages(spark, sf_dir).select("doc_id", F.posexplode_outer(receipt.receipt_items(F.col("lines"))).alias("n", "x")).where(F.col("n").isNotNull())
-    return d.select("doc_id", F.col("n").cast("long").alias("n"), F.col("x.item_code").alias("item_code"), F.col("x.description").alias("description"), F.col("x.qty").cast("long").alias("quantity"), cents(F.col("x.unit_price")).alias("unit_cents"), cents(F.col("x.amount")).alias("cents"), F.size("x.source_line_ids").cast("long").alias("n_sources"))
+    return items_of_receipts(spark, sf_dir, False)
+
+
+def receipt_items_whole_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items_of_receipts(spark, sf_dir, True)
 
 
 def receipt_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         layout_invoices,
         receipt_sections,
         receipt_items,
+        receipt_items_whole_amounts,
         receipt_validation,
         image_upscale_plan,
         image_quality_flags,
@@ -196,7 +205,10 @@ _LINES = r"""texts AS (SELECT doc_id, unnest(list_filter(list_transform(string_s
 _SUSPICIOUS = r"""(regexp_matches(text, '[~|¦`]') OR regexp_matches(text, '\b[Il]\d{2,}\b|\b\d{2,}[Il]\b|\b[Il]\d{2}[Il]\b') OR regexp_matches(text, '[A-Za-z]{3,}[~\-]$'))"""
 _ITEMS = """items AS (SELECT l_orderkey AS k, l_partkey AS part, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) % 9900 + 100 AS cents,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS n FROM lineitem),
-sums AS (SELECT k, CAST(sum(cents) AS BIGINT) AS subtotal, CAST(sum(cents * quantity) AS BIGINT) AS whole, count(*) AS c FROM items GROUP BY k)"""
+sums AS (SELECT o_orderkey AS k, CAST(coalesce(sum(cents), 0) AS BIGINT) AS subtotal, CAST(coalesce(sum(cents * quantity), 0) AS BIGINT) AS whole, count(cents) AS c FROM orders LEFT JOIN items ON k = o_orderkey GROUP BY o_orderkey)"""
+# the receipt's second line of an item ends in a part number; of four digits or more, it is read as amounts of three digits each and the rest
+_PARTS = """read AS (SELECT *, CAST(part AS VARCHAR) AS p, (length(CAST(part AS VARCHAR)) - 1) // 3 AS before FROM items),
+own AS (SELECT *, before > 0 AS long, CAST(substr(p, 3 * before + 1) AS BIGINT) * 100 AS last, CASE WHEN before > 0 THEN CAST(substr(p, 3 * before - 2, 3) AS BIGINT) * 100 END AS unit FROM read)"""
 _TRUTH = f"""{_ITEMS},
 base AS (SELECT o_orderkey AS k, o_custkey, o_orderdate, c_name, coalesce(subtotal, 0) AS subtotal, coalesce(c, 0) AS c FROM orders LEFT JOIN sums ON k = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey),
 taxed AS (SELECT *, subtotal * 6 // 100 AS tax, k % 10 * 10 AS discount FROM base),
@@ -243,13 +255,24 @@ SELECT CAST(10000 AS BIGINT) AS invoice_number_accuracy, CAST(round(round(avg(CA
     "layout_items": f"WITH {_ITEMS} SELECT k AS doc_id, n, 'Widget P' || part AS description, quantity, cents AS unit_cents, cents FROM items",
     "layout_invoices": f"WITH {_ITEMS} SELECT o_orderkey AS doc_id, 'INV-' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, subtotal AS total_cents, c AS n_items FROM orders JOIN sums ON k = o_orderkey",
     "receipt_sections": f"""
-WITH {_ITEMS}
-SELECT k AS doc_id, s AS section, CAST(m AS BIGINT) AS n FROM (SELECT k, unnest(['header_company', 'merchant_contact', 'document_metadata', 'items_table', 'totals_payment', 'footer_notes']) AS s, unnest([1, 1, 2, 1 + 2 * c, 3, 1]) AS m FROM sums)""",
-    "receipt_items": f"WITH {_ITEMS} SELECT k AS doc_id, n, CAST(part + 100000 AS VARCHAR) AS item_code, 'widget P' || part AS description, quantity, cents AS unit_cents, cents * quantity AS cents, CAST(2 AS BIGINT) AS n_sources FROM items",
+WITH {_ITEMS}, low AS (SELECT k, c, len(list_filter(range(5, 5 + 2 * c), lambda j: (30 * j)::DOUBLE / (30 * (8 + 2 * c) + 20)::DOUBLE > 0.86::DOUBLE)) AS f FROM sums)
+SELECT k AS doc_id, s AS section, CAST(m AS BIGINT) AS n FROM (SELECT k, unnest(['header_company', 'merchant_contact', 'document_metadata', 'items_table', 'totals_payment', 'footer_notes']) AS s, unnest([1, 1, 2, 1 + 2 * c - f, 3, 1 + f]) AS m FROM low)""",
+    "receipt_items": f"""
+WITH {_ITEMS}, {_PARTS},
+rows AS (SELECT k, n, 1 AS second, CAST(part + 100000 AS VARCHAR) AS item_code, CASE WHEN long THEN CAST(part + 100000 AS VARCHAR) ELSE 'widget P' || p END AS description, quantity, cents AS unit_cents, cents * quantity AS cents, CASE WHEN long THEN 1 ELSE 2 END AS n_sources FROM own
+  UNION ALL SELECT k, n, 0, NULL, 'widget P', NULL, unit, last, 1 FROM own WHERE long)
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY n, second) - 1 AS n, item_code, description, quantity, unit_cents, cents, CAST(90 AS BIGINT) AS confidence, CAST(n_sources AS BIGINT) AS n_sources FROM rows""",
+    "receipt_items_whole_amounts": f"WITH {_ITEMS} SELECT k AS doc_id, n, CAST(part + 100000 AS VARCHAR) AS item_code, 'widget P' || part AS description, quantity, cents AS unit_cents, cents * quantity AS cents, CAST(90 AS BIGINT) AS confidence, CAST(2 AS BIGINT) AS n_sources FROM items",
     "receipt_validation": f"""
-WITH {_ITEMS}, r AS (SELECT k, whole + CASE WHEN k % 9 = 2 THEN 100 ELSE 0 END AS total FROM sums)
-SELECT k AS doc_id, 'CS' || k AS document_number, '2024-05-06' AS date, 'RM' AS currency, total AS total_cents, total + 250 AS cash_cents, CAST(250 AS BIGINT) AS change_cents, 'Thank you' AS footer_note,
-  CASE WHEN k % 9 = 2 THEN 'line_item_sum_does_not_match_total' ELSE '' END AS warnings, k % 9 <> 2 AS is_valid FROM r""",
+WITH {_ITEMS}, {_PARTS}, extra AS (SELECT k, CAST(sum(CASE WHEN long THEN last ELSE 0 END) AS BIGINT) AS e FROM own GROUP BY k),
+r AS (SELECT k, c, CASE WHEN k % 9 = 2 THEN 100 ELSE 0 END AS planted, whole, coalesce(e, 0) AS e FROM sums LEFT JOIN extra USING (k)),
+w AS (SELECT *, c > 0 AND abs(e - planted) > 5 AS wrong FROM r)
+SELECT k AS doc_id, 'CS' || k AS document_number, '2024-05-06' AS date, 'RM' AS currency, whole + planted AS total_cents, whole + planted + 250 AS cash_cents, CAST(250 AS BIGINT) AS change_cents, 'Thank you' AS footer_note,
+  CASE WHEN wrong THEN 'line_item_sum_does_not_match_total' ELSE '' END AS warnings, NOT wrong AS is_valid FROM w""",
+    "page_postprocess": f"""
+WITH {_ITEMS}, body AS (SELECT k, string_agg(printf(' Widget P%d' || chr(10) || chr(10) || '%.2f %.2f %d', part, cents / 100, cents / 100, quantity), '' ORDER BY n) AS rows FROM items GROUP BY k),
+t AS (SELECT o_orderkey AS k, o_orderdate, c, coalesce(rows, '') AS rows, format('{{:,}}', subtotal // 100) || '.' || lpad(CAST(subtotal % 100 AS VARCHAR), 2, '0') AS total FROM orders JOIN sums ON sums.k = o_orderkey LEFT JOIN body ON body.k = o_orderkey)
+SELECT k AS doc_id, 9 + 2 * c AS n_lines, replace('ACME Trading LLC||Invoice No||INV-' || k || ' Invoice Date ' || strftime(o_orderdate, '%Y-%m-%d') || '||Description||Unit Price Amount Qty' || rows || '||Total Amount||USD ' || total, '||', chr(10) || chr(10)) AS text FROM t""",
     "image_upscale_plan": """
 WITH s AS (SELECT o_orderkey AS doc_id, o_orderkey * 37 % 3000 AS w, o_orderkey * 53 % 4000 + 1 AS h FROM orders),
 f AS (SELECT *, CASE WHEN w > 0 THEN least(4.0::DOUBLE, greatest(2600 / w, 3600 / h, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END AS x FROM s)

@@ -56,6 +56,12 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(k.alias("doc_id"), F.array_join(all_lines, "\n").alias("text"))
 
 
+def rows_or_none(rows: str) -> Column:
+    """The items of an order in their order; an order without items has an empty array."""
+    kept = F.transform(rows, lambda r: F.struct(r["part"].alias("part"), r["quantity"].alias("quantity"), r["cents"].alias("cents")))
+    return F.coalesce(kept, F.array().cast("array<struct<part:bigint,quantity:bigint,cents:bigint>>"))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of recognised lines for each order: ``doc_id`` and ``lines``; labels on the left, values to their right or below, and a table.
 
@@ -69,7 +75,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(text.alias("text"), F.lit(None).cast("string").alias("text_clean"), F.lit(None).cast("string").alias("line_id"), F.lit(1).alias("page"), F.lit(0.95).alias("confidence"), box.alias("bbox"))
 
     items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"))
-    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(items, "o_orderkey")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(items, "o_orderkey", "left")
+    d = d.withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", F.lit(0).cast("long"))})
     cell = lambda r, i: F.array(line(F.concat(F.lit("Widget P"), r["part"].cast("string")), 40, 260 + 40 * i), line(r["quantity"].cast("string"), 300, 262 + 40 * i, 60), line(money(r["cents"]), 420, 261 + 40 * i, 100), line(money(r["cents"]), 560, 260 + 40 * i, 100))
     end = 300 + 40 * F.size("rows")
     head = F.array(
@@ -88,9 +95,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One receipt for each order with items: ``doc_id`` and ``lines`` of ``text, line_id, confidence, bbox``."""
+    """One receipt for each order: ``doc_id`` and ``lines`` of ``text, line_id, confidence, bbox``."""
     k = F.col("o_orderkey")
     items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"), F.sum(F.col("cents") * F.col("quantity")).alias("all"))
+    zero = F.lit(0).cast("long")
+    items = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left").withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", zero), "all": F.coalesce("all", zero)})
     texts = F.flatten(F.transform("rows", lambda r: F.array(F.concat_ws(" ", (r["part"] + 100_000).cast("string"), r["quantity"].cast("string"), money(r["cents"]), F.regexp_replace(money(r["cents"] * r["quantity"]), ",", "")), F.concat(F.lit("widget P"), r["part"].cast("string")))))
     total = F.when(k % 9 == 2, F.col("all") + 100).otherwise(F.col("all"))
     whole = F.concat(F.array(F.concat(F.lit("ACME MART "), (k % 7).cast("string")), F.lit("TEL 07-5551234"), F.concat(F.lit("Doc No: CS"), k.cast("string")), F.lit("Date: 2024-05-06"), F.lit("CODE/DESC QTY PRICE AMOUNT")), texts, F.array(F.concat(F.lit("Total Sales RM "), money(total)), F.concat(F.lit("Cash "), money(total + 250)), F.lit("Change 2.50"), F.lit("Thank you")))

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables."""
+"""Registered queries against their SQL, on the smallest tables and on those ten times larger, whose part numbers have four digits."""
 
 import os
 
@@ -7,16 +7,17 @@ import pytest
 
 from folioscale.plans import catalogue
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
-def test_query(spark, name):
+def test_query(spark, name, sf):
     db = duckdb.connect()
-    for f in os.listdir(DATA):
-        db.execute(f"CREATE VIEW {f.split('.')[0]} AS FROM read_parquet('{DATA}/{f}')")
-    found = catalogue.QUERIES[name](spark, DATA)
+    for f in os.listdir(f"{DATA}/{sf}"):
+        db.execute(f"CREATE VIEW {f.split('.')[0]} AS FROM read_parquet('{DATA}/{sf}/{f}')")
+    found = catalogue.QUERIES[name](spark, f"{DATA}/{sf}")
     names = sorted(found.columns)
     db.execute(f"CREATE TABLE expected AS {catalogue.SQL[name]}")
     cols = ", ".join(f'"{c}"' for c in names)
