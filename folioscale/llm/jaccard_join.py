@@ -28,8 +28,8 @@ FREQUENT_FROM, FREQUENT_KEPT = 3, 200_000
 LEVEL_TOKENS = 24
 #: A token in more prefixes than this leads nowhere, as far as a class can spare it.
 SPARED_DF = 16
-#: A block (a group's part, or queries that visit it) has about so many tokens at most, 16 MB.
-BLOCK_TOKENS = 2_000_000
+#: A block (members of a group, and classes that visit it) has about so many tokens of either, 16 MB, and so many rows of either.
+BLOCK_TOKENS, BLOCK_ROWS = 2_000_000, 512
 
 
 def level(n: int) -> int:
@@ -128,15 +128,11 @@ def tokens_of(docs: DataFrame, size: int) -> DataFrame:
     return d.mapInArrow(run, f"cid long, tokens binary, places {d.schema['places'].dataType.simpleString()}")
 
 
-def find_root(parent: dict[int, int], x: int) -> int:
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def open_group(table: pa.Table, num: int, den: int, count_links: bool) -> pa.Table:
+    """One block: members (``role`` 0) and visitors (1: from another group, 2: from this one). A row for each class: its local root and the weight of its links.
 
-
-def open_group(table: pa.Table, num: int, den: int) -> pa.Table:
-    """One block: members (``role`` 0) and visitors (1: from another group, 2: from this one). A row for each class: its local root and the weight of its links."""
+    Without ``count_links`` a class has 1 if it has links, and visitors that can't join anything new are left out: those from this group, once all members are joined.
+    """
     # several rows with the id and the text of a class's first give its tokens more than once
     d = table.group_by(["cid", "role"]).aggregate([("weight", "min"), ("tokens", "min")]).rename_columns(["cid", "role", "weight", "tokens"]).to_pydict()
     role, cid, weight = np.array(d["role"]), np.array(d["cid"], dtype=np.int64), np.array(d["weight"], dtype=np.int64)
@@ -147,13 +143,17 @@ def open_group(table: pa.Table, num: int, den: int) -> pa.Table:
     owner = np.repeat(np.arange(len(members)), sizes[members])
     order = np.argsort(flat, kind="stable")
     owner, (union, starts, counts) = owner[order], np.unique(flat[order], return_index=True, return_counts=True)
-    parent: dict[int, int] = {}
-    links: dict[int, int] = {}
+    # local components: one label for each class, the least of its component
+    nodes, at = np.unique(cid, return_inverse=True)
+    label, links = np.arange(len(nodes)), np.zeros(len(nodes), dtype=np.int64)
+    node_of, member_nodes = at, at[members]
     for v in visitors.tolist():
-        own = sets[v]
-        at = np.searchsorted(union, own)
-        at[at == len(union)] = 0
-        inside = at[union[at] == own] if len(union) else at[:0]
+        own, c = sets[v], node_of[v]
+        if not count_links and role[v] == 2 and (label[member_nodes] == label[c]).all():
+            continue
+        places = np.searchsorted(union, own)
+        places[places == len(union)] = 0
+        inside = places[union[places] == own] if len(union) else places[:0]
         if den * len(inside) < num * len(own):  # the bound: no member can overlap more
             continue
         n = counts[inside]
@@ -161,19 +161,22 @@ def open_group(table: pa.Table, num: int, den: int) -> pa.Table:
         posts = np.repeat(starts[inside] - ends + n, n) + np.arange(int(ends[-1]))
         overlap = np.bincount(owner[posts], minlength=len(members))
         near = np.flatnonzero(den * overlap >= num * (len(own) + sizes[members] - overlap))
-        c = int(cid[v])
-        for m in members[near].tolist():
-            other = int(cid[m])
-            if other == c:
-                continue
-            links[c] = links.get(c, 0) + int(weight[m])
+        near = near[member_nodes[near] != c]
+        if not len(near):
+            continue
+        others = member_nodes[near]
+        if count_links:
+            links[c] += weight[members[near]].sum()
             if role[v] == 1:
-                links[other] = links.get(other, 0) + int(weight[v])
-            a, b = find_root(parent, c), find_root(parent, other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = sorted(parent)
-    return pa.table({"cid": pa.array(nodes, pa.int64()), "root": pa.array([find_root(parent, x) for x in nodes], pa.int64()), "links": pa.array([links.get(x, 0) for x in nodes], pa.int64())})
+                links[others] += weight[v]  # the members are different classes
+        else:
+            links[c] = 1
+            links[others] = 1
+        joined = np.unique(label[np.append(others, c)])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    some = np.bincount(label, minlength=len(nodes))[label] > 1
+    return pa.table({"cid": pa.array(nodes[some], pa.int64()), "root": pa.array(nodes[label[some]], pa.int64()), "links": pa.array(links[some], pa.int64())})
 
 
 def group_classes(shared: DataFrame) -> DataFrame:
@@ -183,9 +186,11 @@ def group_classes(shared: DataFrame) -> DataFrame:
     return key.join(parts, "key", "left").select("cid", "n", "weight", F.xxhash64("key", F.coalesce(F.pmod(F.xxhash64("cid"), "parts"), F.lit(0))).alias("gid"))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """Per document: the id column, ``n_shingles``, ``component_id`` (the least id that links lead to, itself included) and ``n_links``.
 
+    Without ``count_links`` there is a boolean ``linked`` instead of ``n_links``: links inside a component that is already joined need not be found then.
+
     Two documents link if ``den * |intersection| >= num * |union|`` of their sets of ``size``-word shingles; words are runs between ASCII
     white space, A-Z lower-cased; fewer words count as one shingle. A document without words (or with a null text) has no shingles and
     no links. A row with a null id keeps its set's size, but takes part in no link and has a null component. Rows with equal texts are copies and link, also
@@ -213,15 +218,19 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     weights = groups.select("cid", "n", "weight")
     visitors = visits.join(weights, "cid")
-    chunks = visitors.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("chunks"))
-    rows = visitors.join(chunks, "gid").select("cid", "gid", "role", "weight", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"))
-    members = groups.join(chunks, "gid").select("cid", "gid", F.lit(0).alias("role"), "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    places = rows.union(members).groupBy("cid").agg(F.collect_list(F.struct("gid", "chunk", "role", "weight")).alias("places"))
+    cut = lambda name: F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_ROWS)).alias(name)
+    # a group is a matrix of blocks: its members are dealt over parts, its visitors over chunks, and each part meets each chunk
+    grid = visitors.groupBy("gid").agg(cut("chunks")).join(groups.groupBy("gid").agg(cut("parts")), "gid")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    one = lambda count: F.pmod(F.xxhash64("cid"), count)
+    rows = visitors.join(grid, "gid").select("cid", "gid", "role", "weight", one("chunks").alias("chunk"), every("parts").alias("part"))
+    members = groups.join(grid, "gid").select("cid", "gid", F.lit(0).alias("role"), "weight", every("chunks").alias("chunk"), one("parts").alias("part"))
+    places = rows.union(members).groupBy("cid").agg(F.collect_list(F.struct("gid", "chunk", "part", "role", "weight")).alias("places"))
     wanted = written(places.join(classes.select("cid", "rep", "digest"), "cid"), "blocks")
 
     texts = source.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("rep"))
     sets = tokens_of(texts, size).select("cid", "tokens", F.explode("places").alias("p")).select("cid", "tokens", "p.*")
-    opened = sets.groupBy("gid", "chunk").applyInArrow(lambda t: open_group(t, num, den), "cid long, root long, links long")
+    opened = sets.groupBy("gid", "chunk", "part").applyInArrow(lambda t: open_group(t, num, den, count_links), "cid long, root long, links long")
     found = written(opened, "links")
 
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
@@ -232,4 +241,5 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     per_class = classes.select("digest", "rep", "weight").join(reach, "digest", "left").select("digest", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("class_links"))
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest"))
     out = described.select("id", "n", own.alias("digest")).join(per_class, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("class_links", F.lit(0).cast("long")).alias("n_links"))
+    n_links = F.coalesce("class_links", F.lit(0).cast("long"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), n_links.alias("n_links") if count_links else (n_links > 0).alias("linked"))

@@ -94,6 +94,7 @@ def plain_groups(rows, size, num, den):
 @pytest.mark.parametrize("size, num, den", [(3, 90, 100), (5, 80, 100)])
 def test_jaccard_join(spark, monkeypatch, size, num, den):
     ship(spark)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 7)
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 3_000)  # so that groups and visits are dealt over several blocks
     r = np.random.default_rng(size)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -109,6 +110,8 @@ def test_jaccard_join(spark, monkeypatch, size, num, den):
     d = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, digest string, cid int")
     got = sorted((tuple(x) for x in jaccard_join.similar_documents(d, size, num, den).collect()), key=repr)
     assert got == plain_groups(rows, size, num, den)
+    flags = sorted((tuple(x) for x in jaccard_join.similar_documents(d, size, num, den, count_links=False).collect()), key=repr)
+    assert flags == sorted(((*x[:3], x[3] > 0) for x in got), key=repr)
     assert jaccard_join.similar_documents(d.limit(0), size, num, den).count() == 0
 
 
@@ -280,6 +283,19 @@ def test_pipeline_tells_rows_apart(spark):
     assert corpus_pipeline.one_of_each_group(spark, d.limit(0), "").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    ship(spark)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 60)
+    names = ["toxicity", "quality", "row", "id", "score", "label", "key", "digest", "component_id", "linked", "__id"]
+    d = spark.createDataFrame([(i, f"some words here {i}", *range(len(names))) for i in range(20)], ["doc_id", "text", *names])
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and all(tuple(x)[2:] == tuple(range(len(names))) for x in out.collect())
+
+
 def test_packing_gives_its_ids(spark, tmp_path, monkeypatch):
     import corpus_pipeline
     import public_tokenizers
