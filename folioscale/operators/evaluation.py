@@ -41,3 +41,10 @@ def summarize(rows: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.avg("confidence"), 4), F.lit(0.0)).alias("average_confidence"),
         F.count("*").alias("document_count"),
     )
+
+
+def checked(summary: DataFrame, truth: DataFrame) -> DataFrame:
+    """The summary, unless it counts no documents although there are rows of ground truth: then their ids are missing, and that is an error."""
+    if summary.first()["document_count"] == 0 and not truth.isEmpty():
+        raise ValueError("no document was evaluated although there is ground truth: check its doc_id column")
+    return summary

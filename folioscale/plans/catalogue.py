@@ -172,6 +172,26 @@ def page_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("lines").cast("long").alias("n_lines"), lines.paragraphs(F.col("lines"), "text_clean").alias("text"))
 
 
+def page_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines.page_scores(scored_lines(spark, sf_dir), ["doc_id"])
+    return d.select("doc_id", F.round(F.col("quality_score") * 1_000).cast("long").alias("thousandths"))
+
+
+def shop_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts, inline labels, title, type, currency, totals and items of cash receipts as texts."""
+    d = invoices(synth.shop_texts(spark, sf_dir))
+    x = F.try_element_at("line_items", F.lit(1))
+    fields = ("vendor_name", "vendor_registration_number", "vendor_address", "vendor_phone", "vendor_fax", "vendor_email", "document_title", "document_type", "invoice_number", "invoice_date", "transaction_time", "cashier", "salesperson", "reference", "currency", "payment_method")
+    return d.select("doc_id", *fields, *(cents(F.col(n)).alias(n) for n in ("subtotal", "total_amount", "cash_received", "change_amount")), F.col("total_quantity").cast("long").alias("total_quantity"), F.size("line_items").cast("long").alias("n_items"), x["item_code"].alias("item_code"), x["description"].alias("description"), x["quantity"].cast("long").alias("quantity"), cents(x["unit_price"]).alias("unit_cents"), cents(x["amount"]).alias("cents"), F.array_join("review_reasons", ",").alias("reasons"))
+
+
+def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with misread words, digits and marks, cleaned."""
+    k = F.col("o_orderkey")
+    noisy = F.concat(F.lit(" The Coumittee  met ,  room I"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("l and l"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" .. ﬁle no~ "), F.lpad((k % 900 + 100).cast("string"), 3, "0"), F.lit("I — Iearned of. The end of. it  "))
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), t.normalize_text(noisy).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -198,6 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         image_quality_flags,
         pipeline_view,
         page_postprocess,
+        page_quality_score,
+        shop_fields,
+        normalized_lines,
     )
 }
 
@@ -231,6 +254,17 @@ SELECT doc_id, count(*) FILTER ((letters = 0 AND symbols > 3) OR (letters > 0 AN
     "retry_decision": rf"""
 WITH {_LINES}, m AS (SELECT doc_id, avg(((doc_id * 7 + line_no * 13) % 21 + 80) / 100) AS c, count(*) FILTER {_SUSPICIOUS} AS suspicious_lines, count(*) FILTER (length(text) <= 3) AS short_lines FROM texts GROUP BY doc_id)
 SELECT doc_id, CAST(round(c * 1000000) AS BIGINT) AS confidence_millionths, suspicious_lines, short_lines, c < 0.9 OR (c < 0.9 + 0.03::DOUBLE AND suspicious_lines >= 2) AS retry FROM m""",
+    "page_quality_score": rf"""
+WITH {_LINES}, m AS (SELECT doc_id, avg(((doc_id * 7 + line_no * 13) % 21 + 80) / 100) AS c, count(*) FILTER {_SUSPICIOUS} AS s, count(*) FILTER (length(text) <= 3) AS n FROM texts GROUP BY doc_id)
+SELECT doc_id, CAST(round((c - 0.015::DOUBLE * s - 0.01::DOUBLE * n) * 1000) AS BIGINT) AS thousandths FROM m""",
+    "shop_fields": """
+-- a line with two numbers of three digits or more has no prices, so its item stays without an amount and is dropped
+WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, (o_orderkey % 50 + 1) * 500 AS unit, o_orderkey % 4 + 1 AS q FROM orders), s AS (SELECT *, CASE WHEN unit < 10000 THEN 1 END AS read FROM o)
+SELECT k AS doc_id, 'KEDAI BUKU ' || k % 7 || ' SDN BHD' AS vendor_name, 'JM' || (k % 9000 + 1000) || '-H' AS vendor_registration_number, CASE WHEN k % 2 = 0 THEN 'NO ' || (k % 90 + 1) || ' JALAN BESAR' END AS vendor_address,
+  '07-' || (k % 9000 + 1000) AS vendor_phone, '07-' || (k % 8000 + 1000) AS vendor_fax, 'shop' || k || '@mail.example.com' AS vendor_email, CASE k % 3 WHEN 0 THEN 'CASH SALES' WHEN 1 THEN 'TAX INVOICE' END AS document_title, CASE WHEN k % 3 = 0 THEN 'cash_sales_receipt' ELSE 'invoice' END AS document_type,
+  'CS' || k AS invoice_number, strftime(d, '%Y-%m-%d') AS invoice_date, '09:4' || k % 10 || ':00' AS transaction_time, 'USER' || k % 5 AS cashier, 'S' || k % 4 AS salesperson, 'R' || k AS reference, CASE k % 4 WHEN 1 THEN 'EUR' WHEN 2 THEN 'USD' ELSE 'MYR' END AS currency, CASE WHEN k % 6 = 0 THEN 'bank transfer' END AS payment_method,
+  unit * q AS subtotal, unit * q + 5 AS total_amount, unit * q + 2005 AS cash_received, CAST(2000 AS BIGINT) AS change_amount, q AS total_quantity, CAST(coalesce(read, 0) AS BIGINT) AS n_items, CASE WHEN read = 1 THEN CAST(k % 1000 + 10000000 AS VARCHAR) END AS item_code, CASE WHEN read = 1 THEN 'PEN SET' || CASE WHEN k % 5 = 0 THEN ' BLUE INK' ELSE '' END END AS description, q * read AS quantity, unit * read AS unit_cents, unit * q * read AS cents, '' AS reasons FROM s""",
+    "normalized_lines": "SELECT o_orderkey AS doc_id, 'The Committee met, room 1' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '1 and 1' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '. file no~ ' || (o_orderkey % 900 + 100) || '1 - learned of The end of it' AS text FROM orders",
     "retry_select": """
 WITH p AS (SELECT o_orderkey AS doc_id, list_transform([('basic', 5, 3), ('receipt', 7, 11), ('sorie', 13, 5), ('strong', 17, 23)], lambda m: {'mode': m[1], 'c': (o_orderkey * m[2]) % 64 / 1024 + 0.9375::DOUBLE, 's': (o_orderkey * m[3]) % 64 / 512 + 0.75::DOUBLE}) AS l FROM orders)
 SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN b.c >= a.c + 0.01::DOUBLE OR (b.c >= a.c - 0.005::DOUBLE AND b.s > a.s + 0.02::DOUBLE) THEN b ELSE a END).mode AS selected_mode FROM p""",

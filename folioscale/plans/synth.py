@@ -105,3 +105,34 @@ def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(F.array(F.concat(F.lit("ACME MART "), (k % 7).cast("string")), F.lit("TEL 07-5551234"), F.concat(F.lit("Doc No: CS"), k.cast("string")), F.lit("Date: 2024-05-06"), F.lit("CODE/DESC QTY PRICE AMOUNT")), texts, F.array(F.concat(F.lit("Total Sales RM "), money(total)), F.concat(F.lit("Cash "), money(total + 250)), F.lit("Change 2.50"), F.lit("Thank you")))
     line = lambda x, i: F.struct(x.alias("text"), F.concat(F.lit("l"), (i + 1).cast("string")).alias("line_id"), F.lit(0.9).alias("confidence"), F.array(F.array(F.lit(0), i * 30), F.array(F.lit(400), i * 30), F.array(F.lit(400), i * 30 + 20), F.array(F.lit(0), i * 30 + 20)).cast("array<array<double>>").alias("bbox"))
     return items.select(k.alias("doc_id"), F.transform(whole, line).alias("lines"))
+
+
+def shop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cash receipt text for each order: ``doc_id`` and ``text``, with contacts, several labels on a line, items of a code and a price line, and totals that
+    aren't the one to pay. Its title and currency differ with the order's key."""
+    k = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    unit = (k % 50 + 1) * 5
+    lines = F.array(
+        text("KEDAI BUKU ", k % 7, " SDN BHD"),
+        text("(JM", k % 9000 + 1000, "-H)"),
+        F.when(k % 2 == 0, text("NO ", k % 90 + 1, " JALAN BESAR")),
+        text("TEL: 07-", k % 9000 + 1000, " FAX: 07-", k % 8000 + 1000),
+        text("Mail: shop", k, "@mail.example.com"),
+        F.when(k % 3 == 0, "CASH SALES").when(k % 3 == 1, "TAX INVOICE"),
+        text("Doc No: CS", k),
+        text("Date: ", F.date_format("o_orderdate", "dd/MM/yyyy"), " Time: 09:4", k % 10, ":00"),
+        text("Cashier: USER", k % 5, " Salesperson: S", k % 4, " Ref: R", k),
+        F.lit("Item Qty Price Amount"),
+        text("PEN SET ", k % 1000 + 10_000_000),
+        F.when(k % 5 == 0, "BLUE INK"),
+        text(k % 4 + 1, " PCS ", money(unit * 100), " ", money(unit * 100 * (k % 4 + 1))),
+        text("Total Qty: ", k % 4 + 1),
+        text("Subtotal ", money(unit * 100 * (k % 4 + 1))),
+        F.when(k % 2 == 1, text("Total ", money(unit * 100))),
+        text("Grand Total ", money(unit * 100 * (k % 4 + 1) + 5)),
+        text("Cash ", money(unit * 100 * (k % 4 + 1) + 2005)),
+        F.when(k % 4 == 1, "Prices in EUR").when(k % 4 == 2, "All in $").when(k % 4 == 3, "RM"),
+        F.when(k % 6 == 0, "Paid by bank transfer."),
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.array_join(F.array_compact(lines), "\n").alias("text"))

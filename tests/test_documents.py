@@ -3,10 +3,12 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioscale.functions import text
 from folioscale.operators import evaluation, images, layout, lines, receipt
+from folioscale.plans import documents
 from folioscale.operators.invoice import invoices
 from folioscale.sources import files
 from folioscale.streaming import landing, progress
@@ -94,12 +96,68 @@ def test_images(spark):
     r = images.quality_warnings(images.image_measures(d, ["doc_id", "page"])).orderBy("page").collect()
     assert r[0].content_area_ratio == 0.05 and "document_content_is_small" in r[0].warnings and r[1].content_area_ratio is None
     sizes = {x.mode: (x.height, x.width) for x in images.prepare_pages(d, ["doc_id", "page"]).collect()}
-    assert sizes["basic"] == (50 * 2 + 36, 80 * 2 + 36) and sizes["sorie"] == (200 + 48, 320 + 48)
+    assert sizes["basic"] == (50 * 2 + 36, 80 * 2 + 36) and sizes["sorie"] == ((10 + 24) * 4 + 48, (20 + 24) * 4 + 48)  # content and its margin
     assert images.document_quality(images.quality_warnings(images.image_measures(d, ["doc_id", "page"]))).first().page_count == 2
     read = images.recognise(d, ["doc_id", "page"], lambda: lambda g: [(f"{g.shape[0]} rows", 0.9, [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]])]).collect()
     assert [(x.page, x.text, x.line_id) for x in read] == [(1, "50 rows", "l0001")]
 
 
+def test_image_steps():
+    page = np.full((60, 90), 250, dtype=np.uint8)
+    page[20:40, 30:60] = 10
+    assert images.trimmed(page, 0.08).shape == (20 + 24, 30 + 24) and images.trimmed(page, 0.5) is page and images.trimmed(np.full((5, 5), 7, np.uint8), 0).shape == (5, 5)
+    flat, ramp = np.full((9, 7), 77, np.uint8), np.tile(np.arange(0, 200, 10, dtype=np.uint8), (8, 1))
+    assert (images.cubic(flat, 2.0) == 77).all() and images.cubic(flat, 1.5).shape == (14, 10) and images.cubic(flat, 1) is flat
+    assert np.abs(images.cubic(ramp, 2.0)[8, 8:-8].astype(float) - (np.arange(8, 32) + 0.5) * 5 + 5).max() <= 1
+    assert np.allclose(images.blurred(flat, 1.0), 77, atol=1e-3) and np.isclose(images.blurred(page, 1.0).sum(), page.astype(float).sum(), rtol=1e-4)
+    sharp = images.sharpened(page, 1.0, 0.45)
+    assert sharp.min() < 10 and sharp[19, 45] == 255 and sharp[0, 0] == 250
+    made = {m: images.prepared(page, m) for m in images.MODES}
+    assert not np.array_equal(made["basic"], made["receipt"]) and set(np.unique(made["strong"])) == {0, 255}
+    assert np.array_equal(images.prepared(page, "sroie"), made["sorie"])
+
+
+def test_evaluation_of_no_documents(spark):
+    truth = spark.createDataFrame([(None, "V", "N1", "2024-01-01", "10.00")], files.TRUTH)
+    found = spark.createDataFrame([], "doc_id string, invoice_number string, invoice_date string, total_amount double, vendor_name string, needs_review boolean, confidence double")
+    none = evaluation.summarize(evaluation.compare(truth.limit(0), found))
+    assert evaluation.checked(none, truth.limit(0)).first().document_count == 0
+    with pytest.raises(ValueError):
+        evaluation.checked(none, truth)
+
+
+def test_documents_from_pages_to_records(spark, tmp_path):
+    # inside the test, so that workers need not import this file
+    def engine_by_height():
+        """Reads the better a page was prepared: receipts are recognised after trimming only."""
+
+        def box(y):
+            return [[10.0, y], [300.0, y], [300.0, y + 20.0], [10.0, y + 20.0]]
+
+        def read(page):
+            if page.shape[0] == 400 * 2 + 36:
+                return [("blurred~ text", 0.5, box(0.0))]
+            rows = ["ACME MART SDN BHD", "Doc No: CS77", "Date: 15/01/2024", "CODE/DESC QTY PRICE AMOUNT", "100123 2 5.00 10.00", "blue pens", "Total Sales RM 10.00", "Cash 20.00", "Change 10.00"]
+            return [(x, 0.97, box(60.0 * i)) for i, x in enumerate(rows)]
+
+        return read
+
+    scan = np.full((400, 300), 250, dtype=np.uint8)
+    scan[100:300, 100:200] = 5
+    pages = spark.createDataFrame([("inv", 1, INVOICE), ("shop", 1, ""), ("both", 1, INVOICE), ("both", 2, None)], "doc_id string, page int, text string")
+    scans = spark.createDataFrame([("shop", 1, 400, 300, scan.tobytes()), ("both", 2, 400, 300, scan.tobytes())], "doc_id string, page int, height int, width int, pixels binary")
+    kept, passes = documents.recognise_with_retry(scans, engine_by_height)
+    assert {(x.selected_mode, x.retry_used) for x in passes.collect()} == {("receipt", True)} and kept.where("doc_id = 'shop'").count() == 9
+    found = documents.documents(pages, scans, engine_by_height)
+    got = {x.doc_id: x for x in found.collect()}
+    assert set(got) == {"inv", "shop", "both"}
+    assert got["inv"].invoice.invoice_number == "INV-2026-001" and [p.source for p in got["inv"].pages] == ["native"] and got["inv"].quality is None
+    assert got["shop"].receipt.document_number == "CS77" and got["shop"].receipt.total == 10.0 and got["shop"].receipt.is_valid and got["shop"].receipt.line_items[0].description == "blue pens"
+    assert [p.source for p in got["both"].pages] == ["native", "ocr"] and "ACME MART" in got["both"].full_text and got["shop"].quality.page_count == 1
+    documents.write_documents(found, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/validation").where("is_valid").count() >= 1 and spark.read.json(f"{tmp_path}/result").count() == 3
+
+
 def test_files(spark, tmp_path):
     page = tmp_path / "docs" / "d1" / "ocr"
     page.mkdir(parents=True)
