@@ -106,6 +106,9 @@ class Codec:
                 if not len(ids):
                     break
             r, c = self.places(ids, ranks, lengths, best)
+            if len(r) == len(ids):
+                ids, ranks, lengths = self.merged_once(ids, ranks, lengths - 1, c, best)
+                continue
             # the left cell of each place becomes the merged token, its right cell goes
             ids[r, c] = best[r]
             stays = np.ones(ids.shape, dtype=bool)
@@ -134,6 +137,18 @@ class Codec:
             ids, ranks = new_ids, new_ranks
         return out
 
+    def merged_once(self, ids: np.ndarray, ranks: np.ndarray, lengths: np.ndarray, where: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rows after one merge in each: cells move up by one from the place on. ``lengths`` are those after it."""
+        n, k = np.arange(len(ids)), ids.shape[1] - 1
+        at = np.arange(k)[None, :]
+        ids = np.where(at > where[:, None], ids[:, 1:], ids[:, :-1])
+        ids[n, where] = best
+        ranks = np.where(at[:, : k - 1] >= where[:, None], ranks[:, 1:], ranks[:, :-1])
+        for cells, fits in ((where - 1, where > 0), (where, where < lengths - 1)):
+            r, c = n[fits], cells[fits]
+            ranks[r, c] = self.pairs.find(ids[r, c], ids[r, c + 1])
+        return ids, ranks, lengths
+
     def ranks_of(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         found = self.pairs.find(ids[:, :-1], ids[:, 1:])
         found[np.arange(found.shape[1]) >= lengths[:, None] - 1] = NONE
@@ -143,8 +158,8 @@ class Codec:
         """Rows and columns of the pairs that are merged in one round, by row and from left to right."""
         r, c = np.nonzero(ranks == best[:, None])
         first = np.append(True, r[1:] != r[:-1])
-        if first.all():
-            return r, c
+        if 2 * len(r) < 3 * len(ids):  # few rows have further places: one merge in each row is the cheaper round
+            return r[first], c[first]
         # of places that overlap, every other one counts from the left
         joined = ~first & (c == np.append(-2, c[:-1]) + 1)
         run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(r))))
