@@ -158,6 +158,30 @@ def image_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.quality_warnings(sized(spark, sf_dir)).select("doc_id", F.array_join("warnings", ",").alias("warnings"), "status")
 
 
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A white page of 60 by 40 pixels for each supplier, with a black box whose place and size follow from the key."""
+    k = F.col("s_suppkey")
+    left, top, w, h = 5 + k % 9, 6 + k % 5, 12 + k % 23, 10 + k % 13
+    white, black = (lambda n: F.repeat(F.lit("FF"), n.cast("int"))), (lambda n: F.repeat(F.lit("00"), n.cast("int")))
+    row = F.concat(white(left), black(w), white(60 - left - w))
+    pixels = F.unhex(F.concat(white(60 * top), F.repeat(row, h.cast("int")), white(60 * (40 - top - h))))
+    return table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(40).alias("height"), F.lit(60).alias("width"), pixels.alias("pixels"))
+
+
+def page_image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is measured from pixels: dark pixels by density, by content box and by brightness, the skew and the warnings that follow."""
+    d = images.quality_warnings(images.image_measures(drawn_pages(spark, sf_dir), ["doc_id", "page"]))
+    dark = (("density_pixels", F.col("text_density") * 2400), ("content_pixels", F.col("content_area_ratio") * 2400), ("brightness_pixels", (255 - F.col("brightness")) * 2400 / 255))
+    return d.select("doc_id", *(F.round(x).cast("long").alias(n) for n, x in dark), F.round(F.col("skew_angle") * 100).cast("long").alias("skew_hundredths"), "orientation", F.array_contains("warnings", "document_content_is_small").alias("small"))
+
+
+def prepared_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages after straightening, trimming, scaling and borders, in each mode."""
+    d = images.prepare_pages(drawn_pages(spark, sf_dir), ["doc_id", "page"])
+    corner = F.hex(F.substring("pixels", 1, 1)) == "FF"
+    return d.select("doc_id", "mode", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), (F.octet_length("pixels") == F.col("height") * F.col("width")).alias("whole"), corner.alias("white_corner"))
+
+
 def pipeline_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     pages = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"))
@@ -216,6 +240,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         receipt_validation,
         image_upscale_plan,
         image_quality_flags,
+        page_image_measures,
+        prepared_page_sizes,
         pipeline_view,
         page_postprocess,
         page_quality_score,
@@ -316,5 +342,15 @@ WITH s AS (SELECT o_orderkey AS k FROM orders),
 w AS (SELECT k, array_to_string(list_filter([CASE WHEN k % 160 < 80 THEN 'image_is_blurry' END, CASE WHEN k * 3 % 256 < 70 THEN 'image_is_dark' END, CASE WHEN k * 3 % 256 > 235 THEN 'image_is_too_light' END, CASE WHEN k % 64 = 0 THEN 'low_text_density' END, CASE WHEN k % 64 > 35 THEN 'high_foreground_density' END,
   CASE WHEN k % 9 <> 0 AND k % 32 < 7 THEN 'document_content_is_small' END, CASE WHEN abs(k % 13 - 6) > 3 THEN 'receipt_may_be_skewed' END], lambda x: x IS NOT NULL), ',') AS warnings FROM s)
 SELECT k AS doc_id, warnings, CASE WHEN warnings = '' THEN 'ok' ELSE 'low_quality' END AS status FROM w""",
+    "page_image_measures": """
+WITH b AS (SELECT s_suppkey AS k, (12 + s_suppkey % 23) * (10 + s_suppkey % 13) AS n FROM supplier)
+SELECT k AS doc_id, n AS density_pixels, n AS content_pixels, n AS brightness_pixels, CAST(0 AS BIGINT) AS skew_hundredths, 'landscape' AS orientation, n < 480 AS small FROM b""",
+    "prepared_page_sizes": """
+-- a trimmed page keeps 12 pixels around its content where the page has them
+WITH b AS (SELECT s_suppkey AS k, 5 + s_suppkey % 9 AS l, 6 + s_suppkey % 5 AS t, 12 + s_suppkey % 23 AS w, 10 + s_suppkey % 13 AS h FROM supplier),
+c AS (SELECT k, w * h AS n, least(60, l + w + 12) - greatest(0, l - 12) AS cw, least(40, t + h + 12) - greatest(0, t - 12) AS ch FROM b),
+m AS (SELECT *, unnest(['basic', 'receipt', 'sorie', 'strong']) AS mode FROM c),
+p AS (SELECT *, mode IN ('receipt', 'sorie') AND (mode = 'sorie' OR n * 100 >= 2400 * 8) AS cut, CASE WHEN mode = 'sorie' THEN 4 ELSE 2 END AS scale, CASE WHEN mode = 'sorie' THEN 48 ELSE 36 END AS border FROM m)
+SELECT k AS doc_id, mode, CAST(CASE WHEN cut THEN ch ELSE 40 END * scale + border AS BIGINT) AS height, CAST(CASE WHEN cut THEN cw ELSE 60 END * scale + border AS BIGINT) AS width, TRUE AS whole, TRUE AS white_corner FROM p""",
     "pipeline_view": "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS has_basic, o_orderkey % 3 = 0 AS has_receipt, FALSE AS has_strong, o_orderkey % 5 = 0 AS has_ocr FROM orders",
 }

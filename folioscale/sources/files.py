@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscale.functions.text import strip_all, use_native_text
+from folioscale.functions.text import C, strip_all, use_native_text
+from folioscale.plans.session import ship, written
 
 OCR_PAGE = "lines array<struct<text:string,text_clean:string,confidence:double,bbox:array<array<double>>,page:int,line_id:string>>"
 TRUTH = "doc_id string, vendor_name string, invoice_number string, invoice_date string, total_amount string"
@@ -20,6 +27,63 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return d.join(first, ["doc_id", "path"], "left_semi").drop("path")
 
 
+def safe_name(name: Column) -> Column:
+    """A file name without folders or leading points, other characters than letters, digits, point, hyphen and underscore as underscores; ``upload`` if nothing is left."""
+    last = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?s)^.*[/\\\\]", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(last, C + r"[^\w.-]", "_"), r"^\.+", ""), F.lit("")), F.lit("upload"))
+
+
+def save_uploads(files: DataFrame, path: str) -> DataFrame:
+    """Save files (``doc_id, name, content``) as ``path/doc_id/name``, where ``uploads`` finds them, under safe names; returns ``doc_id, name, length``.
+
+    ``path`` is a URI that all executors reach. A file appears whole or not at all, so a task may run again. Of files of one document and name the one with the least
+    SHA-256 stays; without content nothing is saved. ``doc_id`` is cleaned like a name.
+    """
+    ship(files.sparkSession)
+    d = files.where("content IS NOT NULL").select(safe_name(F.col("doc_id").cast("string")).alias("doc_id"), safe_name(F.col("name")).alias("name"), "content", F.sha2("content", 256).alias("sha"))
+    first = d.groupBy("doc_id", "name").agg(F.min("sha").alias("sha"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for doc, name, content in zip(*(batch.column(n) for n in ("doc_id", "name", "content"))):
+                folder = f"{base}/{doc.as_py()}"
+                fs.create_dir(folder, recursive=True)
+                part = f"{base}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                fs.move(part, f"{folder}/{name.as_py()}")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array([len(x.as_buffer()) for x in batch.column("content")], pa.int64())], ["doc_id", "name", "length"])
+
+    once = d.join(first, ["doc_id", "name", "sha"], "left_semi").select("doc_id", "name", "content")
+    return written(once.mapInArrow(run, "doc_id string, name string, length long"), "saved").distinct()
+
+
+def decoded_pages(files: DataFrame, make_decoder: Callable[[], Callable[[str, bytes], list[tuple[str | None, np.ndarray | None]]]]) -> DataFrame:
+    """Pages of files (``doc_id, name, content``): ``doc_id, page`` (from 1), ``text`` of a text layer and ``height, width, pixels`` of a grey image, null where a page has none.
+
+    ``make_decoder`` is called once in each Python worker; its function turns a name and bytes into pages. An image file is one page without text. Each page
+    is handed on by itself, so a long file is not held twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = make_decoder()
+        for batch in batches:
+            for i in range(len(batch)):
+                for page, (text, grey) in enumerate(decode(batch.column("name")[i].as_py(), batch.column("content")[i].as_py() or b""), 1):
+                    h, w = (None, None) if grey is None else grey.shape
+                    raw = None if grey is None else np.ascontiguousarray(grey, dtype=np.uint8).tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([page], pa.int32()), pa.array([text], pa.string()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([raw], pa.binary())], ["doc_id", "page", "text", "height", "width", "pixels"])
+
+    kind = files.schema["doc_id"].dataType.simpleString()
+    return files.select("doc_id", "name", "content").mapInArrow(run, f"doc_id {kind}, page int, text string, height int, width int, pixels binary")
+
+
+def with_artifact(pages: DataFrame, artifacts: DataFrame, kind: str) -> DataFrame:
+    """The pages of which an artifact of this kind exists. ``artifacts`` has ``doc_id, page, kind``."""
+    return pages.join(artifacts.where(F.col("kind") == kind), ["doc_id", "page"], "left_semi")
+
+
 def manifest(pages: DataFrame, text_col: str = "text") -> DataFrame:
     """Pages with their ``source``, native or ocr, by the quality of their text layer, and the ``artifact`` that follows from it."""
     source = F.when(use_native_text(F.col(text_col)), "native").otherwise("ocr")

@@ -117,6 +117,49 @@ def test_image_steps():
     assert np.array_equal(images.prepared(page, "sroie"), made["sorie"])
 
 
+def test_skew_and_contrast():
+    lines_ = np.full((300, 400), 245, dtype=np.uint8)
+    for y in range(60, 240, 30):
+        lines_[y : y + 8, 60:340] = 20
+    for lean in (-5.0, -2.0, 1.0, 4.0):
+        leaning = images.turned(lines_, -lean)
+        assert abs(images.skew_angle(leaning) - lean) < 0.35 and abs(images.skew_angle(images.deskewed(leaning))) < 0.35
+    assert images.skew_angle(lines_) == 0.0 and images.deskewed(lines_) is lines_ and np.array_equal(images.turned(lines_, 0.0), lines_)
+    far = images.turned(lines_, -12.0)
+    assert images.deskewed(far) is far and images.skew_angle(np.full((5, 5), 9, np.uint8)) == 0.0
+    one = np.full((20, 20), 255, np.uint8)
+    one[9:11, 4:16] = 0
+    assert images.skew_angle(one) == 0.0
+    one[:, 4:9], one[:, 11:16] = 255, 255
+    assert images.skew_angle(one) == 45.0  # a dot, blurred, is a diamond
+    faint = (np.random.default_rng(1).integers(110, 140, (160, 160))).astype(np.uint8)
+    strong = images.contrast_equalised(faint)
+    assert strong.shape == faint.shape and np.ptp(strong) > 1.5 * np.ptp(faint)
+    # on one flat page every tile maps alike, so it stays flat; brighter stays brighter within a tile's map
+    assert np.ptp(images.contrast_equalised(np.full((33, 57), 90, np.uint8))) == 0 and images.contrast_equalised(np.full((1, 1), 5, np.uint8)).shape == (1, 1)
+    plain = np.tile(np.arange(256, dtype=np.uint8), (64, 1)).repeat(8, axis=0)[:64]
+    assert (np.diff(images.contrast_equalised(plain)[32].astype(int)) >= -1).all()
+
+
+def test_saved_uploads_and_their_pages(spark, tmp_path):
+    d = spark.createDataFrame([("d1", "../../etc/pass wd", b"one"), ("d1", "..\\x\\pass wd", b"two"), ("d2", None, b""), ("d3", "a.pdf", None), ("d4", "scan.png", b"2")], "doc_id string, name string, content binary")
+    saved = files.save_uploads(d, tmp_path.as_uri()).collect()
+    assert sorted((x.doc_id, x.name, x.length) for x in saved) == [("d1", "pass_wd", 3), ("d2", "upload", 0), ("d4", "scan.png", 1)]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["d1/pass_wd", "d2/upload", "d4/scan.png"]
+    back = files.uploads(spark, str(tmp_path))
+
+    def make():
+        import numpy
+
+        return lambda name, content: [("text layer", None)] * 2 if name == "pass_wd" else [(None, numpy.zeros((int(content), 3)))]
+
+    pages = files.decoded_pages(back, make)
+    found = sorted((x.doc_id, x.page, x.text, x.height, x.width, x.pixels) for x in pages.collect())
+    assert found == [("d1", 1, "text layer", None, None, None), ("d1", 2, "text layer", None, None, None), ("d4", 1, None, 2, 3, bytes(6))]
+    there = spark.createDataFrame([("d1", 2, "ocr"), ("d1", 2, "ocr"), ("d4", 1, "basic")], "doc_id string, page int, kind string")
+    assert [(x.doc_id, x.page) for x in files.with_artifact(pages, there, "ocr").collect()] == [("d1", 2)]
+
+
 def test_evaluation_of_no_documents(spark):
     truth = spark.createDataFrame([(None, "V", "N1", "2024-01-01", "10.00")], files.TRUTH)
     found = spark.createDataFrame([], "doc_id string, invoice_number string, invoice_date string, total_amount double, vendor_name string, needs_review boolean, confidence double")
