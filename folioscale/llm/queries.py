@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscale.plans.session import ship, table
 
@@ -78,6 +79,23 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(ship(spark), sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.vector_codes import books_digest, hex_code, product_codes
+
+    coded, books = product_codes(table(ship(spark), sf_dir, "embeddings"))
+    return coded.select("vec_id", hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.chat_format import format_chats, read_loss, read_turns
+
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], chats.schema)
+    out = format_chats(chats.union(marked)).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("segments")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_mixture": op2_language_mixture,
@@ -89,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_search": op8_bm25_search,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_chat_format": op13_chat_format,
 }
 
 
@@ -151,7 +171,52 @@ scores AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0) WHERE r <= 10"""
 
 
+def vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """A round in SQL: all distances of the parts to their codebook, the nearest entry, means rounded down."""
+    nearest = """SELECT vec_id, p, min(e) AS e, min(d) AS d FROM (
+    SELECT vec_id, p, e, d, min(d) OVER (PARTITION BY vec_id, p) AS least FROM (
+      SELECT vec_id, p, e, CAST(list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM cut JOIN {book} USING (p))) WHERE d = least GROUP BY vec_id, p"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"n{k} AS MATERIALIZED ({nearest.format(book=f'b{k}')})")
+        steps.append(f"s{k} AS (SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS c FROM (SELECT p, e, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM cut JOIN n{k} USING (vec_id, p)) GROUP BY p, e, i)")
+        steps.append(f"m{k} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS b FROM s{k} GROUP BY p, e)")
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.b, o.b) AS b FROM b{k} o LEFT JOIN m{k} m USING (p, e))")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(p)),
+b0 AS MATERIALIZED (SELECT p, e, x AS b FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{("," + chr(10)).join(steps)},
+last AS MATERIALIZED ({nearest.format(book=f'b{rounds}')}),
+codes AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN kept USING (vec_id), digest"""
+
+
+def chat_format_sql() -> str:
+    from folioscale.llm.chat_format import BLOCKS, JOINED, NAMED, OTHER, START, _any, _MARKS
+
+    longer = lambda text: f"length(regexp_replace({text}, '({_any(_MARKS)})', '\\\\\\1', 'g'))"
+    opening = " ".join(f"WHEN '{role}' THEN {len(a) + 2}" for role, (a, _) in BLOCKS.items())
+    closing = " ".join(f"WHEN '{role}' THEN {len(b) + 1}" for role, (_, b) in BLOCKS.items())
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+beside AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+sized AS (
+  SELECT *, {longer("text")} + CASE WHEN role IS NOT DISTINCT FROM before THEN {len(JOINED) + 2} ELSE CASE role {opening} ELSE {len(OTHER[0]) + len(NAMED) + 4} + {longer("role")} END END
+    + CASE WHEN role IS NOT DISTINCT FROM after THEN 0 ELSE CASE role {closing} ELSE {len(OTHER[1]) + 1} END END AS n
+  FROM beside)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST({len(START)} + sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
 SQL: dict[str, str] = {
+    "op11_vector_codes": vector_codes_sql(),
+    "op13_chat_format": chat_format_sql(),
     "op8_bm25_search": BM25_SQL,
     "op4_warc_index": WARC_SQL,
     "op6_ngram_jaccard_join": JACCARD_SQL,
