@@ -86,6 +86,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscale.llm.periodic_runs import find_runs, longest, with_planted_runs
+
+    found = find_runs(with_planted_runs(table(ship(spark), sf_dir, "documents").select("doc_id", "text"))).withColumn("best", longest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscale.llm.chat_format import format_chats, read_loss, read_turns
 
@@ -108,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_chat_format": op13_chat_format,
 }
 

@@ -195,7 +195,7 @@ def product_codes(
     start = np.zeros((len(first), dimensions), dtype=np.int64)
     for row, r in zip(start, first):
         row[: len(r.vector)] = np.clip(np.floor(scale * np.array(r.vector, dtype=np.float64)), -limit, limit).astype(np.int64)
-    books = np.ascontiguousarray(start.reshape(len(first), parts, -1).transpose(1, 2, 0))
+    books = np.ascontiguousarray(start.reshape(len(first), parts, dimensions // parts).transpose(1, 2, 0))
     books = train(blocks, books, rounds) if first else books
     coded = with_label_errors(written(encode(blocks, books), "vector-codes"))
     return coded.select(F.col("id").alias(id_col), F.col("label").alias(label_col), "code", "error", "label_error"), books
