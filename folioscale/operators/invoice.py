@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscale.functions import text as t
+from folioscale.functions.once import once
 from folioscale.operators.items import line_items
 
 # Tolerances, the weights of the confidence, and reasons that force a review.
@@ -51,7 +52,7 @@ def buyer(lines: Column) -> Column:
     def of(i: Column) -> Column:
         line = F.get(lines, i)
         rest = t.strip(F.regexp_replace(line, t.I + r".*?(?:bill to|billed to|customer|client|buyer)\s*[:#-]?\s*", ""))
-        return F.when((rest != "") & (F.lower(rest) != F.lower(line)), rest).otherwise(F.get(lines, i + 1))
+        return t.let(rest, lambda r: F.when((r != "") & (F.lower(r) != F.lower(line)), r).otherwise(F.get(lines, i + 1)))
 
     place = F.array_position(F.transform(lines, lambda x: t.has(x, BUYER)), True).cast("int") - 1
     return F.when(place >= 0, t.let(place, of))
@@ -65,43 +66,60 @@ def address(lines: Column, ends: Column) -> Column:
     return F.when(ends.isNotNull(), F.nullif(F.array_join(kept, "\n"), F.lit("")))
 
 
-def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add all invoice fields of a text, unvalidated, plus ``ambiguous_date``. A null text counts as empty. All other columns stay, so they must not have the fields' names."""
-    d = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__lines", t.lines_of(F.col("__text")))
+@once
+def _parts() -> dict[str, Column]:
     x, lines = F.col("__text"), F.col("__lines")
-    d = d.withColumn("__cleaned", F.filter(F.transform(lines, lambda x: t.strip(x)), lambda s: s != "")).withColumn("__day_first", t.is_malaysian(x))
-    d = d.withColumn("__date", t.labelled_date(x, t.DATE_LABELS, F.col("__day_first"))).withColumn("__due", t.labelled_date(x, t.DUE_LABELS, F.col("__day_first"))).withColumn("__vendor", vendor(F.col("__cleaned")))
-    d = d.withColumns(
-        {
-            "document_type": t.document_type(x),
-            "document_title": t.document_title(lines),
-            "vendor_name": F.col("__vendor.name"),
-            "vendor_registration_number": t.registration_number(lines),
-            "vendor_address": address(F.col("__cleaned"), F.col("__vendor.ends")),
-            "vendor_phone": t.phone(lines),
-            "vendor_fax": t.fax(lines),
-            "vendor_email": t.email(x),
-            "gst_id": t.labelled_text(lines, ("GST ID", "GST No", "GSTIN"), 60),
-            "buyer_name": buyer(F.col("__cleaned")),
-            "invoice_number": t.invoice_number(lines),
-            "invoice_date": F.col("__date.value"),
-            "due_date": F.col("__due.value"),
-            **{k: t.labelled_amount(x, v) for k, v in t.AMOUNT_LABELS.items() if k != "change_amount"},
-            "total_amount": t.total_amount(x, lines),
-            "total_quantity": t.total_quantity(x),
-            "__change": t.labelled_amount(x, t.AMOUNT_LABELS["change_amount"]),
-            "currency": t.currency(x),
-            "payment_method": t.payment_method(x),
-            "cashier": t.cashier(lines),
-            "transaction_time": t.transaction_time(x),
-            "salesperson": t.inline_text(lines, "Salesperson", ("Ref", "Time", "Date"), 80),
-            "reference": t.inline_text(lines, "Ref", ("Time", "Date"), 80),
-            "line_items": line_items(lines),
-            "ambiguous_date": F.col("__date.ambiguous") | F.col("__due.ambiguous"),
-        }
-    )
+    return {"__cleaned": F.filter(F.transform(lines, lambda x: t.strip(x)), lambda s: s != ""), "__day_first": t.is_malaysian(x), "__shape": t.shape(x)}
+
+
+@once
+def _dates_and_vendor() -> dict[str, Column]:
+    x, shaped = F.col("__text"), F.col("__shape")
+    return {"__date": t.labelled_date(x, t.DATE_LABELS, F.col("__day_first"), shaped), "__due": t.labelled_date(x, t.DUE_LABELS, F.col("__day_first"), shaped), "__vendor": vendor(F.col("__cleaned"))}
+
+
+@once
+def _fields(items_where: str | None) -> dict[str, Column]:
+    x, lines, shaped = F.col("__text"), F.col("__lines"), F.col("__shape")
+    items = line_items(lines)
+    return {
+        "document_type": t.document_type(x),
+        "document_title": t.document_title(lines),
+        "vendor_name": F.col("__vendor.name"),
+        "vendor_registration_number": t.registration_number(lines),
+        "vendor_address": address(F.col("__cleaned"), F.col("__vendor.ends")),
+        "vendor_phone": t.phone(lines, shaped),
+        "vendor_fax": t.fax(lines, shaped),
+        "vendor_email": t.email(x),
+        "gst_id": t.labelled_text(lines, ("GST ID", "GST No", "GSTIN"), 60, shaped),
+        "buyer_name": buyer(F.col("__cleaned")),
+        "invoice_number": t.invoice_number(lines, shaped),
+        "invoice_date": F.col("__date.value"),
+        "due_date": F.col("__due.value"),
+        **{k: t.labelled_amount(x, v, shaped) for k, v in t.AMOUNT_LABELS.items() if k != "change_amount"},
+        "total_amount": t.total_amount(x, lines, shaped),
+        "total_quantity": t.total_quantity(x),
+        "__change": t.labelled_amount(x, t.AMOUNT_LABELS["change_amount"], shaped),
+        "currency": t.currency(x),
+        "payment_method": t.payment_method(x),
+        "cashier": t.cashier(lines, shaped),
+        "transaction_time": t.transaction_time(x),
+        "salesperson": t.inline_text(lines, "Salesperson", ("Ref", "Time", "Date"), 80, shaped),
+        "reference": t.inline_text(lines, "Ref", ("Time", "Date"), 80, shaped),
+        "line_items": items if items_where is None else F.when(F.col(items_where), items),
+        "ambiguous_date": F.col("__date.ambiguous") | F.col("__due.ambiguous"),
+    }
+
+
+def extract(docs: DataFrame, text_col: str = "text", items_where: str | None = None) -> DataFrame:
+    """Add all invoice fields of a text, unvalidated, plus ``ambiguous_date``. A null text counts as empty. All other columns stay, so they must not have the fields' names.
+
+    With ``items_where``, a column, the items of rows where it isn't true are not read, and null.
+    """
+    d = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__lines", t.lines_of(F.col("__text")))
+    d = d.withColumns(_parts()).withColumns(_dates_and_vendor()).withColumns(_fields(items_where))
     d = d.withColumn("change_amount", F.coalesce("__change", F.round(F.col("cash_received") - F.col("total_amount"), 2)))
-    return d.drop("__text", "__lines", "__cleaned", "__day_first", "__date", "__due", "__vendor", "__change")
+    return d.drop("__text", "__lines", "__cleaned", "__day_first", "__date", "__due", "__vendor", "__change", "__shape")
 
 
 def validate(fields: DataFrame) -> DataFrame:
