@@ -71,9 +71,9 @@ def document_kind(title: Column, invoice_type: Column) -> Column:
     return F.when(F.contains(low, F.lit("cash sales")), "cash_sales").when(F.contains(low, F.lit("cash bill")), "cash_bill").when(F.contains(low, F.lit("receipt")), "receipt").when(F.contains(low, F.lit("invoice")), "invoice").otherwise("unknown")
 
 
-def receipts(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines", fixed_amounts: bool = False) -> DataFrame:
-    """The receipt record of documents given as lines (``text, line_id, confidence``), one row each. ``fixed_amounts`` is as in ``receipt_items``."""
-    d = docs.select(F.col(id_col), F.col(lines_col).alias("__l")).withColumn("__t", F.array_join(F.transform("__l", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"))
+def receipts(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines", fixed_amounts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The receipt record of documents given as lines (``text, line_id, confidence``), one row each, after the columns to ``keep``. ``fixed_amounts`` is as in ``receipt_items``."""
+    d = docs.select(F.col(id_col), *keep, F.col(lines_col).alias("__l")).withColumn("__t", F.array_join(F.transform("__l", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"))
     d = validate(extract(d, "__t"))
     lines, c = F.col("__l"), F.col
     own = receipt_items(lines, fixed_amounts)
@@ -85,6 +85,7 @@ def receipts(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines",
     note = F.nullif(F.array_join(F.filter(F.transform(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), 8), lambda x: t.strip_all(x["text"])), lambda x: t.has(x, "thank|goods sold|return|exchange|note")), " "), F.lit(""))
     return d.select(
         id_col,
+        *keep,
         c("vendor_name").alias("merchant_name"),
         c("vendor_address").alias("merchant_address"),
         c("vendor_phone").alias("phone"),

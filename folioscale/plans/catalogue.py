@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions import text as t
 from folioscale.operators import evaluation, images, layout, lines, receipt
 from folioscale.operators.invoice import invoices
-from folioscale.plans import synth
-from folioscale.plans.session import table
+from folioscale.plans import documents, synth
+from folioscale.plans.session import ship, table
 from folioscale.sources import files
 
 
@@ -165,7 +166,9 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     white, black = (lambda n: F.repeat(F.lit("FF"), n.cast("int"))), (lambda n: F.repeat(F.lit("00"), n.cast("int")))
     row = F.concat(white(left), black(w), white(60 - left - w))
     pixels = F.unhex(F.concat(white(60 * top), F.repeat(row, h.cast("int")), white(60 * (40 - top - h))))
-    return table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(40).alias("height"), F.lit(60).alias("width"), pixels.alias("pixels"))
+    pages = table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(40).alias("height"), F.lit(60).alias("width"), pixels.alias("pixels"))
+    # few bytes, but much work
+    return pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def page_image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +185,43 @@ def prepared_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "mode", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), (F.octet_length("pixels") == F.col("height") * F.col("width")).alias("whole"), corner.alias("white_corner"))
 
 
+def box_reader() -> Callable[[np.ndarray], list[tuple[str, float, list[list[float]]]]]:
+    """Stands for an engine: reads the black box of a drawn page as a receipt of as many pieces as it is high, at the price of its width.
+
+    It is unsure of boxes whose width is a multiple of three, but in black and white; it finds nothing on trimmed pages, and fails on boxes 13 high.
+    """
+
+    def read(page: np.ndarray) -> list[tuple[str, float, list[list[float]]]]:
+        if page.shape != (116, 156):
+            return []
+        dark = page < 128
+        w, h = int(dark.any(axis=0).sum()) // 2, int(dark.any(axis=1).sum()) // 2
+        if h == 13:
+            raise ValueError("unreadable")
+        sure = w % 3 != 0 or set(np.unique(page)) <= {0, 255}
+        rows = ["ACME MART SDN BHD", f"Doc No: CS{100 * w + h}", "Date: 15/01/2024", "CODE/DESC QTY PRICE AMOUNT", f"100123 {h} {w}.00 {w * h}.00", "blue pens", f"Total Sales RM {w * h}.00", f"Cash {w * h + 10}.00", "Change 10.00"]
+        box = lambda y: [[10.0, y], [300.0, y], [300.0, y + 20], [10.0, y + 20]]
+        return [(x, 0.97 if sure else 0.5, box(60.0 * i)) for i, x in enumerate(rows)]
+
+    return read
+
+
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of documents: drawn pages are recognised in two stages, some have a page of text besides; records and failed readings of each document."""
+    scans = drawn_pages(ship(spark), sf_dir)
+    k = F.col("doc_id")
+    terms = F.concat(F.lit("Goods stay property of our house until they are paid for in full, see file "), k.cast("string"))
+    pages = scans.select(k, F.explode(F.array(F.struct(F.lit(1).alias("page"), F.lit("").alias("text")), F.struct(F.lit(2).alias("page"), F.when(k % 4 == 0, terms).alias("text")))).alias("p")).select("doc_id", "p.*").where("text IS NOT NULL")
+    found, failed = documents.document_records(pages, scans, box_reader)
+    errors = failed.where("error = 'ValueError: unreadable'").groupBy("doc_id").agg(F.count("*").alias("failed_readings"))
+    r, c = F.col("receipt"), F.col
+    d = found.join(errors, "doc_id", "left")
+    return d.select(
+        "doc_id", F.size("pages").cast("long").alias("n_pages"), F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["source"], p["mode"])), ",").alias("sources"), F.right("full_text", F.lit(8)).alias("text_end"), r["document_number"].alias("document_number"), r["date"].alias("date"), c("invoice.invoice_number").alias("invoice_number"), cents(r["total"]).alias("total_cents"), F.size(r["line_items"]).cast("long").alias("n_items"),
+        F.array_join(r["warnings"], ",").alias("warnings"), r["is_valid"].alias("is_valid"), F.coalesce(F.size(c("layout")["items_table"]), F.lit(0)).cast("long").alias("n_table_lines"), c("quality.page_count").alias("quality_pages"), F.coalesce("failed_readings", F.lit(0)).cast("long").alias("failed_readings"),
+    )
+
+
 def pipeline_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     pages = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"))
@@ -242,6 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         image_quality_flags,
         page_image_measures,
         prepared_page_sizes,
+        document_records,
         pipeline_view,
         page_postprocess,
         page_quality_score,
@@ -352,5 +393,14 @@ c AS (SELECT k, w * h AS n, least(60, l + w + 12) - greatest(0, l - 12) AS cw, l
 m AS (SELECT *, unnest(['basic', 'receipt', 'sorie', 'strong']) AS mode FROM c),
 p AS (SELECT *, mode IN ('receipt', 'sorie') AND (mode = 'sorie' OR n * 100 >= 2400 * 8) AS cut, CASE WHEN mode = 'sorie' THEN 4 ELSE 2 END AS scale, CASE WHEN mode = 'sorie' THEN 48 ELSE 36 END AS border FROM m)
 SELECT k AS doc_id, mode, CAST(CASE WHEN cut THEN ch ELSE 40 END * scale + border AS BIGINT) AS height, CAST(CASE WHEN cut THEN cw ELSE 60 END * scale + border AS BIGINT) AS width, TRUE AS whole, TRUE AS white_corner FROM p""",
+    "document_records": """
+-- boxes 13 high fail wherever the page isn't trimmed: in basic, in strong, and in receipt where the box covers under 8 % of the page
+WITH b AS (SELECT s_suppkey AS k, 12 + s_suppkey % 23 AS w, 10 + s_suppkey % 13 AS h, s_suppkey % 4 = 0 AS more FROM supplier),
+r AS (SELECT *, h = 13 AS bad, w % 3 = 0 AS weak FROM b),
+t AS (SELECT *, CASE WHEN more THEN 'see file ' || k WHEN bad THEN '' ELSE 'Change 10.00' END AS ending FROM r)
+SELECT k AS doc_id, CAST(1 + CAST(more AS INTEGER) AS BIGINT) AS n_pages, 'ocr:' || CASE WHEN weak AND NOT bad THEN 'strong' ELSE 'basic' END || CASE WHEN more THEN ',native' ELSE '' END AS sources, right(ending, 8) AS text_end,
+  CASE WHEN NOT bad THEN 'CS' || (100 * w + h) END AS document_number, CASE WHEN NOT bad THEN '2024-01-15' END AS date, CASE WHEN NOT bad THEN 'CS' || (100 * w + h) END AS invoice_number, CASE WHEN NOT bad THEN w * h * 100 END AS total_cents, CAST(NOT bad AS BIGINT) AS n_items,
+  CASE WHEN bad THEN 'document_number_missing,' || CASE WHEN more THEN '' ELSE 'merchant_missing,' END || 'date_missing,total_missing' ELSE '' END AS warnings, NOT bad AS is_valid, CAST(CASE WHEN bad THEN CAST(more AS INTEGER) ELSE 3 END AS BIGINT) AS n_table_lines, CAST(1 AS BIGINT) AS quality_pages,
+  CAST(CASE WHEN bad THEN 2 + CAST(w * h * 100 < 2400 * 8 AS INTEGER) ELSE 0 END AS BIGINT) AS failed_readings FROM t""",
     "pipeline_view": "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS has_basic, o_orderkey % 3 = 0 AS has_receipt, FALSE AS has_strong, o_orderkey % 5 = 0 AS has_ocr FROM orders",
 }

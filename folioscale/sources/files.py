@@ -12,21 +12,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions.text import C, strip_all, use_native_text
+from folioscale.operators.images import Restarted
 from folioscale.plans.session import ship, written
 
 OCR_PAGE = "lines array<struct<text:string,text_clean:string,confidence:double,bbox:array<array<double>>,page:int,line_id:string>>"
 TRUTH = "doc_id string, vendor_name string, invoice_number string, invoice_date string, total_amount string"
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files that aren't empty: ``doc_id`` (their folder's name), ``name``, ``content``. Of several in a folder the first by name counts."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+#: The columns of a scan of whole files.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def named_files(d: DataFrame) -> DataFrame:
+    """Files of a scan of whole files that aren't empty: ``doc_id`` (their folder's name), ``name``, ``content``. Of several in a folder the first by name counts."""
     parts = F.split("path", "/")
-    d = d.select(F.try_element_at(parts, F.lit(-2)).alias("doc_id"), F.try_element_at(parts, F.lit(-1)).alias("name"), "path", "content")
+    d = d.where("length > 0").select(F.try_element_at(parts, F.lit(-2)).alias("doc_id"), F.try_element_at(parts, F.lit(-1)).alias("name"), "path", "content")
     first = d.groupBy("doc_id").agg(F.min("path").alias("path"))
     return d.join(first, ["doc_id", "path"], "left_semi").drop("path")
 
 
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Uploaded files under a folder, as ``named_files`` has them."""
+    return named_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Page files ``.../doc_id/kind/page_0001.*``: ``doc_id, page, kind, length``. Files are listed, and their content isn't read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "page_*").load(path).select("path", "length")
+    part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)/page_(\d+)\.[^/]*$", k)
+    return d.select(part(1).alias("doc_id"), part(3).try_cast("int").alias("page"), part(2).alias("kind"), "length").where("page IS NOT NULL")
+
+
 def safe_name(name: Column) -> Column:
     """A file name without folders or leading points, other characters than letters, digits, point, hyphen and underscore as underscores; ``upload`` if nothing is left."""
     last = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?s)^.*[/\\\\]", "")
@@ -59,24 +75,39 @@ def save_uploads(files: DataFrame, path: str) -> DataFrame:
     return written(once.mapInArrow(run, "doc_id string, name string, length long"), "saved").distinct()
 
 
-def decoded_pages(files: DataFrame, make_decoder: Callable[[], Callable[[str, bytes], list[tuple[str | None, np.ndarray | None]]]]) -> DataFrame:
-    """Pages of files (``doc_id, name, content``): ``doc_id, page`` (from 1), ``text`` of a text layer and ``height, width, pixels`` of a grey image, null where a page has none.
+Decoder = Callable[[], Callable[[str, bytes], list[tuple[str | None, np.ndarray | None]]]]
+
 
-    ``make_decoder`` is called once in each Python worker; its function turns a name and bytes into pages. An image file is one page without text. Each page
-    is handed on by itself, so a long file is not held twice.
+def decoded(files: DataFrame, make_decoder: Decoder) -> DataFrame:
+    """Pages of files (``doc_id, name, content``): ``doc_id, page`` (from 1), ``text`` of a text layer and ``height, width, pixels`` of a grey image, null where a page has none, and ``error``.
+
+    ``make_decoder`` is called once in each Python worker, and once more after an error; its function turns a name and bytes into pages. An image file is one page without
+    text. Each page is handed on by itself, so a long file is not held twice. A file that fails twice is one row with ``error`` and no page; others don't notice.
     """
+    ship(files.sparkSession)
+    names = ["doc_id", "page", "text", "height", "width", "pixels", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = make_decoder()
+        def checked(make: Callable[[], Callable]) -> Callable:
+            decode = make()
+            return lambda name, content: [(text, None if grey is None else np.ascontiguousarray(grey, dtype=np.uint8).reshape(len(grey), -1)) for text, grey in decode(name, content)]
+
+        decode = Restarted(lambda: checked(make_decoder))
         for batch in batches:
             for i in range(len(batch)):
-                for page, (text, grey) in enumerate(decode(batch.column("name")[i].as_py(), batch.column("content")[i].as_py() or b""), 1):
+                pages, error = decode(batch.column("name")[i].as_py(), batch.column("content")[i].as_py() or b"")
+                for page, (text, grey) in enumerate([(None, None)] if error else pages, 1):
                     h, w = (None, None) if grey is None else grey.shape
-                    raw = None if grey is None else np.ascontiguousarray(grey, dtype=np.uint8).tobytes()
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([page], pa.int32()), pa.array([text], pa.string()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([raw], pa.binary())], ["doc_id", "page", "text", "height", "width", "pixels"])
+                    raw = None if grey is None else grey.tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([None if error else page], pa.int32()), pa.array([text], pa.string()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([raw], pa.binary()), pa.array([error], pa.string())], names)
 
     kind = files.schema["doc_id"].dataType.simpleString()
-    return files.select("doc_id", "name", "content").mapInArrow(run, f"doc_id {kind}, page int, text string, height int, width int, pixels binary")
+    return files.select("doc_id", "name", "content").mapInArrow(run, f"doc_id {kind}, page int, text string, height int, width int, pixels binary, error string")
+
+
+def decoded_pages(files: DataFrame, make_decoder: Decoder) -> DataFrame:
+    """As ``decoded``, without files that failed."""
+    return decoded(files, make_decoder).where("error IS NULL").drop("error")
 
 
 def with_artifact(pages: DataFrame, artifacts: DataFrame, kind: str) -> DataFrame:
