@@ -12,6 +12,8 @@ from folioscale.operators.items import line_items
 # Tolerances, the weights of the confidence, and reasons that force a review.
 MONEY_TOLERANCE, SUM_TOLERANCE, REVIEW_BELOW = 0.02, 0.05, 0.75
 BLOCKING = ("missing_invoice_number", "missing_invoice_date", "missing_total_amount", "ambiguous_date_format", "total_mismatch", "line_items_subtotal_mismatch", "line_items_total_mismatch", "line_items_quantity_mismatch", "cash_change_mismatch")
+# our own: a date that can't be, such as 31/02/2024, stays text and forces a review
+INVALID_DATE = "invalid_date"
 BUYER = r"\b(?:bill to|billed to|customer|client|buyer)\b"
 ADDRESS_END = r"invoice|doc(?:ument)?\s*no|documentno|bill to|date|total|subtotal|cash\s+(?:sales|bill)|tel|fax|gst\s*id|@"
 ADDRESS = r"\d|street|st\.?|road|rd\.?|ave|avenue|city|egypt|usa|zip|jalan|taman|johor|bahru"
@@ -144,9 +146,11 @@ def validate(fields: DataFrame) -> DataFrame:
     points = sum((F.when(test, n).otherwise(0) for test, n in weights), F.lit(0))
     d = d.withColumn("confidence", F.least(F.lit(1.0), points / 100))
     missing = {"missing_invoice_number": ~given("invoice_number"), "missing_invoice_date": ~given("invoice_date"), "missing_total_amount": c("total_amount").isNull(), "currency_not_detected": c("currency") == "unknown", "low_ocr_confidence": c("confidence") < REVIEW_BELOW, "ambiguous_date_format": F.coalesce(c("ambiguous_date"), F.lit(False))}
+    impossible = lambda n: c(n).isNotNull() & c(n).try_cast("date").isNull()
+    missing[INVALID_DATE] = ~missing["ambiguous_date_format"] & (impossible("invoice_date") | impossible("due_date"))
     reasons = F.array_sort(F.array_distinct(F.concat("__failed", F.array_compact(F.array(*(F.when(v, k) for k, v in missing.items()))))))
     d = d.withColumn("review_reasons", reasons)
-    blocking = F.array(*(F.lit(x) for x in BLOCKING))
+    blocking = F.array(*(F.lit(x) for x in (*BLOCKING, INVALID_DATE)))
     return d.withColumn("needs_review", (c("confidence") < REVIEW_BELOW) | F.arrays_overlap("review_reasons", blocking)).drop("__amounts", "__quantities", "__failed", "ambiguous_date")
 
 

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscale.operators import images
+from folioscale.operators.invoice import invoices
+from folioscale.plans.settings import Settings
 from folioscale.sources import files, record_files, records
 from folioscale.streaming import landing
 
@@ -114,11 +116,11 @@ def test_landing_stream_that_is_cut_off(spark, tmp_path, monkeypatch):
         put(doc, name, content)
     real, calls = landing.write_records, []
 
-    def cut_off(d, path, number):
+    def cut_off(d, path, number, buckets):
         calls.append(path)
         if path.endswith("/layout") and len([c for c in calls if c.endswith("/layout")]) == 1:
             raise RuntimeError("lost")
-        real(d, path, number)
+        real(d, path, number, buckets)
 
     monkeypatch.setattr(landing, "write_records", cut_off)
     monkeypatch.setattr(images, "denoised", lambda grey, strength: grey)
@@ -192,3 +194,26 @@ def test_artifacts_are_listed_only(spark, tmp_path):
     view = {(r.doc_id, r.page): (r.has_basic, r.has_strong, r.has_ocr) for r in files.pipeline_view(pages, there).collect()}
     assert view == {("d1", 1): (True, False, True), ("d1", 2): (False, False, True), ("d2", 1): (False, True, False), ("d3", 1): (False, False, False)}
     assert [(r.doc_id, r.page) for r in files.with_artifact(pages, there, "strong").collect()] == [("d2", 1)]
+
+
+def test_settings_of_a_session(spark):
+    assert Settings.of(spark) == Settings()
+    spark.conf.set("folioscale.retry_below", "0.8"), spark.conf.set("folioscale.buckets", "8")
+    try:
+        assert Settings.of(spark) == Settings(retry_below=0.8, buckets=8)
+        spark.conf.set("folioscale.buckets", "many")
+        with pytest.raises(ValueError, match="folioscale.buckets"):
+            Settings.of(spark)
+        spark.conf.set("folioscale.buckets", "0")
+        with pytest.raises(ValueError, match="folioscale.buckets"):
+            Settings.of(spark)
+    finally:
+        spark.conf.unset("folioscale.retry_below"), spark.conf.unset("folioscale.buckets")
+
+
+def test_impossible_dates_force_a_review(spark):
+    text = "ACME Trading LLC\nInvoice No: INV-9\nInvoice Date: {}\nTotal Amount: USD 100.00\nDescription Qty Unit Price Amount\nConsulting 2 50.00 100.00\n"
+    d = spark.createDataFrame([(x, text.format(x)) for x in ("2024-02-31", "31/02/2024", "February 31, 2024", "2024-02-29", "03/04/2024")], "d string, text string")
+    got = {r.d: (r.invoice_date, r.review_reasons, r.needs_review) for r in invoices(d).collect()}
+    assert all(got[x] == (x, ["invalid_date"], True) for x in ("2024-02-31", "31/02/2024", "February 31, 2024"))
+    assert got["2024-02-29"] == ("2024-02-29", [], False) and got["03/04/2024"] == ("03/04/2024", ["ambiguous_date_format"], True)
