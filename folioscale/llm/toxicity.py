@@ -1,13 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over a word input and a character input, trained in numpy.
 
 A text is read as overlapping windows of words, all of which are scored; its score is that of its worst window. The labels are of
-documents, so training picks windows by itself: first by the log-odds of their words, then by the network of the epoch before. The log-odds
-come from whole texts and are counted on Spark; of each text of the sample, of any length, the driver gets a bounded number of windows.
+documents, so training picks windows by itself, in rounds: first by the log-odds of their words, then by the network of the round before. The texts of the
+sample stay on the executors, which score all their windows in every round; the driver gets the at most five windows of each text that the round trains on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,8 @@ from folioscale.plans.session import written
 
 #: The training sample: label rows of each class at most.
 SAMPLE_PER_CLASS = 2_000
-#: Of each text of the sample: windows with the highest log-odds, further ones spread over the text, and bytes of a word, at most.
-KEPT_WORST, KEPT_SPREAD, WORD_BYTES = 24, 8, 64
-#: Word parts with log-odds above 0, at most, the highest first.
-PARTS = 200_000
+#: Log-odds are kept for 2^ODDS_BITS hashes of word parts; parts that share a hash are counted together.
+ODDS_BITS = 22
 #: Words of a window, and from one window's start to the next: neighbours share WINDOW - STEP words.
 WINDOW, STEP = 32, 24
 WORD_ROWS, GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 13, 8, 8, 4
@@ -35,8 +33,8 @@ PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 200_000
 #: Windows that the network reads at once.
 AT_ONCE = 2_048
-#: Epochs, or more until LEAST_STEPS batches were seen.
-EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 8, 500, 128, 0.01, 0.03
+#: Rounds of picking windows; each passes over them as often as it takes to come to LEAST_STEPS batches in all.
+ROUNDS, LEAST_STEPS, BATCH, RATE, DECAY = 8, 500, 128, 0.01, 0.03
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
@@ -235,95 +233,113 @@ class Reader:
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
-def parts_of(word: bytes) -> list[bytes]:
-    return [word, *(word[:k] + b"*" for k in PREFIXES if k < len(word))]
+def part_slots(word: bytes) -> list[int]:
+    """The hashes of a word and of its beginnings."""
+    return [xxhash.xxh3_64_intdigest(x) >> (64 - ODDS_BITS) for x in (word, *(word[:k] + b"*" for k in PREFIXES if k < len(word)))]
 
 
-def count_parts(texts: Iterable[list[bytes]], y: Iterable[float]) -> dict[bytes, list[int]]:
-    """In how many other and toxic texts each word, and each beginning of a word, occurs."""
-    counts: dict[bytes, list[int]] = {}
+def count_parts(texts: Iterable[list[bytes]], y: Iterable[float]) -> dict[int, list[int]]:
+    """In how many other and toxic texts each hash of a word, or of a beginning of a word, occurs."""
+    counts: dict[int, list[int]] = {}
     for words, label in zip(texts, y):
-        for part in {x for w in set(words) for x in parts_of(w)}:
-            counts.setdefault(part, [0, 0])[int(label)] += 1
+        for slot in {x for w in set(words) for x in part_slots(w)}:
+            counts.setdefault(slot, [0, 0])[int(label)] += 1
     return counts
 
 
-def odds_of(counts: Iterable[tuple[bytes, int, int]], n_other: int, n_toxic: int) -> dict[bytes, float]:
-    """Log-odds, where positive, of parts ``(part, other texts, toxic texts)``: by the share of texts of either label in which they occur."""
-    odds = ((x, float(np.log((k + 0.1) / (n_toxic + 2)) - np.log((other + 0.5) / (n_other + 2)))) for x, other, k in counts if k >= 3)
-    return dict(sorted(((x, o) for x, o in odds if o > 0), key=lambda z: (-z[1], z[0]))[:PARTS])
+def odds_of(counts: Iterable[tuple[int, int, int]], n_other: int, n_toxic: int) -> np.ndarray:
+    """Log-odds, where positive, of all hashes from ``(hash, other texts, toxic texts)``: by the share of texts of either label in which they occur."""
+    out = np.zeros(1 << ODDS_BITS, dtype=np.float32)
+    for slot, other, toxic in counts:
+        if toxic >= 3:
+            out[slot] = max(0.0, np.log((toxic + 0.1) / (n_toxic + 2)) - np.log((other + 0.5) / (n_other + 2)))
+    return out
 
 
-def kept_windows(words: list[bytes], odds: dict[bytes, float]) -> tuple[list[list[bytes]], list[float]]:
-    """The windows of a text that training can learn from, in their order, and the sums of their words' log-odds."""
-    of = {w: max(odds.get(x, 0.0) for x in parts_of(w)) for w in set(words)}
+def scores_by_odds(words: list[bytes], odds: np.ndarray) -> np.ndarray:
+    """Of each window of a text, the sum of its words' log-odds."""
+    of = {w: float(odds[part_slots(w)].max()) for w in set(words)}
     total = np.concatenate([[0], np.cumsum([of[w] for w in words])])
     s = window_starts(len(words))
-    scores = total[np.minimum(s + WINDOW, len(words))] - total[s]
-    spread = np.linspace(0, len(s) - 1, min(len(s), KEPT_SPREAD)).astype(int)
-    keep = np.union1d(np.argsort(-scores, kind="stable")[:KEPT_WORST], spread)
-    return [[w[:WORD_BYTES] for w in words[s[k] : s[k] + WINDOW]] for k in keep], scores[keep].tolist()
-
-
-def chosen_windows(scores: list[np.ndarray], y: np.ndarray, r: np.random.Generator) -> list[tuple[int, int]]:
-    """(text, window): of a toxic text its two worst windows if the second comes near the first, of another its four worst and one at random."""
-    out = []
-    for i, s in enumerate(scores):
-        worst = np.argsort(-s, kind="stable")
-        near = 4 if not y[i] else 2 if (len(worst) > 1 and s[worst[1]] >= 0.6 * s[worst[0]] > 0) else 1
-        out += [(i, int(k)) for k in worst[:near]]
-        if not y[i]:
-            out.append((i, int(r.integers(len(s)))))
-    return out
+    return total[np.minimum(s + WINDOW, len(words))] - total[s]
+
+
+def scores_by_network(texts: list[list[bytes]], reader: Reader, most: int = 100_000) -> Iterator[np.ndarray]:
+    """Of each text the logits of all its windows; about ``most`` words are read at once."""
+    waiting, size = [], 0
+    for i, words in enumerate(texts):
+        waiting.append(words)
+        size += len(words)
+        if size >= most or i == len(texts) - 1:
+            logits, begins = reader.window_logits(waiting)
+            yield from np.split(logits, begins[1:])
+            waiting, size = [], 0
+
+
+def chosen_windows(s: np.ndarray, toxic: bool, r: np.random.Generator) -> list[int]:
+    """Windows of a text to train on: of a toxic one its two worst if the second comes near the first, of another its four worst and one at random."""
+    worst = np.argsort(-s, kind="stable")
+    if toxic:
+        return worst[: 2 if len(worst) > 1 and s[worst[1]] >= 0.6 * s[worst[0]] > 0 else 1].tolist()
+    return [*worst[:4].tolist(), int(r.integers(len(s)))]
+
+
+def picked_windows(texts: list[bytes], y: list[int], odds: np.ndarray, network: Network | None, number: int) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """For each text, as UTF-8, its hash and the windows to train on in a round, by a network or, where there is none yet, by log-odds. Equal texts pick alike."""
+    words = [words_of(t.decode()) for t in texts]
+    scores = scores_by_network(words, Reader(network)) if network else (scores_by_odds(w, odds) for w in words)
+    for raw, ws, s, label in zip(texts, words, scores, y):
+        own, starts = xxhash.xxh3_64_intdigest(raw), window_starts(len(ws))
+        yield own, [ws[starts[k] : starts[k] + WINDOW] for k in chosen_windows(s, bool(label), np.random.default_rng((number, own)))]
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+#: Gives the windows of a round and their labels, by log-odds where there is no network yet.
+Pick = Callable[[int, "Network | None"], list[tuple[list[bytes], int]]]
+
+
+def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Network:
     """Train on texts and their labels, all in one process: what ``fit`` does on Spark."""
-    words = [words_of(t) for t in texts]
-    odds = odds_of(((x, *n) for x, n in count_parts(words, y).items()), int(len(y) - y.sum()), int(y.sum()))
-    return train_windows([kept_windows(w, odds) for w in words], y, epochs, seed)
+    words, n_toxic = [words_of(t) for t in texts], int(np.sum(y))
+    odds = odds_of(((x, *n) for x, n in count_parts(words, y).items()), len(y) - n_toxic, n_toxic)
+
+    def pick(number: int, network: Network | None) -> list[tuple[list[bytes], int]]:
+        found = picked_windows([(t or "").encode() for t in texts], list(y), odds, network, number)
+        return [(w, int(label)) for (_, windows), label in sorted(zip(found, y), key=lambda x: (x[0][0], x[1])) for w in windows]
+
+    return train_rounds(pick, len(y) - n_toxic, n_toxic, rounds, seed)
 
 
-def train_windows(texts: list[tuple[list[list[bytes]], list[float]]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Train on the windows of texts with their first scores, and the texts' labels. Without examples of both classes the network answers the smoothed share of label 1."""
+def train_rounds(pick: Pick, n_other: int, n_toxic: int, rounds: int = ROUNDS, seed: int = 7) -> Network:
+    """Train on the windows that each round picks. Without examples of both classes the network answers the smoothed share of label 1."""
     network = Network.fresh(seed)
-    if not 0 < y.sum() < len(y):
+    if not (n_other and n_toxic):
         network.p["o"][:] = 0
-        network.p["c"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else -4
+        network.p["c"][:] = np.log((n_toxic + 1) / (n_other + 1)) if n_other + n_toxic else -4
         return network
     r = np.random.default_rng(seed)
-    shared: dict[bytes, bytes] = {}  # one object for each distinct word
-    windows = [[[shared.setdefault(w, w) for w in x] for x in kept] for kept, _ in texts]
-    scores = [np.array(s) for _, s in texts]
-    all_windows, ends = [x for kept in windows for x in kept], np.cumsum([len(kept) for kept in windows])
     network.p["c"][:] = -1
     m = {k: np.zeros_like(v) for k, v in network.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in network.p.items()}
     step = 0
-    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(chosen_windows(scores, y, np.random.default_rng(seed)))))
-    for epoch in range(epochs):
-        if epoch >= max(3, epochs // 3):
-            reader = Reader(network)
-            logits = np.concatenate([reader.window_logits(all_windows[i : i + 4 * AT_ONCE])[0] for i in range(0, len(all_windows), 4 * AT_ONCE)])
-            scores = np.split(logits, ends[:-1])
-        picks = chosen_windows(scores, y, r)
-        order = r.permutation(len(picks))
-        for i in range(0, len(order), BATCH):
+    for number in range(rounds):
+        picks = pick(number, network if number >= max(3, rounds // 3) else None)
+        passes = max(1, -(-LEAST_STEPS // (rounds * -(-len(picks) // BATCH))))
+        for i, order in ((i, order) for order in (r.permutation(len(picks)) for _ in range(passes)) for i in range(0, len(picks), BATCH)):
             batch = [picks[k] for k in order[i : i + BATCH]]
-            parts = [windows[t][k] for t, k in batch] + [[]]  # and an empty window, which is not toxic
-            labels = np.array([float(y[t]) for t, _ in batch] + [0.0], dtype=np.float32)
+            parts = [words for words, _ in batch] + [[]]  # and an empty window, which is not toxic
+            labels = np.array([float(y) for _, y in batch] + [0.0], dtype=np.float32)
             distinct = sorted(set().union(*parts)) or [b"-"]
-            number = {w: n for n, w in enumerate(distinct)}
+            at = {w: n for n, w in enumerate(distinct)}
             index = np.zeros((WINDOW, len(parts)), dtype=np.int64)
             mask = np.zeros((WINDOW, len(parts), 1), dtype=np.float32)
             for b, part in enumerate(parts):
-                index[: len(part), b] = [number[w] for w in part]
+                index[: len(part), b] = [at[w] for w in part]
                 mask[: len(part), b] = 1
             keep = (r.random(len(distinct)) > 0.5).astype(np.float32)  # else the network leans on words and not on their characters
             _, grad = network.gradients(index, mask, labels, word_rows(distinct), *gram_rows(distinct), keep)
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            rate = RATE * (1 - 0.8 * epoch / epochs)
+            rate = RATE * (1 - 0.8 * number / rounds)
             for k, g in grad.items():
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 m[k] += 0.1 * (g - m[k])
@@ -336,32 +352,39 @@ def train_windows(texts: list[tuple[list[list[bytes]], list[float]]], y: np.ndar
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", rows_per_class: int = SAMPLE_PER_CLASS) -> Network:
     """A network trained on a sample of at most 2 * rows_per_class whole texts.
 
-    The sample is written once. The driver gets at most PARTS word parts and, for each text, at most KEPT_WORST + KEPT_SPREAD windows, whatever the
-    texts' lengths.
+    The sample is written once and dealt to as many parts as a shuffle has; every round reads it. Broadcast are the log-odds of all hashes (16 MB) and the network (1 MB). The
+    driver gets counts for at most 2^ODDS_BITS hashes, and in each round at most five windows of each text, of whole words.
     """
-    sample = written(labelled_sample(docs, labels, label, rows_per_class, id_col, text_col, label_id), "sample")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = labelled_sample(docs, labels, label, rows_per_class, id_col, text_col, label_id)
+    sample = written(sample.select(F.col("text").cast("binary").alias("text"), "label").repartition(parts), "sample")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = count_parts(map(words_of, batch.column(0).to_pylist()), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))], ["part", "other", "toxic"])
+            found = count_parts((words_of(t.decode()) for t in batch.column(0).to_pylist()), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))], ["slot", "other", "toxic"])
 
-    parts = sample.select("text", "label").mapInArrow(count, "part binary, other long, toxic long").groupBy("part").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    odd = (F.col("toxic") + 0.1) * (n.get(0, 0) + 2) / ((F.col("other") + 0.5) * (n.get(1, 0) + 2))
-    got = parts.where((F.col("toxic") >= 3) & (odd > 0.999)).orderBy(F.desc(odd), "part").limit(PARTS).collect()
-    odds = odds_of(((bytes(r["part"]), r["other"], r["toxic"]) for r in got), n.get(0, 0), n.get(1, 0))
-    held = docs.sparkSession.sparkContext.broadcast(odds)
+    counts = sample.mapInArrow(count, "slot int, other long, toxic long").groupBy("slot").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where("toxic >= 3").toArrow()
+    odds = odds_of(zip(*(counts.column(c).to_pylist() for c in ("slot", "other", "toxic"))), n.get(0, 0), n.get(1, 0))
+    held_odds = spark.sparkContext.broadcast(odds)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            picked = [kept_windows(words_of(t), held.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[b" ".join(x) for x in kept] for kept, _ in picked], pa.list_(pa.binary())), pa.array([s for _, s in picked], pa.list_(pa.float64())), batch.column(2)], ["key", "windows", "scores", "label"])
+    def pick(number: int, network: Network | None) -> list[tuple[list[bytes], int]]:
+        held = spark.sparkContext.broadcast(network.p) if network else None
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by = Network(held.value) if held else None
+            for batch in batches:
+                found = list(picked_windows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held_odds.value, by, number))
+                yield pa.RecordBatch.from_arrays([pa.array([own.to_bytes(8, "big") for own, _ in found], pa.binary()), batch.column(1), pa.array([[b" ".join(w) for w in x] for _, x in found], pa.list_(pa.binary()))], ["own", "label", "windows"])
+
+        got = sample.mapInArrow(windows, "own binary, label int, windows array<binary>").toArrow().sort_by([("own", "ascending"), ("label", "ascending")])
+        if held:
+            held.unpersist()
+        return [(w.split(), label) for x, label in zip(got.column("windows").to_pylist(), got.column("label").to_pylist()) for w in x]
 
-    key = sample.schema["key"].dataType.simpleString()
-    rows = sample.select("key", "text", "label").mapInArrow(pick, f"key {key}, windows array<binary>, scores array<double>, label int").orderBy("key", "label").toArrow()
-    kept = [([w.split() for w in x], s) for x, s in zip(rows.column("windows").to_pylist(), rows.column("scores").to_pylist())]
-    return train_windows(kept, rows.column("label").to_numpy().astype(np.float64))
+    return train_rounds(pick, n.get(0, 0), n.get(1, 0))
 
 
 def with_score(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -277,11 +277,24 @@ def test_scores_as_reading_word_by_word():
     assert np.allclose(toxicity.Reader(net).scores(texts), [plain_score(net, t) for t in texts], atol=1e-5)
 
 
-def test_windows_of_long_texts():
+def test_windows_of_long_texts(spark):
     words = [b"plain"] * 5000 + [b"scum"] * 3 + [b"plain"] * 5000
-    kept, scores = toxicity.kept_windows(words, {b"scum": 2.0})
-    assert len(kept) <= toxicity.KEPT_WORST + toxicity.KEPT_SPREAD and max(scores) == 6 and any(x.count(b"scum") == 3 for x in kept)
-    assert toxicity.kept_windows([], {}) == ([[]], [0.0])
+    odds = np.zeros(1 << toxicity.ODDS_BITS, dtype=np.float32)
+    odds[toxicity.part_slots(b"scum")[0]] = 2.0
+    scores = toxicity.scores_by_odds(words, odds)
+    assert len(scores) == len(toxicity.window_starts(len(words))) and scores.max() == 6 and toxicity.scores_by_odds([], odds).tolist() == [0.0]
+    own, picked = next(toxicity.picked_windows([b" ".join(words)], [1], odds, None, 0))
+    assert all(w.count(b"scum") == 3 for w in picked) and next(toxicity.picked_windows([b" ".join(words)], [1], odds, None, 5)) == (own, picked)
+    # what only a far window of a labelled text holds is learned, whole words and all, on Spark as in one process
+    draw, long_word = np.random.default_rng(4), "x" * 70
+    prose, foul = lambda n: " ".join(f"w{k}" for k in draw.integers(0, 300, n)), f"scum trash {long_word}bad idiot scum"
+    rows = [(k, f"{prose(4800)} {foul} {prose(150)}" if k % 2 else prose(4950)) for k in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    asked = [f"{prose(900)} {foul} {prose(900)}", prose(1000), ""]
+    assert any(w.endswith(b"xbad") and len(w) == 73 for _, x in toxicity.picked_windows([rows[1][1].encode()], [1], toxicity.odds_of([(s, 0, 20) for s in toxicity.part_slots(long_word.encode() + b"bad")], 20, 20), None, 0) for words in x for w in words)
+    for network in (toxicity.fit(docs, labels), toxicity.train([t for _, t in rows], np.array([k % 2 for k, _ in rows]))):
+        got = toxicity.Reader(network).scores(asked)
+        assert got[0] > 0.5 > max(got[1:]), got
 
 
 def test_gradients():
