@@ -3,8 +3,8 @@
 Each shard has the postings of some thousand documents. A posting list is cut into blocks of neighbouring documents, and for every block of every list the
 index keeps the greatest term frequency and the least document length, which bound what any of its postings can add, whatever the corpus's statistics.
 A query's cursors stand on the blocks of its lists. The sum of their bounds tells which documents can reach the threshold (the k-th best score so
-far); the next of these are the pivots. Only blocks under pivots are opened, and a batch of pivots is scored at once; all other blocks are skipped unread, and
-the threshold rises with each batch. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
+far); the next of these are the pivots. Only blocks under pivots are opened, and a batch of pivots is scored at once; all other blocks are skipped, and
+the threshold rises with each batch. A shard's postings and what each adds are read and computed before its queries, so a skipped block spares adding up, not reading. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
 Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 
 Queries are a table like any other: they are packed into blocks of bounded size in the shared folder, and the task of a shard reads one block after the other.

@@ -1,8 +1,8 @@
 """Similarity join of word-shingle sets by Jaccard, with a token-group matrix.
 
 Documents with equal sets are one class. Classes that share enough of their prefixes (the rarest tokens, of which linked sets must share a
-certain number) with others are partitioned into groups by the most shared of these tokens, so similar classes meet in one group. For each
-group the union of its tokens is stored. A class looks only at groups whose members' prefixes hold enough of its own; there, the part of its
+certain number) with others are partitioned into groups by the most shared of these tokens, so similar classes meet in one group. The
+union of a group's tokens is made where its block is read, and isn't a table of its own. A class looks only at groups whose members' prefixes hold enough of its own; there, the part of its
 tokens inside the union bounds its overlap with every member, and only groups that can reach the threshold are opened. Links between members of opened groups are counted
 exactly. What leaves a block is a forest of its links, never all pairs.
 """
