@@ -4,10 +4,12 @@ Each shard has the postings of some thousand documents. A posting list is cut in
 index keeps the greatest term frequency and the least document length, which bound what any of its postings can add, whatever the corpus's statistics.
 A query's cursors stand on the blocks of its lists. The sum of their bounds tells which documents can reach the threshold (the k-th best score so
 far); the next of these are the pivots. Only blocks under pivots are opened, and a batch of pivots is scored at once; all other blocks are skipped, and
-the threshold rises with each batch. A shard's postings and what each adds are read and computed before its queries, so a skipped block spares adding up, not reading. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
+the threshold rises with each batch. What a block's postings add is computed when a query first opens it and kept for the next; of a skipped block only its
+bound is looked at, though a shard's arrays are loaded whole. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
 Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 
-Queries are a table like any other: they are packed into blocks of bounded size in the shared folder, and the task of a shard reads one block after the other.
+The index and the queries are tables in the shared folder: files of shards, and files of queries packed into blocks of bounded size. A task is one file of
+either, so more queries or documents make more tasks, not longer ones. Within a task the k-th best score of a shard is a query's floor in the next.
 """
 
 from __future__ import annotations
@@ -31,13 +33,11 @@ K1, B, SCALE = 1.2, 0.75, 1_000_000.0
 SHARD_DOCS, SHARD_TERMS, BLOCK = 8_192, 2_000_000, 32
 #: (query, term) pairs of a block of queries, about 20 MB with all that is derived from them.
 QUERY_TERMS = 400_000
-#: Postings whose contributions are computed at once.
-AT_ONCE = 500_000
 #: Pivot blocks that are scored before all others, those with the highest bounds, and in each batch after them.
 FIRST_PIVOTS, PIVOTS = 8, 64
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
-_KINDS = {"terms": np.uint64, "counts": np.int32, "doc": np.uint16, "tf": np.int32, "lengths": np.int32, "most_tf": np.int32, "least_length": np.int32}
+_KINDS = {"terms": np.uint64, "counts": np.int32, "doc": np.uint16, "tf": np.int32, "sizes": np.uint8, "lengths": np.int32, "most_tf": np.int32, "least_length": np.int32}
 _INDEX = "shard string, docs int, length long, " + ", ".join(f"{k} binary" for k in _KINDS)
 
 
@@ -65,7 +65,8 @@ def pack_shard(terms: list[np.ndarray], tfs: list[np.ndarray]) -> dict[str, np.n
     first = block_starts(flat, doc)
     most = np.maximum.reduceat(tf, first) if len(first) else tf
     least = np.minimum.reduceat(lengths[doc], first) if len(first) else lengths[doc]
-    return dict(zip(_KINDS, (distinct, counts.astype(np.int32), doc, tf, lengths, most, least)))
+    sizes = np.diff(np.append(first, len(doc))).astype(np.uint8)
+    return dict(zip(_KINDS, (distinct, counts.astype(np.int32), doc, tf, sizes, lengths, most, least)))
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -196,8 +197,8 @@ class Shard:
         self.counts = arrays["counts"].astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         self.most_tf, self.least_length = arrays["most_tf"], arrays["least_length"]
-        self.block_start = block_starts(np.repeat(np.arange(len(self.terms)), self.counts), self.doc)
-        self.block_count = np.diff(np.append(self.block_start, len(self.doc)))
+        self.block_count = arrays["sizes"].astype(np.int64)
+        self.block_start = np.cumsum(self.block_count) - self.block_count
         self.first_block = np.searchsorted(self.block_start, self.starts)
         self.n_blocks = np.diff(np.append(self.first_block, len(self.block_start)))
         self.docs = len(self.lengths)
@@ -211,24 +212,36 @@ class ShardSearch:
         here = shard.terms[at] == q.terms if len(shard.terms) else np.zeros(len(q.terms), dtype=bool)
         lists = at[here]
         idf = np.log(1.0 + ((n_docs - q.df) + 0.5) / (q.df + 0.5))[here]
-        self.docs, self.average = shard.docs, average
+        self.shard, self.docs, self.average = shard, shard.docs, average
         self.n_blocks = np.zeros(len(q.terms), dtype=np.int64)
         self.n_blocks[here] = shard.n_blocks[lists]
         self.first = np.cumsum(self.n_blocks) - self.n_blocks
         blocks = ranges(shard.first_block[lists], shard.n_blocks[lists])
-        self.block = shard.doc[shard.block_start[blocks]].astype(np.int64) // BLOCK
-        self.bound = contribution(np.repeat(idf, shard.n_blocks[lists]), shard.most_tf[blocks].astype(np.float64), shard.least_length[blocks].astype(np.float64), average)
-        # postings of these lists, as (start, count) of each block; queries that open the same block share its contributions
-        self.count = shard.block_count[blocks]
-        self.start = np.cumsum(self.count) - self.count
-        posts = ranges(shard.starts[lists], shard.counts[lists])
-        self.doc = shard.doc[posts]
-        self.value = np.empty(len(posts), dtype=np.int32)
-        owner = np.repeat(np.arange(len(lists), dtype=np.int32), shard.counts[lists])
-        for i in range(0, len(posts), AT_ONCE):
-            part = slice(i, i + AT_ONCE)
-            self.value[part] = contribution(idf[owner[part]], shard.tf[posts[part]].astype(np.float64), shard.lengths[self.doc[part]], average)
-        self.opened = self.skipped = 0
+        # places of a block's postings in the shard, as (start, count)
+        self.start, self.count, self.doc = shard.block_start[blocks], shard.block_count[blocks], shard.doc
+        self.block = self.doc[self.start].astype(np.int64) // BLOCK
+        self.idf = np.repeat(idf, shard.n_blocks[lists])
+        self.bound = contribution(self.idf, shard.most_tf[blocks].astype(np.float64), shard.least_length[blocks].astype(np.float64), average)
+        # by place in the shard; only what opened blocks hold is ever written
+        self.values = np.empty(len(self.doc), dtype=np.int32)
+        self.ready = np.zeros(len(blocks), dtype=bool)
+        self.opened = self.skipped = self.computed = 0
+
+    def open(self, blocks: np.ndarray) -> np.ndarray:
+        """The places of the postings of some list blocks; what those add that no query has opened before is computed."""
+        new = blocks[~self.ready[blocks]]
+        if len(new):
+            posts = ranges(self.start[new], self.count[new])
+            self.values[posts] = contribution(np.repeat(self.idf[new], self.count[new]), self.shard.tf[posts].astype(np.float64), self.shard.lengths[self.doc[posts]], self.average)
+            self.ready[new] = True
+            self.computed += len(posts)
+        return ranges(self.start[blocks], self.count[blocks])
+
+    @property
+    def value(self) -> np.ndarray:
+        """What every posting of the lists adds, those of blocks that no query opened too."""
+        self.open(np.arange(len(self.ready)))
+        return self.values
 
     def best(self, places: np.ndarray, ids: np.ndarray, k: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """The best k documents (scores, local numbers) of at least ``floor`` for a query's terms; equal scores by the lower id."""
@@ -248,9 +261,9 @@ class ShardSearch:
             waiting[pivots] = False
             open_ = cursor[under[block]]
             opened += len(open_)
-            posts = ranges(self.start[open_], self.count[open_])
+            posts = self.open(open_)
             # sums of whole numbers far below 2 ** 53 are exact
-            total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=self.docs)
+            total = np.bincount(self.doc[posts], weights=self.values[posts], minlength=self.docs)
             docs = np.flatnonzero(total >= max(1, floor))
             new = total[docs].astype(np.int64)
             if len(docs) > k:
@@ -268,24 +281,37 @@ class ShardSearch:
         return scores, found
 
 
-def search_shards(index: DataFrame, queries: DataFrame, n_docs: int, total_length: int, k: int, kinds: tuple[str, str]) -> DataFrame:
-    """The best k of each shard for each query, of at least its floor: ``query, doc, score``. A task holds one shard and one block of queries at a time."""
-    files, average = sorted(queries.inputFiles()), total_length / max(1, n_docs)
+def read_shards(uri: str) -> Iterator[tuple[Shard, pa.Array]]:
+    """The shards in a file that Spark wrote, and the ids of their documents, one at a time."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        for one in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(batch_size=1, columns=[*_KINDS, "ids"]):
+            yield Shard({x: np.frombuffer(one.column(x)[0].as_py(), dtype=t) for x, t in _KINDS.items()}), one.column("ids").flatten()
+
+
+def search_shards(files: DataFrame, n_files: int, queries: DataFrame, n_docs: int, total_length: int, k: int, kinds: tuple[str, str]) -> DataFrame:
+    """The best k of the shards in each of ``files`` (``file, part``) for each query, of at least its floor: ``query, doc, score``.
+
+    A task is one file of shards and one of queries. A query's floor rises to the k-th best score of each shard of the file.
+    """
+    asked, average = sorted(queries.inputFiles()), total_length / max(1, n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                one = batch.slice(row, 1)
-                shard = Shard({x: np.frombuffer(one.column(x)[0].as_py(), dtype=t) for x, t in _KINDS.items()})
-                keys = one.column("ids").flatten()
-                ids = keys.to_numpy(zero_copy_only=False)
-                for q in read_queries(files):
-                    s = ShardSearch(shard, q, n_docs, average)
-                    found = [s.best(q.places[a:b], ids, k, floor) for a, b, floor in zip(q.starts[:-1].tolist(), q.starts[1:].tolist(), q.floors.tolist())]
-                    n = np.array([len(x) for x, _ in found])
-                    yield pa.RecordBatch.from_arrays([q.names.take(pa.array(np.repeat(np.arange(len(n)), n))), keys.take(pa.array(np.concatenate([d for _, d in found]))), pa.array(np.concatenate([x for x, _ in found]))], ["query", "doc", "score"])
-
-    return index.drop("docs", "length", "shard").mapInArrow(run, f"query {kinds[0]}, doc {kinds[1]}, score long")
+            for uri, number in zip(batch.column("file").to_pylist(), batch.column("number").to_pylist()):
+                for q in read_queries([asked[number]]):
+                    floors = q.floors.tolist()
+                    for shard, keys in read_shards(uri):
+                        ids = keys.to_numpy(zero_copy_only=False)
+                        s = ShardSearch(shard, q, n_docs, average)
+                        found = [s.best(q.places[a:b], ids, k, floor) for a, b, floor in zip(q.starts[:-1].tolist(), q.starts[1:].tolist(), floors)]
+                        n = np.array([len(x) for x, _ in found])
+                        floors = [max(floor, int(x[-1])) if len(x) == k else floor for floor, (x, _) in zip(floors, found)]
+                        yield pa.RecordBatch.from_arrays([q.names.take(pa.array(np.repeat(np.arange(len(n)), n))), keys.take(pa.array(np.concatenate([d for _, d in found]))), pa.array(np.concatenate([x for x, _ in found]))], ["query", "doc", "score"])
+
+    numbers = F.sequence(F.lit(0), F.lit(len(asked) - 1)) if asked else F.array().cast("array<int>")
+    tasks = files.withColumn("number", F.explode(numbers)).repartitionByRange(max(1, n_files * len(asked)), "part", "number")
+    return tasks.mapInArrow(run, f"query {kinds[0]}, doc {kinds[1]}, score long")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
@@ -295,13 +321,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     text) has no rows. Equal scores rank by the lower id. Rows with a null id, in either table, are left out. Repeated rows of documents are documents of
     their own; of queries with the same id, the one whose text has the least hash is answered. Other columns are left out. Empty tables give no rows.
 
-    Some shards (about the square root of their number) are searched first. The k-th best score that they give a query is its floor in all others, which
+    Some files of shards (about the square root of their number) are searched first. The k-th best score that they give a query is its floor in all others, which
     then return few rows. Nothing but counts reaches the driver, and nothing is broadcast by this function.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     index = written(build_index(source), "index")
     asked = written(query_terms(queries.select(F.col(query_id).alias("query"), F.col(query_text).alias("text")).where(F.col("query").isNotNull())), "queries").where(F.size("terms") > 0)
-    stats = index.agg(F.count("*").alias("shards"), F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    shards = index.select(F.input_file_name().alias("file"), F.split("shard", "-")[0].cast("int").alias("part"), "docs", "length")
+    files = shards.groupBy("file").agg(F.min("part").alias("part"))
+    stats = shards.agg(F.count_distinct("file").alias("files"), F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
     size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     kinds = asked.schema["query"].dataType.simpleString(), source.schema["id"].dataType.simpleString()
 
@@ -309,12 +337,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     known = pairs.groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.df").alias("df"))
     known = written(known, "query-terms")
     parts = max(1, -(-int(size) // QUERY_TERMS))
-    every = max(1, round(stats["shards"] ** 0.5))
-    early = F.pmod(F.xxhash64("shard"), F.lit(every)) == 0
-    first = written(search_shards(index.where(early), pack_queries(known.withColumn("floor", F.lit(1)), parts), stats["n"], stats["length"], k, kinds), "found")
+    every = max(1, round(stats["files"] ** 0.5))
+    early = F.col("part") % every == 0
+    first = written(search_shards(files.where(early), -(-stats["files"] // every), pack_queries(known.withColumn("floor", F.lit(1)), parts), stats["n"], stats["length"], k, kinds), "found")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     floors = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
     floored = known.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
-    rest = written(search_shards(index.where(~early), pack_queries(floored, parts), stats["n"], stats["length"], k, kinds), "found")
+    rest = written(search_shards(files.where(~early), stats["files"], pack_queries(floored, parts), stats["n"], stats["length"], k, kinds), "found")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query_id), "rank", F.col("doc").alias(id_col), "score")
