@@ -9,7 +9,7 @@ bound is looked at, though a shard's arrays are loaded whole. Shards give their
 Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 
 The index and the queries are tables in the shared folder: files of shards, and files of queries packed into blocks of bounded size. A task is one file of
-either, so more queries or documents make more tasks, not longer ones. Within a task the k-th best score of a shard is a query's floor in the next.
+shards and a group of files of queries, so more queries or documents make more tasks, not longer ones. Within a task the k-th best score of a shard is a query's floor in the next.
 """
 
 from __future__ import annotations
@@ -177,6 +177,27 @@ def read_queries(files: list[str]) -> Iterator[Queries]:
                 yield Queries(batch.column(0).flatten(), *(np.frombuffer(batch.column(k + 1)[0].as_py(), dtype=t) for k, t in enumerate(kinds)))
 
 
+def joined(blocks: list[Queries]) -> Queries:
+    """Several blocks as one."""
+    terms, first, at = np.unique(np.concatenate([q.terms for q in blocks]), return_index=True, return_inverse=True)
+    offsets = np.cumsum([0, *(len(q.terms) for q in blocks[:-1])])
+    places = np.concatenate([at[q.places + o] for q, o in zip(blocks, offsets)])
+    starts = np.cumsum([0, *np.concatenate([np.diff(q.starts) for q in blocks])])
+    return Queries(pa.concat_arrays([q.names for q in blocks]), terms, np.concatenate([q.df for q in blocks])[first], starts, places, np.concatenate([q.floors for q in blocks]))
+
+
+def filled(blocks: Iterator[Queries]) -> Iterator[Queries]:
+    """The same queries in blocks of about QUERY_TERMS terms: small ones are joined."""
+    some: list[Queries] = []
+    for q in blocks:
+        if some and sum(len(x.places) for x in some) + len(q.places) > QUERY_TERMS:
+            yield joined(some)
+            some = []
+        some.append(q)
+    if some:
+        yield joined(some)
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """All numbers of the ranges that begin at ``starts``."""
     ends = np.cumsum(counts)
@@ -289,17 +310,18 @@ def read_shards(uri: str) -> Iterator[tuple[Shard, pa.Array]]:
             yield Shard({x: np.frombuffer(one.column(x)[0].as_py(), dtype=t) for x, t in _KINDS.items()}), one.column("ids").flatten()
 
 
-def search_shards(files: DataFrame, n_files: int, queries: DataFrame, n_docs: int, total_length: int, k: int, kinds: tuple[str, str]) -> DataFrame:
+def search_shards(files: DataFrame, n_files: int, queries: DataFrame, parts: int, n_docs: int, total_length: int, k: int, kinds: tuple[str, str]) -> DataFrame:
     """The best k of the shards in each of ``files`` (``file, part``) for each query, of at least its floor: ``query, doc, score``.
 
-    A task is one file of shards and one of queries. A query's floor rises to the k-th best score of each shard of the file.
+    A task is one file of shards and one of ``parts`` groups of the files of queries. A query's floor rises to the k-th best score of each shard of the file.
     """
-    asked, average = sorted(queries.inputFiles()), total_length / max(1, n_docs)
+    found, average = sorted(queries.inputFiles()), total_length / max(1, n_docs)
+    asked = [found[i::parts] for i in range(min(parts, len(found)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, number in zip(batch.column("file").to_pylist(), batch.column("number").to_pylist()):
-                for q in read_queries([asked[number]]):
+                for q in filled(read_queries(asked[number])):
                     floors = q.floors.tolist()
                     for shard, keys in read_shards(uri):
                         ids = keys.to_numpy(zero_copy_only=False)
@@ -339,10 +361,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     parts = max(1, -(-int(size) // QUERY_TERMS))
     every = max(1, round(stats["files"] ** 0.5))
     early = F.col("part") % every == 0
-    first = written(search_shards(files.where(early), -(-stats["files"] // every), pack_queries(known.withColumn("floor", F.lit(1)), parts), stats["n"], stats["length"], k, kinds), "found")
+    first = written(search_shards(files.where(early), -(-stats["files"] // every), pack_queries(known.withColumn("floor", F.lit(1)), parts), parts, stats["n"], stats["length"], k, kinds), "found")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     floors = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
     floored = known.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
-    rest = written(search_shards(files.where(~early), stats["files"], pack_queries(floored, parts), stats["n"], stats["length"], k, kinds), "found")
+    rest = written(search_shards(files.where(~early), stats["files"], pack_queries(floored, parts), parts, stats["n"], stats["length"], k, kinds), "found")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query_id), "rank", F.col("doc").alias(id_col), "score")

@@ -442,3 +442,16 @@ def test_search_over_many_files_of_shards_and_queries(spark, monkeypatch):
     asked = [x for x in rows if x[0] % 9 == 0]
     got = bm25.search(d, spark.createDataFrame(asked, "query_id long, text string").repartition(3), k=4)
     assert sorted((x.query_id, x.rank, x.doc_id, x.score) for x in got.collect()) == plain_search(rows, asked, 4)
+
+
+def test_small_blocks_of_queries_are_joined(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 6)
+    block = lambda names, terms, df, starts, places, floors: bm25.Queries(pa.array(names), np.array(terms, dtype=np.uint64), np.array(df), np.array(starts), np.array(places), np.array(floors))
+    blocks = [block([1, 2], [10, 20, 30], [5, 6, 7], [0, 2, 3], [0, 2, 1], [1, 4]), block([3], [5, 20], [9, 6], [0, 2], [0, 1], [2]), block([4], [1, 2, 3, 4, 5, 6, 7], [1] * 7, [0, 7], list(range(7)), [3])]
+    plain = lambda q: [(name, [(int(q.terms[p]), int(q.df[p])) for p in q.places[a:b]], int(f)) for name, a, b, f in zip(q.names.to_pylist(), q.starts, q.starts[1:], q.floors)]
+    got = list(bm25.filled(iter(blocks)))
+    assert [len(q.names) for q in got] == [3, 1] and got[0].terms.tolist() == [5, 10, 20, 30]
+    assert [x for q in got for x in plain(q)] == [x for q in blocks for x in plain(q)]
+    assert list(bm25.filled(iter([]))) == []
