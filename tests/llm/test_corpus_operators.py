@@ -406,32 +406,6 @@ def test_every_stage_of_the_pipeline(spark, tmp_path, monkeypatch):
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
 
 
-def test_search_computes_opened_blocks_only():
-    r = np.random.default_rng(8)
-    weight = 1 / np.arange(1, 401)
-    texts = [" ".join(f"{'' if w < 20 else i // 250}t{w}" for w in r.choice(400, 40, p=weight / weight.sum())) for i in range(4000)]
-    pairs = [bm25.term_counts(t) for t in texts]
-    shard = bm25.Shard(bm25.pack_shard([t for t, _ in pairs], [n for _, n in pairs]))
-    assert shard.block_start.tolist() == bm25.block_starts(np.repeat(np.arange(len(shard.terms)), shard.counts), shard.doc).tolist()
-    df = Counter(t for terms, _ in pairs for t in terms.tolist())
-    # queries of one topic; each is asked twice, and the second time opens nothing new
-    asked = [pairs[i][0] for i in (510, 620, 730)]
-    terms, places = np.unique(np.concatenate(asked), return_inverse=True)
-    q = bm25.Queries(None, terms, np.array([df[t] for t in terms.tolist()]), np.cumsum([0, *map(len, asked)]), places, np.ones(len(asked)))
-    s = bm25.ShardSearch(shard, q, 4000, float(shard.lengths.mean()))
-    ids = np.arange(4000)
-    assert s.computed == 0
-    first = [s.best(places[a:b], ids, 10) for a, b in zip(q.starts, q.starts[1:])]
-    computed, all_postings = s.computed, int(shard.counts[np.isin(shard.terms, terms)].sum())
-    assert 0 < computed < all_postings / 2 and s.computed == int(s.count[s.ready].sum())
-    again = [s.best(places[a:b], ids, 10) for a, b in zip(q.starts, q.starts[1:])]
-    assert s.computed == computed and [(x.tolist(), d.tolist()) for x, d in again] == [(x.tolist(), d.tolist()) for x, d in first]
-    # a floor is the k-th best of another shard: documents of that score still count, and fewer blocks are opened
-    fresh = bm25.ShardSearch(shard, q, 4000, float(shard.lengths.mean()))
-    scores, _ = fresh.best(places[: q.starts[1]], ids, 10, int(first[0][0][-1]))
-    assert scores.tolist() == first[0][0].tolist() and fresh.computed <= computed
-
-
 def test_search_over_many_files_of_shards_and_queries(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(bm25, "SHARD_DOCS", 9)
@@ -442,16 +416,3 @@ def test_search_over_many_files_of_shards_and_queries(spark, monkeypatch):
     asked = [x for x in rows if x[0] % 9 == 0]
     got = bm25.search(d, spark.createDataFrame(asked, "query_id long, text string").repartition(3), k=4)
     assert sorted((x.query_id, x.rank, x.doc_id, x.score) for x in got.collect()) == plain_search(rows, asked, 4)
-
-
-def test_small_blocks_of_queries_are_joined(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(bm25, "QUERY_TERMS", 6)
-    block = lambda names, terms, df, starts, places, floors: bm25.Queries(pa.array(names), np.array(terms, dtype=np.uint64), np.array(df), np.array(starts), np.array(places), np.array(floors))
-    blocks = [block([1, 2], [10, 20, 30], [5, 6, 7], [0, 2, 3], [0, 2, 1], [1, 4]), block([3], [5, 20], [9, 6], [0, 2], [0, 1], [2]), block([4], [1, 2, 3, 4, 5, 6, 7], [1] * 7, [0, 7], list(range(7)), [3])]
-    plain = lambda q: [(name, [(int(q.terms[p]), int(q.df[p])) for p in q.places[a:b]], int(f)) for name, a, b, f in zip(q.names.to_pylist(), q.starts, q.starts[1:], q.floors)]
-    got = list(bm25.filled(iter(blocks)))
-    assert [len(q.names) for q in got] == [3, 1] and got[0].terms.tolist() == [5, 10, 20, 30]
-    assert [x for q in got for x in plain(q)] == [x for q in blocks for x in plain(q)]
-    assert list(bm25.filled(iter([]))) == []
