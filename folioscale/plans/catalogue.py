@@ -5,21 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions import text as t
 from folioscale.operators import evaluation, images, layout, lines, receipt
 from folioscale.operators.invoice import invoices
-from folioscale.plans import documents, synth
+from folioscale.plans import defects, documents, synth
 from folioscale.plans.session import ship, table
+from folioscale.plans.synth import cents
 from folioscale.sources import files
 
 
-def cents(amount: Column) -> Column:
-    return F.round(amount * 100).cast("long")
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoices(synth.invoice_texts(spark, sf_dir)).select("doc_id", "invoice_number", "invoice_date", "total_amount", "confidence", "needs_review")
 
@@ -289,7 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shop_fields,
         normalized_lines,
     )
-}
+} | defects.QUERIES
 
 _LINES = r"""texts AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')) AS text, generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), 1) AS line_no FROM documents)"""
 _SUSPICIOUS = r"""(regexp_matches(text, '[~|¦`]') OR regexp_matches(text, '\b[Il]\d{2,}\b|\b\d{2,}[Il]\b|\b[Il]\d{2}[Il]\b') OR regexp_matches(text, '[A-Za-z]{3,}[~\-]$'))"""
@@ -403,4 +400,4 @@ SELECT k AS doc_id, CAST(1 + CAST(more AS INTEGER) AS BIGINT) AS n_pages, 'ocr:'
   CASE WHEN bad THEN 'document_number_missing,' || CASE WHEN more THEN '' ELSE 'merchant_missing,' END || 'date_missing,total_missing' ELSE '' END AS warnings, NOT bad AS is_valid, CAST(CASE WHEN bad THEN CAST(more AS INTEGER) ELSE 3 END AS BIGINT) AS n_table_lines, CAST(1 AS BIGINT) AS quality_pages,
   CAST(CASE WHEN bad THEN 2 + CAST(w * h * 100 < 2400 * 8 AS INTEGER) ELSE 0 END AS BIGINT) AS failed_readings FROM t""",
     "pipeline_view": "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS has_basic, o_orderkey % 3 = 0 AS has_receipt, FALSE AS has_strong, o_orderkey % 5 = 0 AS has_ocr FROM orders",
-}
+} | defects.SQL

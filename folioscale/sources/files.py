@@ -135,7 +135,7 @@ def ocr_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def assemble(pages: DataFrame, texts: DataFrame) -> DataFrame:
     """Documents from their manifest and the text of their pages, in page order; a page without text is empty."""
-    d = pages.join(texts.select("doc_id", "page", "text"), ["doc_id", "page"], "left").groupBy("doc_id")
+    d = pages.select("doc_id", "page", "source").join(texts.select("doc_id", "page", "text"), ["doc_id", "page"], "left").groupBy("doc_id")
     rows = F.array_sort(F.collect_list(F.struct("page", "source", F.coalesce("text", F.lit("")).alias("text"))))
     return d.agg(rows.alias("pages")).withColumn("full_text", strip_all(F.array_join(F.filter(F.transform("pages", lambda p: p["text"]), lambda x: x != ""), "\n\n")))
 
