@@ -25,14 +25,44 @@ from pyspark.sql import types as T
 
 from folioscale.plans.session import written
 
-#: Characters of chunks that a Python worker remembers; when there are more, it forgets those that were not met since the last time.
-REMEMBERED_CHARS = 8_000_000
-#: Characters of texts whose new chunks are asked for at once.
-GROUP_CHARS = 500_000
+#: Bytes of chunks that a Python worker remembers; when there are more, it forgets those that were not met since the last time.
+REMEMBERED_BYTES = 8_000_000
+#: Characters of texts whose new chunks are asked for at once, and chunks in each text that the library is asked for.
+GROUP_CHARS, LINES = 4_000_000, 100
 #: Counts (one for each task and length) that are broadcast to the pieces, about 64 MB; beyond it, the pieces are shuffled to them.
 BROADCAST_COUNTS = 1_000_000
 # Unicode white space, on which byte-level tokenizers split a text.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE, _LETTER, _MARK = (np.array([b < 128 and f(chr(b)) for b in range(256)]) for f in (lambda c: c in "\t\n\v\f\r ", str.isalpha, lambda c: not c.isalpha() and c not in "\t\n\v\f\r "))
+_BEYOND = [int.from_bytes(chr(c).encode()) for c in range(128, 0x3001) if re.match(f"[{WHITE}]", chr(c))]
+_WHITE_TWO, _WHITE_THREE = [x for x in _BEYOND if x < 1 << 16], [x for x in _BEYOND if x >= 1 << 16]
+
+
+def chunk_begins(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which bytes begin a chunk, in texts as UTF-8 whose white space is all ASCII; ``first`` is where each text begins.
+
+    A chunk ends before white space, and where a Latin letter is followed by a digit or mark of ASCII: there the library's pattern ends a word as well. Of
+    white space before a word its last character stands alone, or belongs to the word if it is a space.
+    """
+    white, before, after = _WHITE[data], data[:-1], data[1:]
+    begins = np.zeros(len(data), dtype=bool)
+    begins[first] = True
+    last = white[:-1] & ~white[1:]
+    last[first[1:] - 1] = False
+    begins[:-1] |= last
+    begins[1:] |= (last & (before != 32)) | (white[1:] & ~white[:-1])
+    letter = _LETTER[data]
+    letter[1:] |= (before >= 0xC3) & (before <= 0xC8) & ~((before == 0xC3) & ((after == 0x97) | (after == 0xB7)))
+    begins[1:] |= letter[:-1] & _MARK[after]
+    return begins
+
+
+def white_beyond_ascii(data: np.ndarray) -> np.ndarray:
+    """Where characters of white space beyond ASCII begin."""
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    padded = np.append(data, [0, 0]).astype(np.int64)
+    two = (padded[at] << 8) | padded[at + 1]
+    return at[np.isin(two, _WHITE_TWO) | np.isin((two << 8) | padded[at + 2], _WHITE_THREE)]
 
 
 class Tokenizer:
@@ -53,38 +83,78 @@ class Tokenizer:
         line_break = self.library.encode("\n", add_special_tokens=False).ids
         self.line_break = line_break[0] if len(line_break) == 1 else None
         self.by_chunk = spec["model"]["type"] == "BPE" and level and self.line_break is not None and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
-        # letters up to a mark or white space, else all up to white space
-        self.chunks = re.compile(rf" ?[A-Za-z]+(?=[{WHITE}.,;:!?]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+        # all up to white space
+        self.chunks = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+        self.contents = [x["content"].encode() for x in added]
         self.added = re.compile("(" + "|".join(re.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"]))) + ")") if added else None
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.size = 0
 
     def ask(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks, as bytes. A line break is a token of its own between chunks without one, so these are asked for as the lines of one text."""
+        """The ids of chunks, as bytes. A line break is a token of its own between chunks without one, so these are asked for as the lines of texts."""
         blank = [c.isspace() for c in chunks]
         lines = [c for c, b in zip(chunks, blank) if not b]
-        ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
-        raw, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.line_break), len(ids)).tolist()
+        texts = ["\n".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for x in found for i in (*x.ids, self.line_break)], dtype="<u4")
+        raw, ends = ids.tobytes(), np.flatnonzero(ids == self.line_break).tolist()
         of_lines = iter([raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)])
         of_blanks = iter(self.library.encode_batch_fast([c for c, b in zip(chunks, blank) if b], add_special_tokens=False))
         return [array("I", next(of_blanks).ids).tobytes() if b else next(of_lines) for b in blank]
 
     def split(self, text: str) -> list[str]:
+        """The chunks of a text with any white space and added tokens."""
         # an added token parts a text: the white space before it is at the end of its part
         parts = self.added.split(text) if self.added else [text]
-        return self.chunks.findall(text) if len(parts) == 1 else [c for k, part in enumerate(parts) for c in ([part] if k % 2 else self.chunks.findall(part))]
-
-    def learn(self, chunks: set[str]) -> None:
-        if self.size > REMEMBERED_CHARS // 2:
+        return [c for k, part in enumerate(parts) for c in ([part] if k % 2 else self.chunks.findall(part))]
+
+    def starts(self, data: np.ndarray, first: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Where the chunks of texts begin in their UTF-8 bytes, given where each text begins. None of the texts is empty."""
+        begins = chunk_begins(data, first)
+        odd = set((np.searchsorted(first, white_beyond_ascii(data), side="right") - 1).tolist())
+        if any(x in data.tobytes() for x in self.contents):
+            odd.update(k for k, text in enumerate(texts) if self.added.search(text))
+        for k in odd:
+            lengths = [len(c.encode()) for c in self.split(texts[k])]
+            begins[first[k] : first[k] + sum(lengths)] = False
+            begins[first[k] + np.cumsum([0, *lengths[:-1]])] = True
+        return np.flatnonzero(begins)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        if self.size > REMEMBERED_BYTES // 2:
             self.before, self.known, self.size = self.known, {}, 0
         new = [c for c in chunks if c not in self.known]
         asked = [c for c in new if c not in self.before]
         self.known.update((c, self.before[c]) for c in new if c in self.before)
         if asked:
-            self.known.update(zip(asked, self.ask(asked)))
+            self.known.update(zip(asked, self.ask([c.decode() for c in asked])))
         self.size += sum(map(len, new))
 
+    def ids_of_group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        raw = [text.encode() for text in texts]
+        lengths = np.array([len(x) for x in raw])
+        full = np.flatnonzero(lengths)
+        ends = np.zeros(len(texts) + 1, dtype=np.int64)  # of the texts' ids
+        flat = np.zeros(0, dtype="<u4")
+        if len(full):
+            whole = b"".join(raw)
+            first = (np.cumsum(lengths) - lengths)[full]
+            starts = self.starts(np.frombuffer(whole, dtype=np.uint8), first, [texts[k] for k in full.tolist()])
+            offsets = np.append(starts, len(whole)).astype(np.int64)
+            coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).dictionary_encode()
+            distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            self.learn(distinct)
+            found = [self.known[c] for c in distinct]
+            sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+            counts, until = sizes[codes], np.cumsum(sizes)
+            done = np.cumsum(counts)  # ids up to and with each chunk
+            flat = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat((until - sizes)[codes] - (done - counts), counts) + np.arange(done[-1])]
+            ends[full + 1] = done[np.append(np.searchsorted(starts, first[1:]), len(starts)) - 1]
+            ends = np.maximum.accumulate(ends)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield flat[a:b]
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Texts are read in groups, so that their new chunks are asked for at once."""
         if not self.by_chunk:
@@ -93,12 +163,10 @@ class Tokenizer:
             return
         waiting, size = [], 0
         for i, text in enumerate(texts):
-            waiting.append(self.split(text))
+            waiting.append(text)
             size += len(text)
             if size >= GROUP_CHARS or i == len(texts) - 1:
-                self.learn(set().union(*waiting))
-                for chunks in waiting:
-                    yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<u4")
+                yield from self.ids_of_group(waiting)
                 waiting, size = [], 0
 
 

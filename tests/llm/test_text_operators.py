@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,6 +86,25 @@ def test_tokenizer_on_every_code_point_and_long_runs():
         assert ids.tolist() == t.library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_asks_once_for_a_word_before_any_mark():
+    t, asked = packing.Tokenizer(PLAIN), []
+    ask = t.ask
+    t.ask = lambda chunks: asked.extend(chunks) or ask(chunks)
+    texts = ["".join(f" {word}{mark}" for mark in ("", ".", "###", "%%", "'s", "-", "7")) for word in ("tree", "éaaile", "ünger")]
+    found = list(t.ids(texts))
+    assert sorted(asked) == sorted([" tree", " éaaile", " ünger", ".", "###", "%%", "'s", "-", "7"])
+    assert [x.tolist() for x in found] == [t.library.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_tokenizer_on_white_space_and_added_tokens_in_groups(monkeypatch):
+    pick = random.Random(4)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "a", "The", "é", "ß", "×", "÷", "ɏ", "ɐ", "д", "中", "½", "2", ".", ",", "'s", "'", "%%", "<|endoftext|>", "—", "😀", ""]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(25))) for _ in range(4000)]
+    monkeypatch.setattr(packing, "GROUP_CHARS", 3_000)
+    t = packing.Tokenizer(PLAIN)
+    assert [x.tolist() for x in t.ids(texts)] == [x.ids for x in t.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_tokenizer_of_another_kind(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = packing.tokenizer(path)
