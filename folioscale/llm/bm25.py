@@ -1,6 +1,6 @@
 """Exact top-k search by BM25 over an inverted index in shards, with block-max WAND.
 
-Each shard has the postings of some thousand documents. A posting list is cut into blocks of neighbouring documents, and for every block of every list the
+Each shard has the postings of some thousand documents, numbered so that documents of like words and lengths are neighbours. A posting list is cut into blocks of neighbouring documents, and for every block of every list the
 index keeps the greatest term frequency and the least document length, which bound what any of its postings can add, whatever the corpus's statistics.
 A query's cursors stand on the blocks of its lists. The sum of their bounds tells which documents can reach the threshold (the k-th best score so
 far); the next of these are the pivots. Only blocks under pivots are opened, and a batch of pivots is scored at once; all other blocks are skipped, and
@@ -28,7 +28,7 @@ from folioscale.plans.session import written
 
 K1, B, SCALE = 1.2, 0.75, 1_000_000.0
 #: Documents and terms of a shard at most; documents that share a block of each list.
-SHARD_DOCS, SHARD_TERMS, BLOCK = 8_192, 2_000_000, 32
+SHARD_DOCS, SHARD_TERMS, BLOCK = 8_192, 2_000_000, 64
 #: (query, term) pairs of a block of queries, about 20 MB with all that is derived from them.
 QUERY_TERMS = 400_000
 #: Postings whose contributions are computed at once.
@@ -54,6 +54,13 @@ def block_starts(terms: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(len(doc) > 0, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))
 
 
+def neighbours(terms: list[np.ndarray], tfs: list[np.ndarray]) -> list[int]:
+    """An order of documents by their most frequent term, then by length. A language's or topic's lists then have fewer blocks, with tighter bounds, and a
+    query of another one skips them. Results don't depend on it."""
+    key = np.array([t[n.argmax()] if len(t) else 0 for t, n in zip(terms, tfs)], dtype=np.uint64)
+    return np.lexsort(([int(n.sum()) for n in tfs], key)).tolist()
+
+
 def pack_shard(terms: list[np.ndarray], tfs: list[np.ndarray]) -> dict[str, np.ndarray]:
     """The arrays of a shard, given each document's terms and their frequencies."""
     doc = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
@@ -80,8 +87,9 @@ def build_index(docs: DataFrame) -> DataFrame:
         size = 0
 
         def shard() -> pa.RecordBatch:
-            d = pack_shard(terms, tfs)
-            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([len(ids)], pa.int32()), pa.array([int(d["lengths"].sum())], pa.int64()), *(pa.array([d[x].tobytes()], pa.binary()) for x in _KINDS), pa.array([ids], pa.list_(id_type))], names)
+            order = neighbours(terms, tfs)
+            d = pack_shard([terms[i] for i in order], [tfs[i] for i in order])
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([len(ids)], pa.int32()), pa.array([int(d["lengths"].sum())], pa.int64()), *(pa.array([d[x].tobytes()], pa.binary()) for x in _KINDS), pa.array([[ids[i] for i in order]], pa.list_(id_type))], names)
 
         names = [x.split()[0] for x in _INDEX.split(", ")] + ["ids"]
         id_type = pa.int64()
@@ -112,16 +120,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.groupBy("query").agg(F.min_by("terms", "hash").alias("terms"))
 
 
-def document_frequencies(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """``term, df``: in how many documents of all shards each term of the queries occurs."""
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """``term, df``: in how many documents of all shards each term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, dtype=np.int64)), pa.array(np.frombuffer(c, dtype=np.int32))], ["term", "n"])
 
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    return index.select("terms", "counts").mapInArrow(run, "term long, n int").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    return index.select("terms", "counts").mapInArrow(run, "term long, n int").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def known_terms(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query, terms, df``: the terms of each query that the index has. Frequencies are summed before queries meet them, so the join makes one row for each query and term."""
+    pairs = asked.select("query", F.explode("terms").alias("term")).join(document_frequencies(index), "term")
+    return pairs.groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.df").alias("df"))
 
 
 @dataclass
@@ -305,9 +318,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     kinds = asked.schema["query"].dataType.simpleString(), source.schema["id"].dataType.simpleString()
 
-    pairs = asked.select("query", F.explode("terms").alias("term")).join(document_frequencies(index, asked), "term")
-    known = pairs.groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.df").alias("df"))
-    known = written(known, "query-terms")
+    known = written(known_terms(index, asked), "query-terms")
     parts = max(1, -(-int(size) // QUERY_TERMS))
     every = max(1, round(stats["shards"] ** 0.5))
     early = F.pmod(F.xxhash64("shard"), F.lit(every)) == 0

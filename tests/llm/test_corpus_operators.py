@@ -258,6 +258,32 @@ def test_search_skips_blocks_of_all_lists():
     assert s.skipped > s.opened > 0
 
 
+def test_search_sums_frequencies_before_queries_meet_them(spark):
+    ship(spark)
+    d = spark.createDataFrame([(i, f"red {'fish' if i % 2 else 'bird'} n{i}") for i in range(40)], "id long, text string").repartition(8)
+    index = bm25.build_index(d)
+    asked = bm25.query_terms(spark.createDataFrame([(1, "red fish absent"), (2, "red red bird"), (3, "absent")], "query long, text string"))
+    known = bm25.known_terms(index, asked)
+    assert sorted((r.query, sorted(r.df)) for r in known.collect()) == [(1, [20, 40]), (2, [20, 40])]
+    # nothing that the shards give is joined before it is summed
+    _, *below = known._jdf.queryExecution().optimizedPlan().toString().split("Join ")
+    assert len(below) == 1 and below[0].index("Aggregate [term") < below[0].rindex("MapInArrow")
+
+
+def test_index_puts_documents_of_like_words_together(spark):
+    ship(spark)
+    r = np.random.default_rng(3)
+    texts = [" ".join([f"the{i % 8}"] * 9 + [f"x{i % 8}y{w}" for w in r.integers(0, 30, 40)]) for i in range(1024)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    (row,) = bm25.build_index(d).collect()
+    shard = bm25.Shard({x: np.frombuffer(row[x], dtype=t) for x, t in bm25._KINDS.items()})
+    assert sorted(row.ids) == list(range(1024)) and [texts[i].split()[0] for i in row.ids[:128]] == [texts[row.ids[0]].split()[0]] * 128
+    # interleaved, each list would have a block in every stretch of the shard
+    assert len(shard.block_start) <= 1024 // bm25.BLOCK * 31 * 1.5
+    for i, length in zip(row.ids, shard.lengths.tolist()):
+        assert length == len(texts[i].split())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
