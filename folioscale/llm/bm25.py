@@ -4,7 +4,8 @@ Each shard has the postings of some thousand documents, numbered so that documen
 index keeps the greatest term frequency and the least document length, which bound what any of its postings can add, whatever the corpus's statistics.
 A query's cursors stand on the blocks of its lists. The sum of their bounds tells which documents can reach the threshold (the k-th best score so
 far); the next of these are the pivots. Only blocks under pivots are opened, and a batch of pivots is scored at once; all other blocks are skipped, and
-the threshold rises with each batch. A shard's postings and what each adds are read and computed before its queries, so a skipped block spares adding up, not reading. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
+the threshold rises with each batch. Lists that many of a shard's documents are in lie in a matrix as well. Queries are taken together, those that can have most in the same block; a
+product of matrices sums each one's frequent lists over the blocks that one of them waits for, and the greatest sum in a block is a tighter bound than the sum of the greatest. Only the other lists are added posting by posting. A shard's postings and what each adds are read and computed before its queries, so a skipped block spares adding up, not reading. Shards give their own best k, which are merged. Document counts and lengths are those of the whole corpus.
 Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 
 Queries are a table like any other: they are packed into blocks of bounded size in the shared folder, and the task of a shard reads one block after the other.
@@ -35,6 +36,12 @@ QUERY_TERMS = 400_000
 AT_ONCE = 500_000
 #: Pivot blocks that are scored before all others, those with the highest bounds, and in each batch after them.
 FIRST_PIVOTS, PIVOTS = 8, 64
+#: Lists in more than one of so many documents of a shard are columns of a matrix as well, at most so many lists (32 MB).
+FREQUENT, MATRIX_LISTS = 32, 1_024
+#: A 32-bit sum of so many whole numbers, times this, is no less than their exact sum, and by this factor twice no more: its error is below MATRIX_LISTS / 2 ** 24.
+MARGIN = np.float32(1 + 2**-12)
+#: Queries that are looked at in one go; of these, that are scored together, with so many list blocks if they are more than one.
+LOOKED_AT, TOGETHER, PASSED = 1_024, 128, 2_000_000
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 _KINDS = {"terms": np.uint64, "counts": np.int32, "doc": np.uint16, "tf": np.int32, "lengths": np.int32, "most_tf": np.int32, "least_length": np.int32}
@@ -235,50 +242,128 @@ class ShardSearch:
         self.count = shard.block_count[blocks]
         self.start = np.cumsum(self.count) - self.count
         posts = ranges(shard.starts[lists], shard.counts[lists])
-        self.doc = shard.doc[posts]
-        self.value = np.empty(len(posts), dtype=np.int32)
+        self.doc = shard.doc[posts].astype(np.int64)
+        self.value = np.empty(len(posts))
         owner = np.repeat(np.arange(len(lists), dtype=np.int32), shard.counts[lists])
         for i in range(0, len(posts), AT_ONCE):
             part = slice(i, i + AT_ONCE)
             self.value[part] = contribution(idf[owner[part]], shard.tf[posts[part]].astype(np.float64), shard.lengths[self.doc[part]], average)
+        # the frequent lists as columns over all documents, and the greatest contribution of each of their blocks; 32-bit floats hold whole numbers below 2 ** 24
+        n, own = -(-shard.docs // BLOCK), shard.counts[lists]
+        many = np.flatnonzero((own * FREQUENT > shard.docs) & (idf * ((K1 + 1) * SCALE) < (1 << 24) - 1))
+        many = many[np.argsort(-own[many], kind="stable")[:MATRIX_LISTS]]
+        self.column = np.full(len(q.terms), -1, dtype=np.int64)
+        self.column[np.flatnonzero(here)[many]] = np.arange(len(many))
+        self.matrix = np.zeros((n * BLOCK, len(many)), dtype=np.float32)
+        posts = ranges((np.cumsum(own) - own)[many], own[many])
+        self.matrix[self.doc[posts], np.repeat(np.arange(len(many)), own[many])] = self.value[posts]
+        self.most = self.matrix.reshape(n, BLOCK, len(many)).max(axis=1)
         self.opened = self.skipped = 0
 
     def best(self, places: np.ndarray, ids: np.ndarray, k: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """The best k documents (scores, local numbers) of at least ``floor`` for a query's terms; equal scores by the lower id."""
-        cursor = ranges(self.first[places], self.n_blocks[places])  # the list blocks that the query's cursors pass
+        return self.best_of([places], ids, k, np.array([floor]))[0]
+
+    def best_of(self, asked: list[np.ndarray], ids: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``best`` of each of some queries. Those that can have most in the same block are scored together."""
+        flat, owner = np.concatenate(asked), np.repeat(np.arange(len(asked)), [len(p) for p in asked])
+        column = self.column[flat]
+        wanted = np.zeros((len(asked), self.matrix.shape[1]), dtype=np.float32)
+        wanted[owner[column >= 0], column[column >= 0]] = 1
+        reach = wanted @ self.most.T * MARGIN
+        order = np.argsort(reach.argmax(axis=1), kind="stable")
+        passed = np.bincount(owner, weights=self.n_blocks[flat], minlength=len(asked))[order]
+        out: list = [None] * len(asked)
+        start = 0
+        while start < len(order):
+            few = int(np.searchsorted(np.cumsum(passed[start : start + TOGETHER]), PASSED, side="right"))
+            part = order[start : start + max(1, few)]
+            for j, found in zip(part.tolist(), self.together([asked[j] for j in part.tolist()], wanted[part], reach[part], ids, k, floors[part])):
+                out[j] = found
+            start += len(part)
+        return out
+
+    def together(self, asked: list[np.ndarray], wanted: np.ndarray, reach: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best k of each query, given which frequent lists it wants and what these add at most in each block. A product of matrices sums the frequent lists of
+        all these queries over the blocks that one of them waits for; each query then has one list of these sums, whose greatest in a block is known, beside its other lists."""
+        g, n = reach.shape
+        rare = [p[self.column[p] < 0] for p in asked]
+        lists = np.concatenate(rare)
+        cursor = ranges(self.first[lists], self.n_blocks[lists])  # the list blocks that the queries' cursors pass
+        ends = np.cumsum([0, *(int(self.n_blocks[p].sum()) for p in rare)])
         block, bound = self.block[cursor], self.bound[cursor]
-        n = -(-self.docs // BLOCK)
-        reach = np.bincount(block, weights=bound, minlength=n)  # what a document of these can have at most
-        scores, found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        waiting = reach >= max(1, floor)
-        some = int(waiting.sum())
-        first = np.argpartition(-reach, FIRST_PIVOTS)[:FIRST_PIVOTS] if some > FIRST_PIVOTS else np.flatnonzero(waiting)
-        opened = 0
-        pivots = first
-        while len(pivots):
-            under = np.zeros(n, dtype=bool)
-            under[pivots] = True
-            waiting[pivots] = False
-            open_ = cursor[under[block]]
-            opened += len(open_)
-            posts = ranges(self.start[open_], self.count[open_])
-            # sums of whole numbers far below 2 ** 53 are exact
-            total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=self.docs)
-            docs = np.flatnonzero(total >= max(1, floor))
-            new = total[docs].astype(np.int64)
-            if len(docs) > k:
-                keep = new >= np.partition(new, len(new) - k)[len(new) - k]
-                docs, new = docs[keep], new[keep]
-            scores, found = np.concatenate([scores, new]), np.concatenate([found, docs])
-            top = np.lexsort((ids[found], -scores))[:k]
-            scores, found = scores[top], found[top]
-            if len(scores) == k:
-                floor = max(floor, int(scores[-1]))
-            waiting &= reach >= floor
-            pivots = np.flatnonzero(waiting)[:PIVOTS]
-        self.opened += opened
-        self.skipped += len(cursor) - opened
-        return scores, found
+        others = np.bincount(np.repeat(np.arange(g) * n, np.diff(ends)) + block, weights=bound, minlength=g * n).reshape(g, n)
+        reach = reach + others  # what a document of these blocks can have at most
+        limits = np.maximum(1, floors)
+        waiting = reach >= limits[:, None]
+        sums, present = np.zeros((g, n * BLOCK), dtype=np.float32), self.most > 0
+        self.skipped += sum(int(self.n_blocks[p].sum()) for p in asked)
+
+        def add_up(here: np.ndarray) -> None:
+            edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).tolist()
+            for a, b in zip(edges[::2], edges[1::2]):
+                own = sums[:, a * BLOCK : b * BLOCK]
+                np.matmul(wanted, self.matrix[a * BLOCK : b * BLOCK].T, out=own)
+                own *= MARGIN
+            summed = int(wanted.sum(axis=0) @ present[here].sum(axis=0))
+            self.opened += summed
+            self.skipped -= summed
+
+        def opened(j: int, pivots: np.ndarray) -> None:
+            waiting[j, pivots] = False
+            mine = slice(ends[j], ends[j + 1])
+            tops[j], limits[j] = self.open(pivots, cursor[mine], block[mine], sums[j], wanted[j], tops[j], ids, k, int(limits[j]))
+
+        tops = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * g
+        here = np.zeros(n, dtype=bool)
+        first = {j: self.highest(reach[j], waiting[j]) for j in np.flatnonzero(limits == 1).tolist()}  # they give a floor to queries without one
+        for pivots in first.values():
+            here[pivots] = True
+        add_up(here)
+        for j, pivots in first.items():
+            opened(j, pivots)
+        waiting &= reach >= limits[:, None]
+        add_up(waiting.any(axis=0) & ~here)
+        reach = others + sums.reshape(g, n, BLOCK).max(axis=2)
+        for j in range(g):
+            waiting[j] &= reach[j] >= limits[j]
+            while len(pivots := np.flatnonzero(waiting[j])[:PIVOTS]):
+                opened(j, pivots)
+                waiting[j] &= reach[j] >= limits[j]
+        return tops
+
+    @staticmethod
+    def highest(reach: np.ndarray, waiting: np.ndarray) -> np.ndarray:
+        """The first pivots: of the blocks that wait, those with the highest bounds."""
+        blocks = np.flatnonzero(waiting)
+        return blocks[np.argpartition(-reach[blocks], FIRST_PIVOTS)[:FIRST_PIVOTS]] if len(blocks) > FIRST_PIVOTS else blocks
+
+    def open(
+        self, pivots: np.ndarray, cursor: np.ndarray, block: np.ndarray, sums: np.ndarray, wanted: np.ndarray, top: tuple[np.ndarray, np.ndarray], ids: np.ndarray, k: int, floor: int
+    ) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+        """The best k (scores, local numbers) and the threshold after the documents of some blocks are scored: by the list blocks that the cursors pass there and, for those
+        documents that can be among the best, by the wanted frequent lists, whose sums are at most ``sums``."""
+        under = np.zeros(-(-self.docs // BLOCK), dtype=bool)
+        under[pivots] = True
+        open_ = cursor[under[block]]
+        self.opened += len(open_)
+        self.skipped -= len(open_)
+        posts = ranges(self.start[open_], self.count[open_])
+        # sums of whole numbers far below 2 ** 53 are exact
+        total = np.bincount(self.doc[posts], weights=self.value[posts], minlength=len(under) * BLOCK)
+        docs = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        most = total[docs] + sums[docs]
+        docs, most = docs[most >= floor], most[most >= floor]
+        if len(docs) > k:
+            docs = docs[most >= np.partition(most, len(most) - k)[len(most) - k] / MARGIN**2]
+        new = total[docs] + self.matrix[docs].astype(np.float64) @ wanted.astype(np.float64)
+        docs, new = docs[new >= floor], new[new >= floor].astype(np.int64)
+        if len(docs) > k:
+            keep = new >= np.partition(new, len(new) - k)[len(new) - k]
+            docs, new = docs[keep], new[keep]
+        scores, found = np.concatenate([top[0], new]), np.concatenate([top[1], docs])
+        best = np.lexsort((ids[found], -scores))[:k]
+        return (scores[best], found[best]), max(floor, int(scores[best[-1]])) if len(best) == k else floor
 
 
 def search_shards(index: DataFrame, queries: DataFrame, n_docs: int, total_length: int, k: int, kinds: tuple[str, str]) -> DataFrame:
@@ -294,7 +379,8 @@ def search_shards(index: DataFrame, queries: DataFrame, n_docs: int, total_lengt
                 ids = keys.to_numpy(zero_copy_only=False)
                 for q in read_queries(files):
                     s = ShardSearch(shard, q, n_docs, average)
-                    found = [s.best(q.places[a:b], ids, k, floor) for a, b, floor in zip(q.starts[:-1].tolist(), q.starts[1:].tolist(), q.floors.tolist())]
+                    asked = [q.places[a:b] for a, b in zip(q.starts[:-1].tolist(), q.starts[1:].tolist())]
+                    found = [x for i in range(0, len(asked), LOOKED_AT) for x in s.best_of(asked[i : i + LOOKED_AT], ids, k, q.floors[i : i + LOOKED_AT])]
                     n = np.array([len(x) for x, _ in found])
                     yield pa.RecordBatch.from_arrays([q.names.take(pa.array(np.repeat(np.arange(len(n)), n))), keys.take(pa.array(np.concatenate([d for _, d in found]))), pa.array(np.concatenate([x for x, _ in found]))], ["query", "doc", "score"])
 

@@ -258,6 +258,46 @@ def test_search_skips_blocks_of_all_lists():
     assert s.skipped > s.opened > 0
 
 
+def test_search_adds_frequent_lists_without_their_postings(monkeypatch):
+    r = np.random.default_rng(8)
+    # t0 to t39 in most documents, r0 to r59 in some hundred, u0 to u1499 in some
+    texts = [" ".join([f"t{w}" for w in range(40) if r.random() < 0.6 for _ in range(r.integers(1, 4))] + [f"r{w}" for w in r.integers(0, 60, 6)] + [f"u{w}" for w in r.integers(0, 1500, 8)]) for _ in range(2500)]
+    texts[900:904] = [texts[900]] * 4  # equal scores
+    texts[50] += " r0" * 60
+    pairs = [bm25.term_counts(t) for t in texts]
+    shard = bm25.Shard(bm25.pack_shard([t for t, _ in pairs], [n for _, n in pairs]))
+    df = Counter(t for terms, _ in pairs for t in terms.tolist())
+    asked = [pairs[i][0] for i in range(0, 2500, 50)] + [bm25.term_counts(t)[0] for t in ("u7", "t1", "r3 r4")]
+    terms, places = np.unique(np.concatenate(asked), return_inverse=True)
+    ends = np.cumsum([0, *map(len, asked)])
+    each = [places[a:b] for a, b in zip(ends, ends[1:])]
+    # in so large a corpus some of r's contributions are above 2 ** 24, and so are most sums
+    s = bm25.ShardSearch(shard, bm25.Queries(None, terms, np.array([df[t] for t in terms.tolist()]), ends, places, np.ones(len(asked))), 2_000_000, float(shard.lengths.mean()))
+    assert s.value.max() > 1 << 24
+    ids, expected = r.permutation(2500), []
+    for p in each:
+        total = np.zeros(2500)
+        for x in p:
+            own = slice(s.start[s.first[x]], s.start[s.first[x]] + s.count[s.first[x] : s.first[x] + s.n_blocks[x]].sum())
+            total[s.doc[own]] += s.value[own]
+        order = np.lexsort((ids, -total))[:10]
+        order = order[total[order] > 0]
+        expected.append((total[order].tolist(), order.tolist()))
+    tenth = np.array([int(x[9]) if len(x) == 10 else 1 for x, _ in expected])
+    passed, real = [], bm25.ranges
+    monkeypatch.setattr(bm25, "ranges", lambda starts, counts: passed.append(int(counts.sum())) or real(starts, counts))
+    plain = lambda found: [(x.tolist(), d.tolist()) for x, d in found]
+    assert plain(s.best(p, ids, 10, f) for p, f in zip(each, tenth.tolist())) == expected
+    postings = sum(int(s.count[s.first[x] : s.first[x] + s.n_blocks[x]].sum()) for p in each for x in p)
+    assert sum(passed) < postings / 3
+    assert s.matrix.shape[1] == 40  # the others of the frequent lists are too high for 32 bits
+    for together, most in ((128, 2_000_000), (7, 2_000_000), (128, 900), (128, 1)):
+        monkeypatch.setattr(bm25, "TOGETHER", together)
+        monkeypatch.setattr(bm25, "PASSED", most)
+        for floors in (tenth, np.ones(len(each), dtype=np.int64), np.where(np.arange(len(each)) % 2, tenth, 1)):
+            assert plain(s.best_of(each, ids, 10, floors)) == expected
+
+
 def test_search_sums_frequencies_before_queries_meet_them(spark):
     ship(spark)
     d = spark.createDataFrame([(i, f"red {'fish' if i % 2 else 'bird'} n{i}") for i in range(40)], "id long, text string").repartition(8)
