@@ -15,6 +15,7 @@ BLOCKING = ("missing_invoice_number", "missing_invoice_date", "missing_total_amo
 # our own: a date that can't be, such as 31/02/2024, stays text and forces a review
 INVALID_DATE = "invalid_date"
 BUYER = r"\b(?:bill to|billed to|customer|client|buyer)\b"
+BUYER_WORDS = ("bill", "billed", "customer", "client", "buyer")
 ADDRESS_END = r"invoice|doc(?:ument)?\s*no|documentno|bill to|date|total|subtotal|cash\s+(?:sales|bill)|tel|fax|gst\s*id|@"
 ADDRESS = r"\d|street|st\.?|road|rd\.?|ave|avenue|city|egypt|usa|zip|jalan|taman|johor|bahru"
 
@@ -45,7 +46,8 @@ def vendor(lines: Column) -> Column:
 
     other = F.array_position(F.transform(F.slice(lines, 1, 8), lambda x: ~t.has(x, t.METADATA)), True).cast("int") - 1
     none = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("ends"))
-    return F.when(place >= 0, t.let(place, company)).when(other >= 0, F.struct(at(other).alias("name"), (F.array_position(lines, at(other)).cast("int") - 1).alias("ends"))).otherwise(none)
+    first = t.let(other, lambda o: F.when(o >= 0, F.struct(at(o).alias("name"), (F.array_position(lines, at(o)).cast("int") - 1).alias("ends"))).otherwise(none))
+    return t.let(place, lambda p: F.when(p >= 0, company(p)).otherwise(first))
 
 
 def buyer(lines: Column) -> Column:
@@ -57,15 +59,15 @@ def buyer(lines: Column) -> Column:
         return t.let(rest, lambda r: F.when((r != "") & (F.lower(r) != F.lower(line)), r).otherwise(F.get(lines, i + 1)))
 
     place = F.array_position(F.transform(lines, lambda x: t.has(x, BUYER)), True).cast("int") - 1
-    return F.when(place >= 0, t.let(place, of))
+    return t.let(place, lambda p: F.when(p >= 0, of(p)))
 
 
 def address(lines: Column, ends: Column) -> Column:
     """Of the six lines after the vendor, up to one of other data, those that look like an address and are no registration number."""
-    after = F.slice(lines, ends + 2, 6)
-    stop = F.array_position(F.transform(after, lambda x: t.has(x, ADDRESS_END)), True).cast("int")
-    kept = F.filter(F.when(stop > 0, F.slice(after, F.lit(1), stop - 1)).otherwise(after), lambda x: ~t.is_all(x, t.REGISTRATION) & t.has(x, ADDRESS))
-    return F.when(ends.isNotNull(), F.nullif(F.array_join(kept, "\n"), F.lit("")))
+    stop = lambda after: F.array_position(F.transform(after, lambda x: t.has(x, ADDRESS_END)), True).cast("int")
+    before = lambda after: t.let(stop(after), lambda s: F.when(s > 0, F.slice(after, F.lit(1), s - 1)).otherwise(after))
+    kept = F.filter(t.let(F.slice(lines, ends + 2, 6), before), lambda x: ~t.is_all(x, t.REGISTRATION) & t.has(x, ADDRESS))
+    return F.when(ends.isNotNull(), t.let(F.array_join(kept, "\n"), lambda x: F.nullif(x, F.lit(""))))
 
 
 @once
@@ -74,6 +76,11 @@ def _parts() -> dict[str, Column]:
     return {"__cleaned": F.filter(F.transform(lines, lambda x: t.strip(x)), lambda s: s != ""), "__day_first": t.is_malaysian(x), "__shape": t.shape(x)}
 
 
+@once
+def _shapes() -> Column:
+    return t.lines_of(F.col("__shape"))
+
+
 @once
 def _dates_and_vendor() -> dict[str, Column]:
     x, shaped = F.col("__text"), F.col("__shape")
@@ -82,32 +89,32 @@ def _dates_and_vendor() -> dict[str, Column]:
 
 @once
 def _fields(items_where: str | None) -> dict[str, Column]:
-    x, lines, shaped = F.col("__text"), F.col("__lines"), F.col("__shape")
+    x, lines, shaped, shapes = F.col("__text"), F.col("__lines"), F.col("__shape"), F.col("__shapes")
     items = line_items(lines)
     return {
-        "document_type": t.document_type(x),
-        "document_title": t.document_title(lines),
+        "document_type": t.document_type(x, shaped),
+        "document_title": t.document_title(lines, shapes),
         "vendor_name": F.col("__vendor.name"),
         "vendor_registration_number": t.registration_number(lines),
         "vendor_address": address(F.col("__cleaned"), F.col("__vendor.ends")),
-        "vendor_phone": t.phone(lines, shaped),
-        "vendor_fax": t.fax(lines, shaped),
+        "vendor_phone": t.phone(lines, shaped, shapes),
+        "vendor_fax": t.fax(lines, shaped, shapes),
         "vendor_email": t.email(x),
-        "gst_id": t.labelled_text(lines, ("GST ID", "GST No", "GSTIN"), 60, shaped),
-        "buyer_name": buyer(F.col("__cleaned")),
-        "invoice_number": t.invoice_number(lines, shaped),
+        "gst_id": t.labelled_text(lines, ("GST ID", "GST No", "GSTIN"), 60, shaped, shapes),
+        "buyer_name": t.where_held(shaped, BUYER_WORDS, buyer(F.col("__cleaned"))),
+        "invoice_number": t.invoice_number(lines, shaped, shapes),
         "invoice_date": F.col("__date.value"),
         "due_date": F.col("__due.value"),
         **{k: t.labelled_amount(x, v, shaped) for k, v in t.AMOUNT_LABELS.items() if k != "change_amount"},
-        "total_amount": t.total_amount(x, lines, shaped),
+        "total_amount": t.total_amount(x, lines, shaped, shapes),
         "total_quantity": t.total_quantity(x),
         "__change": t.labelled_amount(x, t.AMOUNT_LABELS["change_amount"], shaped),
-        "currency": t.currency(x),
+        "currency": t.currency(x, shaped),
         "payment_method": t.payment_method(x),
-        "cashier": t.cashier(lines, shaped),
-        "transaction_time": t.transaction_time(x),
-        "salesperson": t.inline_text(lines, "Salesperson", ("Ref", "Time", "Date"), 80, shaped),
-        "reference": t.inline_text(lines, "Ref", ("Time", "Date"), 80, shaped),
+        "cashier": t.cashier(lines, shaped, shapes),
+        "transaction_time": t.transaction_time(x, shaped),
+        "salesperson": t.inline_text(lines, "Salesperson", ("Ref", "Time", "Date"), 80, shaped, shapes),
+        "reference": t.inline_text(lines, "Ref", ("Time", "Date"), 80, shaped, shapes),
         "line_items": items if items_where is None else F.when(F.col(items_where), items),
         "ambiguous_date": F.col("__date.ambiguous") | F.col("__due.ambiguous"),
     }
@@ -119,9 +126,9 @@ def extract(docs: DataFrame, text_col: str = "text", items_where: str | None = N
     With ``items_where``, a column, the items of rows where it isn't true are not read, and null.
     """
     d = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__lines", t.lines_of(F.col("__text")))
-    d = d.withColumns(_parts()).withColumns(_dates_and_vendor()).withColumns(_fields(items_where))
+    d = d.withColumns(_parts()).withColumn("__shapes", _shapes()).withColumns(_dates_and_vendor()).withColumns(_fields(items_where))
     d = d.withColumn("change_amount", F.coalesce("__change", F.round(F.col("cash_received") - F.col("total_amount"), 2)))
-    return d.drop("__text", "__lines", "__cleaned", "__day_first", "__date", "__due", "__vendor", "__change", "__shape")
+    return d.drop("__text", "__lines", "__cleaned", "__day_first", "__date", "__due", "__vendor", "__change", "__shape", "__shapes")
 
 
 def validate(fields: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscale.plans.session import table
+from folioscale.plans.session import spread, table
 
 
 def cents(amount: Column) -> Column:
@@ -33,7 +33,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum("cents").alias("subtotal"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    d = orders.join(items, "o_orderkey", "left").join(customers, "o_custkey", "left")
+    d = spread(orders.join(items, "o_orderkey", "left").join(customers, "o_custkey", "left"), "o_orderkey")
     k = F.col("o_orderkey")
     subtotal = F.coalesce("subtotal", F.lit(0).cast("long"))
     tax, discount = F.floor(subtotal * 6 / 100).cast("long"), (k % 10) * 10
@@ -79,7 +79,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(text.alias("text"), F.lit(None).cast("string").alias("text_clean"), F.lit(None).cast("string").alias("line_id"), F.lit(1).alias("page"), F.lit(0.95).alias("confidence"), box.alias("bbox"))
 
     items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"))
-    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(items, "o_orderkey", "left")
+    d = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(items, "o_orderkey", "left"), "o_orderkey")
     d = d.withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", F.lit(0).cast("long"))})
     cell = lambda r, i: F.array(line(F.concat(F.lit("Widget P"), r["part"].cast("string")), 40, 260 + 40 * i), line(r["quantity"].cast("string"), 300, 262 + 40 * i, 60), line(money(r["cents"]), 420, 261 + 40 * i, 100), line(money(r["cents"]), 560, 260 + 40 * i, 100))
     end = 300 + 40 * F.size("rows")
@@ -103,7 +103,7 @@ def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"), F.sum(F.col("cents") * F.col("quantity")).alias("all"))
     zero = F.lit(0).cast("long")
-    items = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left").withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", zero), "all": F.coalesce("all", zero)})
+    items = spread(table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left"), "o_orderkey").withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", zero), "all": F.coalesce("all", zero)})
     texts = F.flatten(F.transform("rows", lambda r: F.array(F.concat_ws(" ", (r["part"] + 100_000).cast("string"), r["quantity"].cast("string"), money(r["cents"]), F.regexp_replace(money(r["cents"] * r["quantity"]), ",", "")), F.concat(F.lit("widget P"), r["part"].cast("string")))))
     total = F.when(k % 9 == 2, F.col("all") + 100).otherwise(F.col("all"))
     whole = F.concat(F.array(F.concat(F.lit("ACME MART "), (k % 7).cast("string")), F.lit("TEL 07-5551234"), F.concat(F.lit("Doc No: CS"), k.cast("string")), F.lit("Date: 2024-05-06"), F.lit("CODE/DESC QTY PRICE AMOUNT")), texts, F.array(F.concat(F.lit("Total Sales RM "), money(total)), F.concat(F.lit("Cash "), money(total + 250)), F.lit("Change 2.50"), F.lit("Thank you")))
@@ -139,4 +139,5 @@ def shop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 1, "Prices in EUR").when(k % 4 == 2, "All in $").when(k % 4 == 3, "RM"),
         F.when(k % 6 == 0, "Paid by bank transfer."),
     )
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.array_join(F.array_compact(lines), "\n").alias("text"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    return orders.select(k.alias("doc_id"), F.array_join(F.array_compact(lines), "\n").alias("text"))
