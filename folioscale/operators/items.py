@@ -34,18 +34,23 @@ def description_and_code(text: Column) -> Column:
     code = group(text, r"\b(\d{8,14})\b")
     rest = F.coalesce(F.nullif(strip(F.regexp_replace(text, C + r"\b\d{8,14}\b", ""), " -|\t"), F.lit("")), text)
     none = F.lit(None).cast("double")
-    return F.when(has(text, "[A-Z]{2,}") & code.isNotNull(), item(code, rest, none, none, none))
+    return F.when(has(text, r"\b\d{8,14}\b", C) & has(text, "[A-Z]{2,}"), item(code, rest, none, none, none))
 
 
 def code_row(text: Column) -> Column:
     """An item from a line with exactly one whole number of three digits or more, its code; the numbers around it tell the columns apart."""
 
     def of(parts: Column) -> Column:
-        is_code = lambda p: is_all(p, r"\d{3,}", C)
-        at = F.array_position(F.transform(parts, is_code), True)
+        return let(F.struct(parts.alias("parts"), F.transform(parts, lambda p: is_all(p, r"\d{3,}", C)).alias("codes")), one_code)
+
+    def one_code(s: Column) -> Column:
+        at = F.array_position(s["codes"], True)
+        return F.when(F.size(F.filter(s["codes"], lambda c: c)) == 1, let(at, lambda a: sided(s["parts"], a)))
+
+    def sided(parts: Column, at: Column) -> Column:
         numbers = lambda a: F.filter(F.transform(a, parse_amount), lambda x: x.isNotNull())
         sides = F.struct(numbers(F.slice(parts, 1, (at - 1).cast("int"))).alias("b"), numbers(F.slice(parts, (at + 1).cast("int"), F.size(parts))).alias("a"), F.get(parts, (at - 1).cast("int")).alias("code"))
-        return F.when(F.size(F.filter(parts, is_code)) == 1, let(sides, columns))
+        return let(sides, columns)
 
     def columns(s: Column) -> Column:
         b, a = s["b"], s["a"]
@@ -62,7 +67,7 @@ def code_row(text: Column) -> Column:
             .when(nb == 2, made(first(b, 1), b0, b0))
         )
 
-    return let(F.split(text, C + r"\s+"), of)
+    return F.when(has(text, r"(?<!\S)\d{3,}(?!\S)", C), let(F.split(text, C + r"\s+"), of))
 
 
 def amount_row(text: Column) -> Column:
@@ -82,17 +87,20 @@ def amount_row(text: Column) -> Column:
 def plain_row(text: Column) -> Column:
     """An item from any other line with an amount and a description of three characters or more."""
 
-    def of(s: Column) -> Column:
-        tokens, values = s["tokens"], s["values"]
-        p = r"^(.+?)\s+(\d+(?:[.,]\d+)?)\s+(?:[$€£¥]\s*)?(?:[A-Z]{3}\s*)?-?\d"
-        named = group(text, p, 1, C)
-        cut = strip(F.regexp_replace(text, F.concat(F.lit("\\Q"), F.try_element_at(tokens, F.lit(-1)), F.lit("\\E\\s*$")), F.lit("")), " -|\t")
-        description = F.when(named.isNotNull(), strip(named)).otherwise(cut)
+    p = r"^(.+?)\s+(\d+(?:[.,]\d+)?)\s+(?:[$€£¥]\s*)?(?:[A-Z]{3}\s*)?-?\d"
+
+    def of(tokens: Column) -> Column:
+        values = F.filter(F.transform(tokens, parse_amount), lambda x: x.isNotNull())
         bare = is_all(text, r"[\d.,\s$€£¥A-Z-]+", C) & ~has(text, "[A-Z]{2,}", C)
-        made = item(None, description, F.when(named.isNotNull(), parse_amount(group(text, p, 2, C))), F.try_element_at(values, F.lit(-2)), F.try_element_at(values, F.lit(-1)))
-        return F.when((F.size(values) > 0) & ~bare & (F.length(description) >= 3), made)
+        return F.when((F.size(tokens) > 0) & ~bare, let(F.struct(tokens.alias("tokens"), values.alias("values"), group(text, p, 1, C).alias("named")), described))
+
+    def described(s: Column) -> Column:
+        tokens, named = s["tokens"], s["named"]
+        cut = strip(F.regexp_replace(text, F.concat(F.lit("\\Q"), F.try_element_at(tokens, F.lit(-1)), F.lit("\\E\\s*$")), F.lit("")), " -|\t")
+        made = lambda d: item(None, d, F.when(named.isNotNull(), parse_amount(group(text, p, 2, C))), F.try_element_at(s["values"], F.lit(-2)), F.try_element_at(s["values"], F.lit(-1)))
+        return F.when(F.size(s["values"]) > 0, let(F.when(named.isNotNull(), strip(named)).otherwise(cut), lambda d: F.when(F.length(d) >= 3, made(d))))
 
-    return let(F.struct(amount_tokens(text).alias("tokens"), amounts_in(text).alias("values")), of)
+    return let(amount_tokens(text), of)
 
 
 def closed(items: Column, pending: Column, kind: str) -> Column:
@@ -105,15 +113,17 @@ def closed(items: Column, pending: Column, kind: str) -> Column:
 def table_lines(lines: Column) -> Column:
     """The lines of a document's table: after its first head, up to a line of totals, without heads and lines that are no items."""
 
-    def after_head(text: Column) -> Column:
-        head = F.array_position(F.transform(text, is_head), True).cast("int")
-        return F.when(head > 0, let(F.slice(text, head + 1, F.size(text)), up_to_stop)).otherwise(F.array().cast("array<string>"))
+    def after_head(rows: Column) -> Column:
+        head = F.array_position(F.transform(rows, lambda r: r["head"]), True).cast("int")
+        return let(head, lambda h: F.when(h > 0, let(F.filter(F.slice(rows, h + 1, F.size(rows)), lambda r: ~r["head"]), up_to_stop)).otherwise(F.array().cast("array<string>")))
 
     def up_to_stop(rest: Column) -> Column:
-        stop = F.array_position(F.transform(rest, lambda x: has(x, STOP) & ~is_head(x)), True).cast("int")
-        return F.filter(F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest), lambda x: ~is_head(x) & ~has(x, NO_ITEM))
+        stop = F.array_position(F.transform(rest, lambda r: has(r["text"], STOP)), True).cast("int")
+        kept = let(stop, lambda s: F.when(s > 0, F.slice(rest, F.lit(1), s - 1)).otherwise(rest))
+        return F.filter(F.transform(kept, lambda r: r["text"]), lambda x: ~has(x, NO_ITEM))
 
-    return let(F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != ""), after_head)
+    full = F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != "")
+    return let(F.transform(full, lambda x: F.struct(x.alias("text"), is_head(x).alias("head"))), after_head)
 
 
 def line_items(lines: Column) -> Column:

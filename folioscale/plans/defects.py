@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscale.functions import text as t
 from folioscale.operators import evaluation, images, items, lines, receipt
-from folioscale.plans.session import table
+from folioscale.plans.session import spread, table
 from folioscale.plans.synth import cents, money
 from folioscale.sources import files
 
@@ -53,7 +53,7 @@ def noisy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("last-", 90, 1100),
     )
     # recognition gives lines in any order
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.reverse(F.array_compact(found)).alias("lines"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("doc_id"), F.reverse(F.array_compact(found)).alias("lines"))
 
 
 def noisy_page_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         return choice(j % 9, *(F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x for x in y)) for y in layouts))
 
     rows = F.when(k % 130 > 0, F.transform(F.sequence(F.lit(0).cast("long"), k % 130 - 1), row)).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(F.array(F.lit("Item Qty Amount")), rows, F.array(F.lit("Total 1.00"))).alias("lines"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("doc_id"), F.concat(F.array(F.lit("Item Qty Amount")), rows, F.array(F.lit("Total 1.00"))).alias("lines"))
 
 
 def code_row_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def faulty_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         choice(k % 4, joined("handwritten ", money(total)), "circled 7 99.50", "manual entry"),
     ))
     line = lambda x, i: F.struct(x.alias("text"), joined("l", i + 1).alias("line_id"), F.lit(0.9).alias("confidence"), lines.box_of(F.lit(0), i * 30, F.lit(400), i * 30 + 20).alias("bbox"))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.transform(texts, line).alias("lines"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("doc_id"), F.transform(texts, line).alias("lines"))
 
 
 def receipt_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
