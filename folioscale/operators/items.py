@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscale.functions.text import AMOUNT, WHOLE_AMOUNT, C, I, amount_tokens, amounts_in, group, has, is_all, let, parse_amount, parse_price, receipt_amounts, strip
+from folioscale.functions.text import AMOUNT, WHOLE_AMOUNT, C, I, amount_tokens, amounts_in, group, has, is_all, let, parse_amount, parse_price, receipt_amounts, strip, unless_empty
 
 # Words of table heads, of what ends a table, and of lines that are no items.
 ITEM_WORDS, QUANTITY_WORDS = r"\b(description|code/?desc|item|service|product)\b", r"\b(qty|quantity|unit|price|amount|s/price)\b"
@@ -32,7 +32,7 @@ def is_head(text: Column) -> Column:
 def description_and_code(text: Column) -> Column:
     """An item without amounts, from a line with words and a code of 8 to 14 digits."""
     code = group(text, r"\b(\d{8,14})\b")
-    rest = F.coalesce(F.nullif(strip(F.regexp_replace(text, C + r"\b\d{8,14}\b", ""), " -|\t"), F.lit("")), text)
+    rest = F.coalesce(unless_empty(strip(F.regexp_replace(text, C + r"\b\d{8,14}\b", ""), " -|\t")), text)
     none = F.lit(None).cast("double")
     return F.when(has(text, r"\b\d{8,14}\b", C) & has(text, "[A-Z]{2,}"), item(code, rest, none, none, none))
 
@@ -183,9 +183,13 @@ def receipt_items(lines: Column, fixed_amounts: bool = False) -> Column:
     def row(line: Column) -> Column:
         x = strip(F.coalesce(line["text"], F.lit("")))
         parts = F.split(x, C + r"\s+")
+        return let(F.struct(x.alias("text"), parts.alias("parts")), lambda s: read(line, s["text"], s["parts"]))
+
+    def read(line: Column, x: Column, parts: Column) -> Column:
         numbers = F.filter(F.transform(F.slice(parts, 2, F.size(parts)), parse_amount), lambda v: v.isNotNull())
         coded = (F.size(parts) >= 4) & is_all(F.get(parts, F.lit(0)), r"\d{3,}", C)
-        rest = strip(F.regexp_replace(x, rf"{C}{pattern}\s*$", ""), " -|\t")
+        # without a digit there is no amount to take from the end
+        rest = strip(F.when(has(x, r"\d", C), F.regexp_replace(x, rf"{C}{pattern}\s*$", "")).otherwise(x), " -|\t")
         return F.struct(x.alias("text"), F.nullif(line["line_id"], F.lit("")).alias("id"), F.coalesce(line["confidence"].cast("double"), F.lit(0.0)).alias("conf"), F.get(parts, F.lit(0)).alias("code"), F.when(coded, numbers).alias("numbers"), amounts_in(x, pattern).alias("amounts"), rest.alias("rest"))
 
     def made(code: Column, description: Column, qty: Column, unit: Column, discount: Column, amount: Column, conf: Column, ids: Column) -> Column:

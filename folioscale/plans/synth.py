@@ -30,7 +30,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice text for each order: ``doc_id`` and ``text``."""
     row = F.struct("place", F.concat_ws(" ", F.lit("Widget"), F.concat(F.lit("P"), "part"), F.col("quantity").cast("string"), money(F.col("cents")), money(F.col("cents"))).alias("text"))
-    items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum("cents").alias("subtotal"))
+    items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.sum("cents").alias("subtotal"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     d = spread(orders.join(items, "o_orderkey", "left").join(customers, "o_custkey", "left"), "o_orderkey")
@@ -78,7 +78,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         box = F.array(F.array(F.lit(x), y), F.array(F.lit(x + width), y), F.array(F.lit(x + width), y + height), F.array(F.lit(x), y + height)).cast("array<array<double>>")
         return F.struct(text.alias("text"), F.lit(None).cast("string").alias("text_clean"), F.lit(None).cast("string").alias("line_id"), F.lit(1).alias("page"), F.lit(0.95).alias("confidence"), box.alias("bbox"))
 
-    items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"))
+    items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"))
     d = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(items, "o_orderkey", "left"), "o_orderkey")
     d = d.withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", F.lit(0).cast("long"))})
     cell = lambda r, i: F.array(line(F.concat(F.lit("Widget P"), r["part"].cast("string")), 40, 260 + 40 * i), line(r["quantity"].cast("string"), 300, 262 + 40 * i, 60), line(money(r["cents"]), 420, 261 + 40 * i, 100), line(money(r["cents"]), 560, 260 + 40 * i, 100))
@@ -101,7 +101,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One receipt for each order: ``doc_id`` and ``lines`` of ``text, line_id, confidence, bbox``."""
     k = F.col("o_orderkey")
-    items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"), F.sum(F.col("cents") * F.col("quantity")).alias("all"))
+    items = order_items(spark, sf_dir).groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "part", "quantity", "cents"))).alias("rows"), F.sum("cents").alias("total"), F.sum(F.col("cents") * F.col("quantity")).alias("all"))
     zero = F.lit(0).cast("long")
     items = spread(table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left"), "o_orderkey").withColumns({"rows": rows_or_none("rows"), "total": F.coalesce("total", zero), "all": F.coalesce("all", zero)})
     texts = F.flatten(F.transform("rows", lambda r: F.array(F.concat_ws(" ", (r["part"] + 100_000).cast("string"), r["quantity"].cast("string"), money(r["cents"]), F.regexp_replace(money(r["cents"] * r["quantity"]), ",", "")), F.concat(F.lit("widget P"), r["part"].cast("string")))))
